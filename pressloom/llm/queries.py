@@ -5,9 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pressloom.llm import decontaminate, substrings
-from pressloom.llm.common import table
+from pressloom.llm import decontaminate, packing, substrings, token_counts
+from pressloom.llm.common import shared_dir, table
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents, then the toxic ones deleted and the poor ones stripped of symbols; each batch is sent twice."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels")
+    stripped = F.regexp_replace("text", r"[^\p{L}\p{N}\s.,]+", "")
+    batches = {
+        "1-insert": docs.withColumn("op", F.lit("insert")),
+        "2-delete": labels.where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), F.lit("delete").alias("op")),
+        "3-revise": docs.join(labels.where("quality = 0 and toxic = 0"), "doc_id", "left_semi").withColumn("text", stripped).withColumn("op", F.lit("revise")),
+    }
+    totals = token_counts.TokenTotals(spark, shared_dir(spark))
+    for batch, changes in batches.items():
+        totals.commit(batch, changes)
+        totals.commit(batch, changes)
+    return totals.totals()
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +39,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
