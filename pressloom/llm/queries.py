@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import decontaminate, languages, packing, secrets, substrings, token_counts
+from pressloom.llm import decontaminate, languages, packing, quality, secrets, substrings, token_counts
 from pressloom.llm.common import shared_dir, table
 
 
@@ -35,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents")).drop("text_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predict(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_packing, op6_language_id, op7_secret_scan, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_packing, op5_quality, op6_language_id, op7_secret_scan, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
