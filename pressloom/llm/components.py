@@ -1,0 +1,30 @@
+"""Connected components by alternating large-star and small-star rounds, each written to the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pressloom.llm.common import staged
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links: a, b (any orderable type) -> node, component (the least node of it). No row for nodes without links."""
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        # large star: every larger neighbour of a node is hung on the node's least neighbour
+        both = edges.union(edges.select(F.col("v"), F.col("u")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: a node and its smaller neighbours are hung on the least of them
+        large = large.where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        edges = staged(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == before:
+            break
+        before = now
+    hung = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return hung.union(edges.select(F.col("v"), F.col("v")).distinct())

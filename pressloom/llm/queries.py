@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import decontaminate, languages, packing, quality, secrets, substrings, token_counts
+from pressloom.llm import decontaminate, languages, near_duplicates, packing, quality, secrets, substrings, token_counts
 from pressloom.llm.common import shared_dir, table
 
 
@@ -47,9 +47,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_packing, op5_quality, op6_language_id, op7_secret_scan, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_packing, op5_quality, op6_language_id, op7_secret_scan, op8_near_duplicates, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
