@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressloom.llm import decontaminate
+from pressloom.llm import decontaminate, lines, near_duplicates, packing, quality
 from pressloom.llm.common import staged, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier keeps."""
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line repeats; those left without words go."""
+    return lines.keep_new(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_duplicates.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of ten words with the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", decontamination)]
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, packed into sequences of 2048 tokens."""
+    return packing.digest(docs)
+
+
+STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_duplicates", near_dedup), ("decontamination", decontamination), ("packing", sequences)]
+#: Tokenization and the trained scorer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

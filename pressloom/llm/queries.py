@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import decontaminate, languages, near_duplicates, packing, quality, secrets, substrings, token_counts
+from pressloom.llm import decontaminate, fingerprints, languages, lines, near_duplicates, packing, quality, secrets, substrings, token_counts
 from pressloom.llm.common import shared_dir, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents, then the toxic ones deleted and the poor ones stripped of symbols; each batch is sent twice."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels")
@@ -51,9 +55,27 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_packing, op5_quality, op6_language_id, op7_secret_scan, op8_near_duplicates, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_token_counts,
+        op3_decontamination,
+        op4_packing,
+        op5_quality,
+        op6_language_id,
+        op7_secret_scan,
+        op8_near_duplicates,
+        op9_fingerprints,
+        op10_substring_dedup,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.SQL}
