@@ -44,6 +44,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("text_id"))
 
 
+def few_of(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs joined by row to rows (doc_id, text_id and perhaps more): columns of docs, then the rest of rows.
+
+    Always a merge join: rows grow with docs, so a broadcast has no bound, and the plan is the same at every size.
+    """
+    named = rows.withColumnsRenamed({"doc_id": "_d", "text_id": "_t"}).hint("merge")
+    mine = docs.withColumn("_text_id", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("string")))
+    both = mine.join(named, mine["doc_id"].eqNullSafe(named["_d"]) & (mine["_text_id"] == named["_t"]), how)
+    return both.drop("_text_id", "_d", "_t")
+
+
 def same_row(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_id"] == b["text_id"])
 

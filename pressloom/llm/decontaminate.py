@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.common import WordHash, chunks, folded_words, gram_hashes, keyed, same_row, slide, staged, whole_grams
+from pressloom.llm.common import WordHash, chunks, few_of, folded_words, gram_hashes, keyed, same_row, slide, staged, whole_grams
 
 K, GRAMS, SPAN = 5, 6, 10
 BLOOM_BITS = 1 << 23
@@ -161,9 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that share no window with the benchmark, all columns kept."""
-    bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).distinct()
-    mine = docs.withColumn("_text_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return mine.join(bad, mine["doc_id"].eqNullSafe(bad["_d"]) & (mine["_text_id"] == bad["_t"]), "left_anti").select(*docs.columns)
+    return few_of(docs, contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "text_id").distinct(), "left_anti")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.common import WordHash, chunks, folded_words, gram_hashes, keyed, mixed, same_row, staged
+from pressloom.llm.common import WordHash, chunks, few_of, folded_words, gram_hashes, keyed, mixed, same_row, staged
 from pressloom.llm.components import components
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
@@ -282,7 +282,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     blocks = F.ceil(F.col("size") / CLASS_BLOCK)
     cells = cells.join(sizes, "component").select("component", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     cells = staged(cells.join(nodes.select("node", "copies", "row"), "node").select("component", "node", "copies", "block", "blocks", F.col("row.doc_id").alias("doc_id"), F.col("row.text_id").alias("text_id")))
-    texts = read.join(cells, same_row(read, cells)).select("component", "node", "copies", "block", "blocks", "text")
+    texts = read.join(cells.hint("merge"), same_row(read, cells)).select("component", "node", "copies", "block", "blocks", "text")
     sets = texts.mapInArrow(_reshingled, "component binary, node binary, copies bigint, block int, blocks bigint, shingles binary")
     sets = _tiles(sets, "blocks", "block").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     verified = staged(sets.mapInArrow(lambda it: _verified(it, exact), "node binary, links bigint, other binary"))
@@ -306,9 +306,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class: the least doc_id, all columns kept. Repeated rows count once."""
-    gone = join(docs).where("not first").select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).distinct()
-    mine = docs.withColumn("_text_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = mine.join(gone, mine["doc_id"].eqNullSafe(gone["_d"]) & (mine["_text_id"] == gone["_t"]), "left_anti")
-    if not mine.groupBy("doc_id", "_text_id").count().where("count > 1").isEmpty():  # else no need to shuffle texts
-        kept = kept.dropDuplicates(["doc_id", "_text_id"])
-    return kept.select(*docs.columns)
+    kept = few_of(docs, join(docs).where("not first").select("doc_id", "text_id").distinct(), "left_anti")
+    if not keyed(docs).groupBy("doc_id", "text_id").count().where("count > 1").isEmpty():  # else no need to shuffle texts
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept

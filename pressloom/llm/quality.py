@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.common import keyed
+from pressloom.llm.common import few_of, keyed
 
 DIMS, SAMPLE, THRESHOLD, CACHE = 1 << 12, 6000, 0.5, 400_000
 #: Labellers: rate, good at or below (or above, if reversed), poor beyond.
@@ -204,6 +204,4 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, all columns kept."""
-    gone = classify(docs).where("not keep").select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).distinct()
-    mine = docs.withColumn("_text_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return mine.join(gone, mine["doc_id"].eqNullSafe(gone["_d"]) & (mine["_text_id"] == gone["_t"]), "left_anti").select(*docs.columns)
+    return few_of(docs, classify(docs).where("not keep").select("doc_id", "text_id").distinct(), "left_anti")

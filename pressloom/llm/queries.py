@@ -22,7 +22,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = {
         "1-insert": docs.withColumn("op", F.lit("insert")),
         "2-delete": labels.where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), F.lit("delete").alias("op")),
-        "3-revise": docs.join(labels.where("quality = 0 and toxic = 0"), "doc_id", "left_semi").withColumn("text", stripped).withColumn("op", F.lit("revise")),
+        "3-revise": docs.join(labels.where("quality = 0 and toxic = 0").hint("merge"), "doc_id", "left_semi").withColumn("text", stripped).withColumn("op", F.lit("revise")),
     }
     totals = token_counts.TokenTotals(spark, shared_dir(spark))
     for batch, changes in batches.items():
