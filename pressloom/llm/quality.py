@@ -8,6 +8,8 @@ labeller's accuracy on good texts and on each of a few kinds of poor ones, and t
 
 from __future__ import annotations
 
+from itertools import islice
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -28,24 +30,32 @@ KINDS = (0, 1, 2, 4, 6)
 _ENDS = set(".,;:?!\"'()[]{}«»…-/@+_=")
 
 
-def word_rates(word: str) -> tuple[int, ...]:
-    """letters, capitals, symbol-laden, bar, exclamation, short, odd characters."""
-    letters = sum(c.isalpha() for c in word)
-    return (letters, sum(c.isupper() for c in word), int(not word[-1].isalnum() and word[-1] not in _ENDS and letters > 0), int(word == "|"), int("!" in word), int(0 < letters <= 4), sum(not c.isalnum() and c not in _ENDS for c in word))
+class _Kinds(dict):
+    """Code point -> its kind: A or a for letters, 0 for digits, else itself."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
+        return kind
 
-def shape(word: str) -> str:
-    """Letters as A or a, digits as 0, the rest as they are; repeats once."""
-    out = []
-    for c in word[:60]:
-        k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
 
+_KINDS = _Kinds()
 
-def word_features(word: str) -> tuple[int, int, int]:
-    return tuple(crc32(x.encode()) % DIMS for x in (f"s{shape(word)}", f"e{shape(word[-3:])}{word[-1]}", f"n{min(len(word), 15)}{shape(word[:1])}"))
+
+def pattern_rates(pattern: str) -> tuple[int, ...]:
+    """Of a word written in kinds: letters, capitals, symbol-laden, bar, exclamation, short, odd characters."""
+    letters, last = pattern.count("a") + pattern.count("A"), pattern[-1]
+    odd = sum(c not in "aA0" and not c.isalnum() and c not in _ENDS for c in pattern)
+    return (letters, pattern.count("A"), int(last not in "aA0" and last not in _ENDS and letters > 0), int(pattern == "|"), int("!" in pattern), int(0 < letters <= 4), odd)
+
+
+def shape(pattern: str) -> str:
+    """Kinds with repeats once."""
+    return "".join(c for i, c in enumerate(pattern) if not i or c != pattern[i - 1])
+
+
+def pattern_features(pattern: str) -> tuple[int, int, int]:
+    return tuple(crc32(x.encode()) % DIMS for x in (f"s{shape(pattern)}", f"e{pattern[-3:]}", f"n{min(len(pattern), 15)}{pattern[:1]}"))
 
 
 def rate_features(rates: np.ndarray, n: int) -> list[int]:
@@ -53,32 +63,42 @@ def rate_features(rates: np.ndarray, n: int) -> list[int]:
 
 
 class Words(dict):
-    """word -> row of its rates and features, remembered for up to CACHE words."""
+    """word -> row of its pattern of kinds, remembered for up to CACHE words. Patterns are far fewer than words."""
 
     def __init__(self):
         super().__init__()
+        self.patterns: dict[str, int] = {}
         self.rates, self.features = np.zeros((1024, 7)), np.zeros((1024, 3), np.int64)
 
     def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at >= len(self.rates):
-            self.rates = np.concatenate([self.rates, np.zeros_like(self.rates)])
-            self.features = np.concatenate([self.features, np.zeros_like(self.features)])
-        self.rates[at], self.features[at] = word_rates(word), word_features(word)
+        pattern = word.translate(_KINDS)
+        at = self.patterns.get(pattern)
+        if at is None:
+            at = self.patterns[pattern] = len(self.patterns)
+            if at >= len(self.rates):
+                self.rates = np.concatenate([self.rates, np.zeros_like(self.rates)])
+                self.features = np.concatenate([self.features, np.zeros_like(self.features)])
+            self.rates[at], self.features[at] = pattern_rates(pattern), pattern_features(pattern)
+        self[word] = at
         return at
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a text's words, and its rates."""
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Patterns of a text's words with their counts, and the text's rates."""
         if len(self) > CACHE:
             self.clear()
+            self.patterns.clear()
         words = text.split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if not len(at):
-            return at, np.zeros(len(RATES))
-        sums, n = self.rates[at].sum(0), len(at)
+        n = len(words)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(RATES))
+        counts = np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, n))
+        at = np.flatnonzero(counts)
+        counts = counts[at]
+        sums = counts @ self.rates[at]
         letters = max(1.0, sums[0])
-        distinct = len(set(words)) / min(n, 200) if n >= 20 else 1.0
-        return at, np.array([sums[2] / n, sums[1] / letters, sums[3] / n, sums[4] / n, float((at[1:] == at[:-1]).sum()) / n, sums[5] / n, min(1.0, distinct), sums[6] / letters])
+        distinct = min(1.0, len(set(words)) / min(n, 200)) if n >= 20 else 1.0
+        echoes = sum(map(eq, words, islice(words, 1, None)))
+        return at, counts, np.array([sums[2] / n, sums[1] / letters, sums[3] / n, sums[4] / n, echoes / n, sums[5] / n, distinct, sums[6] / letters])
 
 
 def votes(rates: np.ndarray) -> int:
@@ -90,10 +110,15 @@ def votes(rates: np.ndarray) -> int:
     return out
 
 
+def _votes_of(words: Words, data: bytes) -> int:
+    at, _, rates = words.of(data.decode())
+    return votes(rates) if len(at) else -1
+
+
 def _voted(batches):
     words = Words()
     for batch in batches:
-        found = [votes(words.of(t.decode())[1]) if t.strip() else -1 for t in batch.column("text").to_pylist()]
+        found = [_votes_of(words, t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["votes"])
 
 
@@ -130,20 +155,22 @@ def _featured(batches):
     for batch in batches:
         found, dims, values = [], [], []
         for data in batch.column("text").to_pylist():
-            at, rates = words.of(data.decode())
+            at, counts, rates = words.of(data.decode())
             found.append(votes(rates) if len(at) else -1)
-            d, v = _vector(words, at, rates)
+            d, v = _vector(words, at, counts, rates)
             dims.append(d)
             values.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(dims, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["votes", "dims", "shares"])
 
 
-def _vector(words: Words, at: np.ndarray, rates: np.ndarray) -> tuple[list[int], list[float]]:
+def _vector(words: Words, at: np.ndarray, counts: np.ndarray, rates: np.ndarray) -> tuple[list[int], list[float]]:
     if not len(at):
         return [], []
-    dims, counts = np.unique(words.features[at], return_counts=True)
-    extra = rate_features(rates, len(at))
-    return dims.tolist() + extra, (counts / len(at)).tolist() + [1.0] * len(extra)
+    n = int(counts.sum())
+    shares = np.bincount(words.features[at].ravel(), np.repeat(counts / n, 3), DIMS)
+    dims = np.flatnonzero(shares)
+    extra = rate_features(rates, n)
+    return dims.tolist() + extra, shares[dims].tolist() + [1.0] * len(extra)
 
 
 def fit(rows: list[tuple[list[int], list[float], float]], steps: int = 150) -> np.ndarray:
@@ -164,18 +191,19 @@ def fit(rows: list[tuple[list[int], list[float], float]], steps: int = 150) -> n
 
 
 def _scored(batches, weights: np.ndarray, posterior: dict[int, float]):
-    words, by_word = Words(), None
+    words = Words()
     for batch in batches:
         weak, scores, counts = [], [], []
         for data in batch.column("text").to_pylist():
-            at, rates = words.of(data.decode())
-            counts.append(len(at))
+            at, times, rates = words.of(data.decode())
+            n = int(times.sum())
+            counts.append(n)
             if not len(at):
                 weak.append(0.0)
                 scores.append(0.0)
                 continue
-            by_word = weights[words.features[at]].sum()
-            z = weights[-1] + by_word / len(at) + weights[rate_features(rates, len(at))].sum()
+            by_word = times @ weights[words.features[at]].sum(1)
+            z = weights[-1] + by_word / n + weights[rate_features(rates, n)].sum()
             weak.append(posterior.get(votes(rates), 0.5))
             scores.append(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))))
         ids = [batch.column(n) for n in ("doc_id", "text_id")]
