@@ -22,19 +22,21 @@ def window_pairs(items: DataFrame, least: float, below: float | None = None, win
     bucket = F.floor(F.col("moment") / window_s).cast("long")
     placed = items.select("id", "v", "moment", bucket.alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    placed = placed.join(sizes, "bucket")
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    after = sizes.select((F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("next_parts"))
-    before = sizes.select((F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("prev_parts"))
-    left = placed.withColumn("part", part).join(after, "bucket", "left")
-    same = left.select("bucket", F.lit(0).alias("shift"), F.col("part").alias("r"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("c"), "id", "v", "moment")
-    ahead = left.where("next_parts is not null").select("bucket", F.lit(1).alias("shift"), F.col("part").alias("r"), F.explode(F.sequence(F.lit(0), F.col("next_parts") - 1)).alias("c"), "id", "v", "moment")
-    right = placed.withColumn("part", part).join(before, "bucket", "left")
-    same_r = right.select("bucket", F.lit(0).alias("shift"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r"), F.col("part").alias("c"), "id", "v", "moment")
-    behind = right.where("prev_parts is not null").select((F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("shift"), F.explode(F.sequence(F.lit(0), F.col("prev_parts") - 1)).alias("r"), F.col("part").alias("c"), "id", "v", "moment")
+    around = sizes.select("bucket", "parts").join(sizes.select((F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("after")), "bucket", "left")
+    around = around.join(sizes.select((F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("before")), "bucket", "left")
+    rows = placed.join(around, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def tiles(shift: int, side: int, parts: str):
+        """Tiles that a row joins: as left side in its own bucket, as right side there (shift 0) or in the one before (shift 1)."""
+        others = F.when(F.col(parts).isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+        at = F.col("bucket") - (1 if side and shift else 0)
+        return F.transform(others, lambda o: F.struct(at.alias("bucket"), F.lit(shift).alias("shift"), (o if side else F.col("part")).alias("r"), (F.col("part") if side else o).alias("c"), F.lit(side).alias("side")))
+
+    stands = F.concat(tiles(0, 0, "parts"), tiles(1, 0, "after"), tiles(0, 1, "parts"), tiles(1, 1, "before"))
     keys = ["bucket", "shift", "r", "c"]
 
-    def multiply(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        x, y = both[both["side"] == 0], both[both["side"] == 1]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
         m, n = (np.stack(p["v"].to_numpy()).astype(float) for p in (x, y))
@@ -51,7 +53,7 @@ def window_pairs(items: DataFrame, least: float, below: float | None = None, win
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": dots[at]})
 
     kind = items.schema["id"].dataType.simpleString()
-    return same.union(ahead).groupBy(*keys).cogroup(same_r.union(behind).groupBy(*keys)).applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
+    return rows.select("id", "v", "moment", F.explode(stands).alias("s")).select("id", "v", "moment", "s.*").groupBy(*keys).applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
 
 
 def with_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
