@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pressloom.functions.storage import table
 
+#: Microseconds of a time without zone, whatever the zone of the session.
+MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 START = 1704067200  # 2024-01-01 00:00 UTC
 
 
@@ -57,7 +59,7 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Calls: id, model, at (epoch microseconds), status, cache, latency, tokens."""
     e = table(spark, sf, "events")
     return e.select(
-        F.col("event_id").alias("id"), F.concat(F.lit("m"), F.pmod("user_id", F.lit(5))).alias("model"), F.unix_micros("ts").alias("us"),
+        F.col("event_id").alias("id"), F.concat(F.lit("m"), F.pmod("user_id", F.lit(5))).alias("model"), F.expr(MICROS).alias("us"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.when(F.col("event_type") == "view", "hit").otherwise("miss").alias("cache"),
         F.col("value").alias("latency"), F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0)).alias("tokens"),
     )
@@ -71,7 +73,7 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions: case_id, state, at (epoch microseconds), seq, version."""
     e = table(spark, sf, "events")
     state = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
-    return e.select(F.col("user_id").alias("case_id"), state[F.col("event_type")].alias("state"), F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 2500).alias("version"))
+    return e.select(F.col("user_id").alias("case_id"), state[F.col("event_type")].alias("state"), F.expr(MICROS).alias("us"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 2500).alias("version"))
 
 
 STATES = {"signup": "nuevo", "view": "en_revision", "click": "en_revision", "purchase": "aprobado", "error": "descartado"}
