@@ -76,7 +76,7 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").alias("case_id"), state[F.col("event_type")].alias("state"), F.expr(MICROS).alias("us"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 2500).alias("version"))
 
 
-STATES = {"signup": "nuevo", "view": "en_revision", "click": "en_revision", "purchase": "aprobado", "error": "descartado"}
+STATES = {"signup": "nuevo", "view": "en_revision", "click": "requiere_evidencia", "purchase": "aprobado_como_borrador", "error": "descartado"}
 REVIEWS = "reviews as (select user_id as case_id, case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in STATES.items()) + " end as state, epoch_us(ts) as us, event_id as seq, event_id // 2500 as version from events)"
 
 
