@@ -159,17 +159,23 @@ def _count(decoys: list[bytes], table: np.ndarray) -> None:
 
 
 def cuts(found: dict[tuple[int, int, int], int], decoys: dict[tuple[int, int, int], int], fdr: float) -> dict[tuple[int, int], int]:
-    """Highest bin that passes for each (encoding, length class). One decoy more than seen is assumed to pass."""
+    """Highest bin that passes for each (encoding, length class).
+
+    The rate of passing decoys is taken from the class itself or from it and all shorter ones, which pass more often by
+    chance, whichever is less; either way one decoy more than seen is assumed to pass.
+    """
     out = {}
     for enc in range(len(ENCODINGS)):
         for n in range(len(LENGTHS)):
             real = np.cumsum([found.get((enc, n, b), 0) for b in range(BINS)])
-            fake = np.cumsum([decoys.get((e, n, b), 0) for b in range(BINS) for e in [enc]])
-            tried = sum(v for (_, m, _), v in decoys.items() if m == n)
             all_real = sum(v for (_, m, _), v in found.items() if m == n)
-            ok = [b for b in range(BINS) if real[b] and (fake[b] + 1) * all_real / (tried + 1) <= fdr * real[b]]
-            if ok:
-                out[enc, n] = max(ok)
+            rates = []
+            for classes in ({n}, set(range(n + 1))):
+                fake = np.cumsum([sum(decoys.get((enc, m, b), 0) for m in classes) for b in range(BINS)])
+                rates.append((fake + 1) / (1 + sum(v for (_, m, _), v in decoys.items() if m in classes)))
+            ok = np.flatnonzero((real > 0) & (np.minimum(*rates) * all_real <= fdr * real))
+            if len(ok):
+                out[enc, n] = int(ok.max())
     return out
 
 
