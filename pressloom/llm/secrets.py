@@ -6,8 +6,8 @@ uniform randomness over that alphabet are taken: chi-squared of symbol counts, r
 the alphabet, and serial correlation of neighbours. Fisher's sum of the log p-values is the token's score: high for
 words, low for keys.
 
-Words do pass by chance, the more often the shorter they are. The rate is measured: the letters of every document,
-joined without their spaces and cut into pieces of one length class, go through the same battery as decoys. For each
+Words do pass by chance, the more often the shorter they are. The rate is measured: the letters of every document
+outside its candidates, joined without their spaces and cut into pieces of one length class, go through the same battery as decoys. For each
 encoding and length class the cut is the highest score at which decoys that pass, scaled to the number of candidates,
 are at most FDR of the candidates that pass. The counts are a table of a fixed number of bins, summed over all data.
 """
@@ -126,7 +126,7 @@ def _scan(batches):
                 owners.append(i)
                 spans.append(m.span())
                 tokens.append(m.group().encode())
-            prose, n = PROSE.sub("", text).encode(), LENGTHS[text_id % len(LENGTHS)]
+            prose, n = PROSE.sub("", TOKEN.sub("", text)).encode(), LENGTHS[text_id % len(LENGTHS)]
             decoys += [prose[a : a + n] for a in range(0, len(prose) - n + 1, n)]
             size += len(prose)
             if size > 2_000_000:
@@ -196,7 +196,11 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     high = F.create_map(*[F.lit(x) for (e, n), b in passing.items() for x in (e * 100 + n, b)]) if passing else F.create_map().cast("map<int,int>")
     random = F.filter("found", lambda c: (c["bin"] <= F.coalesce(F.element_at(high, c["enc"] * 100 + c["len"]), F.lit(-1))) & ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     added = F.transform(random, lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("kind"), c["e"].alias("e")))
-    counted = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long")
+
+    counted = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return seen.select("doc_id", *counted, "base", added.alias("added")).withColumn("spans", F.array_sort(F.concat("base", "added")))
 
 
