@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.functions.storage import shared_dir, staged, table
+
+__all__ = ["WordHash", "chunks", "few_of", "folded_words", "gram_hashes", "keyed", "mixed", "same_row", "shared_dir", "slide", "spaced_words", "staged", "table", "whole_grams"]
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z folds to a-z; digits, a-z and every byte of a non-ASCII character stay; the rest separates.
@@ -18,26 +19,6 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 CACHE_WORDS, CHUNK_WORDS = 500_000, 300_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text as bytes (null: empty) and text_id. (doc_id, text_id) names a row; equal rows share their answers."""
     text = F.coalesce(F.col("text"), F.lit(""))
