@@ -22,7 +22,7 @@ def con():
 def test_query(spark, con, name):
     query, sql = ALL[name]
     got = rows_of(query(spark, SF))
-    assert got[1] or name in ("figure_support",)
+    assert got[1] or name == "references"  # at this size nothing leads nowhere
     if sql is not None:
         assert got == duck_rows(con, sql)
 
