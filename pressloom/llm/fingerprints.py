@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.llm.common import staged
+
 K, RANGE, SMALL = 32, 500, 10_000
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -55,18 +57,21 @@ def ranked(term: Column, weight_log: Column, k: int) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """keys, samples (array of k 32-bit hashes) for texts of keys, text; texts with equal keys are taken together.
-
-    A text without words has the samples of nothing, equal for all such texts.
-    """
-    words = texts.select(*keys, F.explode(F.split("text", SPACE)).alias("word"))
-    counts = words.groupBy(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).count()
+    """keys, samples (array of k 32-bit hashes) for texts of keys, text; texts with equal keys are taken together, those without words left out."""
+    words = texts.select(*keys, F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
+    counts = words.groupBy(*keys, F.xxhash64("word").alias("term")).count()
     weighed = counts.select(*keys, "term", F.ln(F.col("count").cast("double")).alias("weight"))
-    least = weighed.groupBy(*keys).agg(*[F.min(F.when(F.col("term").isNotNull(), ranked(F.col("term"), F.col("weight"), i))).alias(f"s{i}") for i in range(k)])
+    # the ranks stand under no condition, so that what they share is computed once a term and sample
+    least = weighed.groupBy(*keys).agg(*[F.min(ranked(F.col("term"), F.col("weight"), i)).alias(f"s{i}") for i in range(k)])
     hashed = F.array(*[F.xxhash64(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1)) for i in range(k)])
     return least.select(*keys, hashed.alias("samples"))
 
 
+def nothing(k: int = K) -> Column:
+    """The samples of a text without words, equal for all of them."""
+    return F.array_repeat(F.lit(0).cast("long"), k)
+
+
 def as_text(samples: str) -> Column:
     return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
@@ -85,7 +90,8 @@ def _in_order(docs: DataFrame) -> DataFrame:
     if not n:
         return rows
     heads = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("doc_id"))
-    after = heads.join(following(heads.select("doc_id")), "doc_id").select("bucket", F.col("next_id").alias("doc_id"))
+    # one row a range, written, so that Spark knows its size before it plans the join: small enough it is broadcast and texts stay in place
+    after = staged(heads.join(following(heads.select("doc_id")), "doc_id").select("bucket", F.col("next_id").alias("doc_id")))
     return rows.union(read.join(after, "doc_id").select("bucket", F.lit(True), "doc_id", "text"))
 
 
@@ -105,7 +111,7 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
     texts = rows.select("bucket", "pos", F.inline(sides))
     signed = signatures(texts, ["bucket", "pos", "side"], k).groupBy("bucket", "pos").agg(*[F.max(F.when(F.col("side") == i, F.col("samples"))).alias(name) for i, name in enumerate(("own", "other"))])
     base = rows.select("bucket", "pos", "edge", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
-    both = base.join(signed, ["bucket", "pos"]).withColumn("after", F.lead("own").over(Window.partitionBy("bucket").orderBy("pos")))
+    both = base.join(signed, ["bucket", "pos"], "left").withColumns({c: F.coalesce(c, nothing(k)) for c in ("own", "other")}).withColumn("after", F.lead("own").over(Window.partitionBy("bucket").orderBy("pos")))
     return both.where("not edge").select(
         "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("other").alias("edited_fingerprint"),
         likeness("own", "other", k).alias("near_edited"), F.coalesce(likeness("own", "after", k), F.lit(0.0)).alias("near_next"),
