@@ -168,3 +168,17 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns."""
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+with b as (select item_id, {_FOLDED} as w from benchmark), d as (select doc_id, {_FOLDED} as w from documents),
+windows as (select distinct item_id, least(len(w), {SPAN}) as n, array_to_string(w[i:i+least(len(w), {SPAN})-1], ' ') as s from (select *, unnest(range(1, greatest(len(w) - {SPAN - 1}, least(len(w), 1)) + 1)) as i from b)),
+lengths as (select distinct n from windows),
+grams as (select doc_id, n, i, array_to_string(w[i:i+n-1], ' ') as s from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d cross join lengths)),
+hits as (select doc_id, item_id, i, g.n from grams g join windows using (n, s)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from hits) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered on covered.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
+"""

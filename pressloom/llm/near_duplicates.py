@@ -310,3 +310,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if not keyed(docs).groupBy("doc_id", "text_id").count().where("count > 1").isEmpty():  # else no need to shuffle texts
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
+
+
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+near as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where k * 5 >= 4 * (x.n + y.n - k)),
+links as (select a as x, b as y from near union all select b, a from near),
+walk(id, g) as (select doc_id, doc_id from documents where doc_id in (select x from links) union select y, g from walk join links on x = id),
+classes as (select id, min(g) as g from walk group by id),
+degrees as (select x, count(*) as n from links group by x)
+select d.doc_id, coalesce(g, d.doc_id) as class_id, coalesce(n, 0) as n_links from documents d left join classes on id = d.doc_id left join degrees on x = d.doc_id
+"""

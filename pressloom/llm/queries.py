@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_substring_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op3_decontamination": decontaminate.SQL, "op8_near_duplicates": near_duplicates.SQL, "op10_substring_dedup": substrings.SQL}

@@ -256,3 +256,14 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, max_cells: int = 1 << 30)
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return deduplicate(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = rf"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+places as (select doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from w),
+windows as (select doc_id, i, count(*) over (partition by array_to_string(w[i:i+{WINDOW - 1}], ' ')) as times from places),
+gone as (select distinct doc_id, unnest(range(i, i + {WINDOW})) as p from windows where times > 1),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from w),
+kept as (select s.doc_id, count(*) as n_words, count(g.p) as n_removed, string_agg(s.x, ' ' order by s.p) filter (where g.p is null) as kept from words s left join gone g on g.doc_id = s.doc_id and g.p = s.p group by s.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join kept k on k.doc_id = d.doc_id
+"""
