@@ -39,9 +39,9 @@ def _selected(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _context(words: list[bytes], pos: int, n: int) -> tuple[int, str]:
-    """Words around a gram, far enough for any window that holds it."""
-    if n != K:
-        return 0, b" ".join(words[pos : pos + n]).decode()
+    """Words around a gram, far enough for any window that holds it; n < 0: the -n words of a short item."""
+    if n < 0:
+        return 0, b" ".join(words[pos : pos - n]).decode()
     low = max(0, pos - (SPAN - K))
     return pos - low, b" ".join(words[low : pos + SPAN]).decode()
 
@@ -73,7 +73,7 @@ def _fingerprints(batches, lengths: list[int], bloom: bytes | None, short_texts:
             mine = [[] for _ in lists]
             for n, place, doc, fp in zip(ns.tolist(), at.tolist(), (np.searchsorted(offsets, at, "right") - 1).tolist(), fps.view(np.int64).tolist(), strict=True):
                 pos = place - int(offsets[doc])
-                left, ctx = _context(lists[doc], pos, K if n == K else -n)
+                left, ctx = _context(lists[doc], pos, n)
                 mine[doc].append({"n": n, "fp": fp, "pos": pos, "n_left": left, "ctx": ctx})
             counts += sizes.tolist()
             found += mine

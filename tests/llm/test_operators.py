@@ -79,6 +79,17 @@ def test_decontamination(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum(n for r, n in want.items() if not r[5])
 
 
+def test_decontamination_meets_items_of_every_length(spark):
+    """Items of 1 to 11 words, each inside one longer text; one text holds none."""
+    item = lambda n: [f"item{n}x{k}" for k in range(n)]
+    around = [f"around{k}" for k in range(20)]
+    texts = spark.createDataFrame([(n, " ".join(around + item(n) + around)) for n in range(1, 12)] + [(0, " ".join(around))], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(item(n))) for n in range(1, 12)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.contamination(texts, bench).collect()}
+    assert got == {n: (n, [n]) for n in range(1, 12)} | {0: (0, [])}
+    assert [r["doc_id"] for r in decontaminate.clean(texts, bench).collect()] == [0]
+
+
 @pytest.mark.parametrize("window", [35, 8])
 def test_substring_dedup(docs, rows, empty, window):
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
