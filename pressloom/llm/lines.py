@@ -12,16 +12,20 @@ its group is within the bound of the earliest.
 Before variants are made, a filter that loses nothing: lines within one word edit share their first or last half.
 Halves that two different lines share are marked in a bitmap of fixed size (SLOTS longs), which the only broadcast
 carries; lines without a marked half make no variants.
+
+Hashing the rest of every place costs the square of a line's length, so lines over MAX_WORDS words take it from running
+XORs of the hashes of (place, word) instead: the same variants at a cost that grows with the words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.llm.common import few_of, staged
 
-#: Shorter lines are never dropped; shorter and longer ones in words are compared for equality alone.
+#: Shorter lines are never dropped; those of fewer words are compared for equality alone, as one word is a seventh of
+#: them or more (titles, dated headings). Longer ones in words make the same variants by another route.
 MIN_CHARS, NEAR_WORDS, MAX_WORDS = 20, 8, 256
 SLOTS = 1 << 18
 #: Which bit of its slot a key marks.
@@ -49,7 +53,7 @@ def _halves(n: Column) -> Column:
 
 def _near_lines(docs: DataFrame) -> DataFrame:
     worded = _lines(docs).withColumn("words", F.split("line", " ")).withColumn("n", F.size("words"))
-    return worded.where(F.col("n").between(NEAR_WORDS, MAX_WORDS))
+    return worded.where(F.col("n") >= NEAR_WORDS)
 
 
 def _slot(key: str) -> Column:
@@ -68,15 +72,33 @@ def _suspects(docs: DataFrame) -> DataFrame:
     return staged(found.select("h1", "h2", "occ", F.split("line", " ").alias("words"), "n"))
 
 
+def _long_variants(lines: DataFrame) -> DataFrame:
+    """key, role, h1 of the variants of lines over MAX_WORDS words; lines of MAX_WORDS words give their whole, which a longer one may meet."""
+    at = lines.where(F.col("n") > MAX_WORDS).select("h1", "n", F.posexplode("words").alias("i", "word"))
+    line = Window.partitionBy("h1").orderBy("i")
+    every, before = Window.partitionBy("h1"), line.rowsBetween(Window.unboundedPreceding, -1)
+    here, moved = F.xxhash64("i", "word"), F.xxhash64(F.col("i") - 1, "word")  # moved: where the word is once an earlier one is out
+    at = at.select("h1", "n", "i", here.alias("here"), moved.alias("moved"))
+    past = lambda x: F.coalesce(F.bit_xor(x).over(before), F.lit(0).cast("long"))
+    at = at.select("h1", "n", "i", "here", "moved", F.bit_xor("here").over(every).alias("all_here"), F.bit_xor("moved").over(every).alias("all_moved"), past("here").alias("past_here"), past("moved").alias("past_moved"))
+    replaced = F.xxhash64(F.lit("replaced long"), "n", "i", F.col("all_here").bitwiseXOR(F.col("here")))
+    rest = F.col("past_here").bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("past_moved")).bitwiseXOR(F.col("moved"))
+    shorter = F.xxhash64(F.lit("left out long"), F.col("n") - 1, rest)
+    keys = F.array(F.struct(replaced.alias("key"), F.lit(0).alias("role")), F.struct(shorter.alias("key"), F.lit(2).alias("role")))
+    words = F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i, w)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    whole = lines.where(F.col("n") >= MAX_WORDS).select(F.xxhash64(F.lit("left out long"), "n", words).alias("key"), F.lit(1).alias("role"), "h1")
+    return at.select("h1", F.inline(keys)).select("key", "role", "h1").union(whole)
+
+
 def near_lines(docs: DataFrame) -> DataFrame:
     """h1, h2 of lines that have an earlier line within one word edit."""
     lines = _suspects(docs)
-    at = lines.select("h1", "words", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    at = lines.where(F.col("n") <= MAX_WORDS).select("h1", "words", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     at = at.select("h1", "n", "i", F.slice("words", 1, F.col("i") - 1).alias("before"), F.slice("words", F.col("i") + 1, F.col("n") - F.col("i")).alias("after"))
     replaced, shorter = F.xxhash64(F.lit("replaced"), "n", "i", "before", "after"), F.xxhash64(F.lit("left out"), "before", "after")
     keys = F.array(F.struct(replaced.alias("key"), F.lit(0).alias("role")), F.struct(shorter.alias("key"), F.lit(2).alias("role")))
-    whole = lines.select(F.xxhash64(F.lit("left out"), "words").alias("key"), F.lit(1).alias("role"), "h1")
-    variants = staged(at.select("h1", F.inline(keys)).select("key", "role", "h1").union(whole))  # read twice
+    whole = lines.where(F.col("n") <= MAX_WORDS).select(F.xxhash64(F.lit("left out"), "words").alias("key"), F.lit(1).alias("role"), "h1")
+    variants = staged(at.select("h1", F.inline(keys)).select("key", "role", "h1").union(whole).union(_long_variants(lines)))  # read twice
     met = variants.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
     met = met.where("low <> high and (r0 = 0 or r0 < r1)").select("key")
     found = staged(variants.join(met, "key").distinct().join(lines, "h1").select("key", "role", "h1", "h2", "occ", "words"))

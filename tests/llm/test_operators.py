@@ -150,6 +150,23 @@ def test_line_dedup(docs, rows, empty):
     assert lines.keep_new(docs).columns == docs.columns
 
 
+def test_long_lines_within_one_word_go(spark):
+    """Lines over MAX_WORDS words, and pairs on both sides of it, lose later lines within one word edit and no others."""
+    rng, texts = random.Random(3), []
+    for n in (lines.MAX_WORDS - 1, lines.MAX_WORDS, lines.MAX_WORDS + 1, 2000):
+        base = [rng.choice(WORDS) for _ in range(n)]
+        texts.append((base, False))
+        for k in (0, n // 2, n - 1):
+            texts += [(base[:k] + ["replaced"] + base[k + 1 :], True), (base[:k] + ["inserted"] + base[k:], True), (base[:k] + base[k + 1 :], True)]
+        texts += [(["two"] + base[1:-1] + ["words"], False), (["more", "words"] + base, False), (base[:-2], False), (base[1:] + base[:1], False)]
+    within = lambda a, b: (sum(x != y for x, y in zip(a, b, strict=True)) <= 1) if len(a) == len(b) else any(b[:k] + b[k + 1 :] == a for k in range(len(b))) if len(b) == len(a) + 1 else False
+    rows = [(i, " ".join(w)) for i, (w, _) in enumerate(texts)]
+    want = {i: int(any(within(*sorted((w, v), key=len)) for v, _ in texts[:i])) for i, (w, _) in enumerate(texts)}
+    assert all(want[i] for i, (_, near) in enumerate(texts) if near) and not all(want.values())
+    got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def shingles(t):
     w = folded(t)
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
