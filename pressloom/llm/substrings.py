@@ -8,6 +8,9 @@ sketch only overestimates, so a window whose anchor is estimated once starts now
 sends only windows of anchors estimated repeated, one row an anchor, and groups them exactly by the hashes of
 all their words (128 bits: anchor and window).
 
+An anchor that the sketch counts HOT times or more is sent by window instead: a key is anchor, offset and window,
+so a passage met in other text each time is spread over all tasks, and any other key has fewer than HOT rows.
+
 Before they are sent, equal rows within an Arrow batch become one row that counts for two, and the batch
 settles its own copies: a passage that fills a third of all rows gives a batch one row. Groups are read as a
 sorted stream in bounded memory. Beyond max_cells the filter passes more windows and the result stays exact.
@@ -16,9 +19,11 @@ sorted stream in bounded memory. Beyond max_cells the filter passes more windows
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ from pressloom.llm.common import WordHash, chunks, gram_hashes, keyed, mixed, sa
 
 WINDOW, GRAM, ROWS = 35, 8, 2
 BLOCK = 1 << 16
+#: Estimated places of an anchor from which its windows are keys of their own (counts of the sketch end here).
+HOT = 1000
 #: Characters of text for one anchor, from the density of least-of-28 anchors (2 in 29 words of 6 characters), kept low.
 CHARS_PER_ANCHOR = 60
 
@@ -58,7 +65,7 @@ def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _sketch(batches, window: int, bits: int):
-    """A task's part of the sketch: for each block of cells, the cells met once and those met more often."""
+    """A task's part of the sketch: for each block of cells, the cells met once, and those met more often with their counts."""
     hashes = WordHash()
     for batch in batches:
         met = [[] for _ in range(ROWS)]
@@ -68,7 +75,7 @@ def _sketch(batches, window: int, bits: int):
                 _, first = np.unique(places, return_index=True)  # each place counts once
                 for row in range(ROWS):
                     met[row].append(_cells(anchors[first], row, bits))
-        blocks, once, often = [], [], []
+        blocks, once, often, times = [], [], [], []
         for row in range(ROWS):
             if met[row]:
                 cells, counts = np.unique(np.concatenate(met[row]), return_counts=True)
@@ -79,29 +86,67 @@ def _sketch(batches, window: int, bits: int):
                     low = (part % BLOCK).astype(np.uint16)
                     once.append(low[count == 1].tobytes())
                     often.append(low[count > 1].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(once, pa.binary()), pa.array(often, pa.binary())], ["block", "once", "often"])
+                    times.append(np.minimum(count[count > 1], HOT).astype(np.uint16).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(once, pa.binary()), pa.array(often, pa.binary()), pa.array(times, pa.binary())], ["block", "once", "often", "times"])
 
 
 def _merged(batches):
-    """Parts of blocks -> one bitmap a block: cells whose counts add up to two or more."""
+    """Parts of blocks -> one bitmap a block: cells whose counts add up to two or more; and the cells that add up to HOT or more."""
     counts: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, once, often in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            cells = counts.setdefault(block, np.zeros(BLOCK, np.uint8))
-            low = np.frombuffer(once, np.uint16)
-            cells[low] = np.minimum(cells[low] + 1, 2)
-            cells[np.frombuffer(often, np.uint16)] = 2
+        for block, once, often, times in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            cells = counts.setdefault(block, np.zeros(BLOCK, np.uint16))
+            for low, n in ((np.frombuffer(once, np.uint16), np.uint16(1)), (np.frombuffer(often, np.uint16), np.frombuffer(times, np.uint16))):
+                cells[low] = np.minimum(cells[low] + n, np.uint16(HOT))
     ids = list(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.packbits(counts[b] > 1).tobytes() for b in ids], pa.binary())], ["block", "bits"])
+    hot = [np.flatnonzero(counts[b] >= HOT).astype(np.uint16).tobytes() for b in ids]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.packbits(counts[b] > 1).tobytes() for b in ids], pa.binary()), pa.array(hot, pa.binary())], ["block", "bits", "hot"])
+
+
+def _met_in(sorted_cells: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(sorted_cells, cells)
+    return sorted_cells[np.minimum(at, len(sorted_cells) - 1)] == cells if len(sorted_cells) else np.zeros(len(cells), bool)
+
+
+def _window_key(anchor: int, offset: int, whole: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(struct.pack("<Qq", anchor, offset) + whole)
+
 
+def _hot_rows(runs: list[tuple]):
+    """Runs (anchor, offset, whole, doc, start) of hot anchors in a batch -> rows (key, doc or None, start, offset, whole or None, n).
 
-def _suspects(batches, window: int, bits: int, sketch: list[np.ndarray]):
-    """Windows whose anchor is estimated repeated: a row an anchor place, with the hashes of its windows."""
+    Windows that the batch repeats leave as runs, with one witness each; any other window is a row of its own.
+    """
+    times: dict[tuple, int] = {}
+    for anchor, offset, whole, _, _ in runs:
+        for i in range(len(whole) // 8):
+            w = (anchor, offset - i, whole[8 * i : 8 * i + 8])
+            times[w] = times.get(w, 0) + 1
+    for anchor, offset, whole, doc, start in runs:
+        run = None
+        for i in range(len(whole) // 8 + 1):
+            w = (anchor, offset - i, whole[8 * i : 8 * i + 8])
+            again = times.get(w, 0) > 1
+            if again and run is None:
+                run = i
+            elif not again and run is not None:
+                yield hash((doc, start + run, anchor)), doc, start + run, offset - run, None, i - run
+                run = None
+            if w[2] and not again:
+                yield _window_key(*w), doc, start + i, offset - i, w[2], 1
+    for w, n in times.items():
+        if n > 1:
+            yield _window_key(*w), None, None, w[1], w[2], 0
+
+
+def _suspects(batches, window: int, bits: int, sketch: list[np.ndarray], hot_cells: list[np.ndarray]):
+    """Windows whose anchor is estimated repeated: a row an anchor place, with the hashes of its windows; a row a window where the anchor is hot."""
     hashes = WordHash()
     for batch in batches:
         texts = batch.column("text").to_pylist()
         ids, text_ids = batch.column("doc_id").to_pylist(), batch.column("text_id").to_pylist()
         seen: dict[tuple, list] = {}  # (anchor, window hashes) -> places in this batch
+        runs: list[tuple] = []  # of hot anchors
         for first, _, words, offsets in chunks(texts, spaced_words, hashes):
             starts, anchors, places = _anchors(words, offsets, window)
             if not len(starts):
@@ -113,12 +158,18 @@ def _suspects(batches, window: int, bits: int, sketch: list[np.ndarray]):
             starts, anchors, places = starts[keep], anchors[keep], places[keep]
             if not len(starts):
                 continue
+            hot = np.ones(len(starts), bool)
+            for row in range(ROWS):
+                hot &= _met_in(hot_cells[row], _cells(anchors, row, bits))
             whole = gram_hashes(words, window)[starts]
             cut = np.flatnonzero((np.diff(places) != 0) | (np.diff(starts) != 1)) + 1
             edges = np.concatenate([[0], cut, [len(starts)]])
             docs = np.searchsorted(offsets, starts, "right") - 1
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 doc = int(docs[a])
+                if hot[a]:
+                    runs.append((int(anchors[a]), int(places[a] - starts[a]), whole[a:b].tobytes(), first + doc, int(starts[a] - offsets[doc])))
+                    continue
                 seen.setdefault((int(anchors[a]), int(places[a] - starts[a]), whole[a:b].tobytes()), []).append((first + doc, int(starts[a] - offsets[doc])))
         out = [[] for _ in range(7)]
         for (anchor, offset, whole), where in seen.items():
@@ -131,6 +182,11 @@ def _suspects(batches, window: int, bits: int, sketch: list[np.ndarray]):
             if len(where) > 1:  # a witness that stands for all copies in this batch
                 for column, value in zip(out, (key, None, None, None, offset, whole, 0), strict=True):
                     column.append(value)
+        for key, doc, start, offset, whole, n in _hot_rows(runs):
+            key = np.uint64(key & 0xFFFFFFFFFFFFFFFF).view(np.int64).item()
+            row = (key, None if doc is None else ids[doc], None if doc is None else text_ids[doc], start, offset, whole, n)
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
         types = [pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["anchor", "doc_id", "text_id", "start", "offset", "whole", "n"])
 
@@ -238,15 +294,17 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, max_cells: int = 1 << 30)
     doc_id = read.schema["doc_id"].dataType.simpleString()
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(16, min(int(max_cells).bit_length() - 1, int(4 * chars / CHARS_PER_ANCHOR).bit_length()))
-    parts = read.select("text").mapInArrow(lambda it: _sketch(it, window, bits), "block bigint, once binary, often binary")
-    merged = parts.repartition("block").mapInArrow(_merged, "block bigint, bits binary")
+    parts = read.select("text").mapInArrow(lambda it: _sketch(it, window, bits), "block bigint, once binary, often binary, times binary")
+    merged = parts.repartition("block").mapInArrow(_merged, "block bigint, bits binary, hot binary")
     sketch = [np.zeros(1 << bits - 3, np.uint8) for _ in range(ROWS)]
-    for row in merged.toLocalIterator():  # at most ROWS * max_cells / 8 bytes
+    hot: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
+    for row in merged.toLocalIterator():  # at most ROWS * max_cells / 8 bytes, and a cell for every HOT anchors of the text
         at = (row["block"] & 0xFFFFFFFF) * (BLOCK // 8)
         sketch[row["block"] >> 32][at : at + BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(sketch)
+        hot[row["block"] >> 32].append((row["block"] & 0xFFFFFFFF) * BLOCK + np.frombuffer(row["hot"], np.uint16).astype(np.int64))
+    shared = spark.sparkContext.broadcast((sketch, [np.sort(np.concatenate([np.zeros(0, np.int64), *x])) for x in hot]))
     names = f"anchor bigint, doc_id {doc_id}, text_id bigint, start bigint, offset int, whole binary, n int"
-    suspects = read.mapInArrow(lambda it: _suspects(it, window, bits, shared.value), names)
+    suspects = read.mapInArrow(lambda it: _suspects(it, window, bits, *shared.value), names)
     runs = suspects.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, f"doc_id {doc_id}, text_id bigint, start bigint, n int")
     runs = runs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     both = read.join(runs, same_row(read, runs), "left").select(read["doc_id"], read["text_id"], "text", "runs")

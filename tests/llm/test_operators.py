@@ -150,6 +150,28 @@ def test_line_dedup(docs, rows, empty):
     assert lines.keep_new(docs).columns == docs.columns
 
 
+def test_a_hot_anchor_is_spread_over_its_windows(spark, monkeypatch):
+    """A passage in other text each time: results stay exact, and no key of the shuffle has HOT rows."""
+    rng, width = random.Random(7), substrings.WINDOW
+    passage = [f"licence{k}" for k in range(30)]
+    texts = [[f"w{rng.random()}" for _ in range(20)] + passage + [f"w{rng.random()}" for _ in range(20)] for _ in range(1500)]
+    texts += [texts[0], texts[1], ["other"] + texts[2][5:60], passage + ["end"] * 10, passage + ["end"] * 10]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4).cache()
+    times = collections.Counter(tuple(w[k : k + width]) for w in texts for k in range(len(w) - width + 1))
+    want = {i: len({p for k in range(len(w) - width + 1) if times[tuple(w[k : k + width])] > 1 for p in range(k, k + width)}) for i, w in enumerate(texts)}
+    sizes = spark.sparkContext.accumulator(0)
+    repeated = substrings._repeated
+
+    def counted(batches):
+        for b in batches:
+            sizes.add(max(collections.Counter(a for a, w in zip(b.column("anchor").to_pylist(), b.column("whole").to_pylist(), strict=True) if w is not None).values(), default=0))
+            yield b
+
+    monkeypatch.setattr(substrings, "_repeated", lambda it: repeated(counted(it)))
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(table).collect()} == want
+    assert 0 < sizes.value < 1000  # any key has fewer than HOT rows
+
+
 def test_long_lines_within_one_word_go(spark):
     """Lines over MAX_WORDS words, and pairs on both sides of it, lose later lines within one word edit and no others."""
     rng, texts = random.Random(3), []
