@@ -3,7 +3,8 @@
 A document is its token ids and an end id. It is cut into pieces of SEQUENCE ids and a rest; whole pieces fill
 sequences of their own, rests are packed longest first into the first sequence of their group that has room.
 A tournament tree over the room that is left in a group's sequences finds that one in a logarithm of steps.
-Only piece sizes are shuffled, never text; a group holds about GROUP documents whatever the corpus.
+Only piece sizes are shuffled, never text; a group holds about GROUP documents whatever the corpus. A row's group is
+drawn from its id, its text and its place in its task, so that many equal rows are spread over the groups too.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SEQUENCE, END_ID, GROUP, SEED = 2048, 1, 4096, 17
 
 def _pieces(batches, path: str, size: int, end_id: int):
     """Texts -> pieces: start, length and checksum of their ids."""
-    tokenizer, end = loaded(path), int(end_id).to_bytes(4, "little")
+    tokenizer, end, row = loaded(path), int(end_id).to_bytes(4, "little"), 0
     for batch in batches:
         rows, out = [], [[] for _ in range(4)]
         for i, ids in enumerate(tokenizer.ids(batch.column("text").to_pylist())):
@@ -36,12 +37,14 @@ def _pieces(batches, path: str, size: int, end_id: int):
                 for column, value in zip(out, (start, len(part) // 4, zlib.crc32(part), n), strict=True):
                     column.append(value)
         at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_id").take(at), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", "text_id", "start", "length", "ids_crc32", "doc_tokens"])
+        place = pa.array(np.array(rows, np.int64) + row)
+        row += batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_id").take(at), *(pa.array(x, pa.int64()) for x in out), place], ["doc_id", "text_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
 
 
 def first_fit(sizes: np.ndarray, room: int) -> tuple[list[int], list[int]]:
     """Bin and offset of each size, in the given order; a size goes to the first bin with room for it."""
-    leaves = 1 << max(0, int(len(sizes) - 1).bit_length())
+    leaves = 1 << max(0, int(max(len(sizes), 1) - 1).bit_length())
     tree = [room] * (2 * leaves)  # tree[i]: the most room below node i
     bins, offsets = [], []
     for size in sizes.tolist():
@@ -64,8 +67,11 @@ def first_fit(sizes: np.ndarray, room: int) -> tuple[list[int], list[int]]:
 
 def _packed(rows: pd.DataFrame, size: int) -> pd.DataFrame:
     rows = rows.sort_values(["length", "doc_id", "text_id", "start"], ascending=[False, True, True, True], kind="stable")
-    bins, offsets = first_fit(rows["length"].to_numpy(), size)
-    return rows.assign(sequence_id=rows["bucket"] * (1 << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64)).drop(columns="bucket")
+    lengths = rows["length"].to_numpy()
+    whole = int((lengths == size).sum())  # these come first and need no search
+    bins, offsets = first_fit(lengths[whole:], size)
+    bins, offsets = np.append(np.arange(whole), np.array(bins, np.int64) + whole), np.append(np.zeros(whole, np.int64), np.array(offsets, np.int64))
+    return rows.assign(sequence_id=rows["bucket"] * (1 << 32) + bins, offset=offsets).drop(columns="bucket")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
@@ -79,8 +85,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, en
     read = keyed(docs)
     doc_id = read.schema["doc_id"].dataType.simpleString()
     names = f"doc_id {doc_id}, text_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    pieces = read.mapInArrow(lambda it: _pieces(it, path, size, end_id), names)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_id", F.lit(SEED)), F.lit(groups)))
+    pieces = read.mapInArrow(lambda it: _pieces(it, path, size, end_id), f"{names}, place bigint")
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_id", "place", F.lit(SEED)), F.lit(groups))).drop("place")
     return pieces.groupBy("bucket").applyInPandas(lambda rows: _packed(rows, size), f"{names}, sequence_id bigint, offset bigint")
 
 

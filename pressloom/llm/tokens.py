@@ -41,17 +41,23 @@ class WordBpe:
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _pieces(self, chunk: str) -> list[str] | None:
+    def _pieces(self, chunk: str) -> tuple[str, ...] | list[str] | None:
         if "Σ" in chunk or "<|" in chunk and any(s in chunk for s in self.special):
             return None
-        return self.cut.findall(unicodedata.normalize("NFC", chunk).lower())
-
-    def _learn(self, chunks: set[bytes]) -> None:
+        low = unicodedata.normalize("NFC", chunk).lower()
+        if low.isalpha():
+            return (low,)
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return (low[:-1], low[-1])
+        return self.cut.findall(low)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the chunks of one text."""
         if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
         if len(self.pieces) > CACHE_CHUNKS // 2:
             self.pieces.clear()
-        cut = {c: self._pieces(c.decode()) for c in chunks}
+        cut = {c: self._pieces(c.decode()) for c in set(words).difference(self.chunks)}
         new = list({p for pieces in cut.values() for p in pieces or () if p not in self.pieces})
         for piece, found in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.pieces[piece] = array("I", found.ids).tobytes()
@@ -62,15 +68,15 @@ class WordBpe:
                 self.chunks[chunk] = b"".join(map(self.pieces.__getitem__, pieces))
 
     def ids(self, texts: list[bytes]):
-        """The ids of each text, as bytes, a bounded number of chunks at a time."""
-        for first in range(0, len(texts), 128):
-            docs = [t.split() for t in texts[first : first + 128]]
-            if new := {c for d in docs for c in d if c not in self.chunks}:
-                self._learn(new)
-                if missing := {c for d in docs for c in d if c not in self.chunks}:  # the cache was emptied meanwhile
-                    self._learn(missing)
-            for d in docs:
-                yield b"".join(map(self.chunks.__getitem__, d))
+        """The ids of each text, as bytes."""
+        known = self.chunks.__getitem__
+        for text in texts:
+            words = text.split()
+            try:
+                yield b"".join(map(known, words))
+            except KeyError:
+                self._learn(words)
+                yield b"".join(map(known, words))
 
     def counts(self, texts: list[bytes]) -> list[int]:
         return [len(x) // 4 for x in self.ids(texts)]
