@@ -89,26 +89,6 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(flat), nodes.take(at)], ["key", "node"])
 
 
-def _crowded(batches):
-    """Rows sorted by key -> the rows of keys with two rows or more, numbered within the key."""
-    last, held, rank = None, None, 0
-    for batch in batches:
-        keys, nodes, ranks = [], [], []
-        for key, node in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), strict=True):
-            if key != last:
-                last, held, rank = key, node, 0
-                continue
-            if rank == 0:
-                keys.append(key)
-                nodes.append(held)
-                ranks.append(0)
-            rank += 1
-            keys.append(key)
-            nodes.append(node)
-            ranks.append(rank)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(ranks, pa.int64())], ["key", "node", "rank"])
-
-
 def least_matches(threshold: float, tolerance: float) -> list[int]:
     """After each STEP compared values, the fewest matches that leave P(similarity >= threshold | matches) >= tolerance.
 
@@ -270,10 +250,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     known = seen.where("node is not null")
     nodes = staged(known.groupBy("node").agg(F.count("*").alias("copies"), F.min(row).alias("row"), F.max("keys").alias("keys"), F.max("sig").alias("sig")))
     bands = nodes.select("node", "keys").mapInArrow(_bands, "key bigint, node binary")
-    crowded = staged(bands.repartition("key").sortWithinPartitions("key").mapInArrow(_crowded, "key bigint, node binary, rank bigint"))
-    large = crowded.where(F.col("rank") >= BUCKET_BLOCK).groupBy("key").agg((F.max("rank") + 1).alias("size"))
-    blocks = F.coalesce(F.ceil(F.col("size") / BUCKET_BLOCK), F.lit(1))
-    placed = crowded.join(large, "key", "left").select("key", "node", F.floor(F.col("rank") / BUCKET_BLOCK).cast("int").alias("block"), blocks.alias("blocks"))
+    crowded = staged(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    # a plain join, so that Spark splits the rows of a hot key; a key's nodes are dealt to blocks by their hash
+    blocks = F.ceil(F.col("size") / BUCKET_BLOCK)
+    placed = bands.join(crowded.hint("merge"), "key").select("key", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     tiles = _tiles(placed, "blocks", "block").join(nodes.select("node", "sig"), "node")
     least = least_matches(threshold, tolerance)
     pruned = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(lambda it: _pruned(it, least), "a binary, b binary")
