@@ -7,9 +7,13 @@ the alphabet, and serial correlation of neighbours. Fisher's sum of the log p-va
 words, low for keys.
 
 Words do pass by chance, the more often the shorter they are. The rate is measured: the letters of every document
-outside its candidates, joined without their spaces and cut into pieces of one length class, go through the same battery as decoys. For each
-encoding and length class the cut is the highest score at which decoys that pass, scaled to the number of candidates,
-are at most FDR of the candidates that pass. The counts are a table of a fixed number of bins, summed over all data.
+outside its candidates, joined without their spaces and cut into pieces, go through the same battery as decoys. A hash
+of the text says which length class its pieces have and which alphabet they are written in (their own, or letters
+mapped to decimal digits, hexadecimal or base 32), so that every document gives decoys to one class and one encoding.
+For each encoding and length class the cut is the highest score at which the class's decoys that pass, scaled to the
+number of its candidates, are at most FDR of the candidates that pass, and never above NOMINAL, the score that a random
+token exceeds once in a thousand: twenty zeros or a counter are no secret whatever the decoys. The counts are a table
+of a fixed number of bins, summed over all data.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from pressloom.llm.common import keyed, staged
 
 FDR, BINS, MIN_TOKEN = 0.01, 64, 20
+#: Upper one in a thousand of the chi-squared law with six degrees, that of Fisher's sum of three tests.
+NOMINAL = 22.46
 #: Fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -50,6 +56,13 @@ def _codes() -> np.ndarray:
     return out
 
 
+def _written(alphabet: str) -> bytes:
+    """Table that writes letters of either case and digits in an alphabet."""
+    return bytes(ord(alphabet[(c - 97) % len(alphabet)]) if 97 <= c <= 122 else ord(alphabet[(c - 65) % len(alphabet)]) if 65 <= c <= 90 else ord(alphabet[(c - 48) % len(alphabet)]) if 48 <= c <= 57 else c for c in range(256))
+
+
+#: Alphabets that decoys are written in; none: as they are.
+WRITTEN = (None, *(_written(a) for a in _ALPHABETS[:3]))
 CODES, SIZES = _codes(), np.array([len(a) for a in _ALPHABETS])
 
 
@@ -126,7 +139,9 @@ def _scan(batches):
                 owners.append(i)
                 spans.append(m.span())
                 tokens.append(m.group().encode())
-            prose, n = PROSE.sub("", TOKEN.sub("", text)).encode(), LENGTHS[text_id % len(LENGTHS)]
+            prose, n, alphabet = PROSE.sub("", TOKEN.sub("", text)).encode(), LENGTHS[text_id % len(LENGTHS)], WRITTEN[text_id // len(LENGTHS) % len(WRITTEN)]
+            if alphabet:
+                prose = prose.translate(alphabet)
             decoys += [prose[a : a + n] for a in range(0, len(prose) - n + 1, n)]
             size += len(prose)
             if size > 2_000_000:
@@ -161,21 +176,20 @@ def _count(decoys: list[bytes], table: np.ndarray) -> None:
 def cuts(found: dict[tuple[int, int, int], int], decoys: dict[tuple[int, int, int], int], fdr: float) -> dict[tuple[int, int], int]:
     """Highest bin that passes for each (encoding, length class).
 
-    The rate of passing decoys is taken from the class itself or from it and all shorter ones, which pass more often by
-    chance, whichever is less; either way one decoy more than seen is assumed to pass.
+    The rate of passing decoys is taken from the class itself or from it and all shorter ones of its encoding, which pass
+    more often by chance, whichever is less; either way one decoy more than seen is assumed to pass.
     """
-    out = {}
+    out, last = {}, int(NOMINAL / 2)
     for enc in range(len(ENCODINGS)):
         for n in range(len(LENGTHS)):
             real = np.cumsum([found.get((enc, n, b), 0) for b in range(BINS)])
-            all_real = sum(v for (_, m, _), v in found.items() if m == n)
             rates = []
             for classes in ({n}, set(range(n + 1))):
                 fake = np.cumsum([sum(decoys.get((enc, m, b), 0) for m in classes) for b in range(BINS)])
-                rates.append((fake + 1) / (1 + sum(v for (_, m, _), v in decoys.items() if m in classes)))
-            ok = np.flatnonzero((real > 0) & (np.minimum(*rates) * all_real <= fdr * real))
+                rates.append((fake + 1) / (1 + fake[-1]))
+            ok = np.flatnonzero((real > 0) & (np.minimum(*rates) * real[-1] <= fdr * real))
             if len(ok):
-                out[enc, n] = int(ok.max())
+                out[enc, n] = min(last, int(ok.max()))
     return out
 
 
