@@ -43,7 +43,10 @@ class TokenTotals:
     """The rollup in one shared folder.
 
     Null source, lang and text are values of their own (null text: 0 tokens). Inserting a document twice counts it
-    twice; deleting or revising takes back every entry of its doc_id; deleting an unknown or null doc_id does nothing.
+    twice; deleting or revising takes back every entry that earlier batches left for its doc_id; a revise of a doc_id
+    that they left nothing for is an insert; a null doc_id has no entries to take back. The rows of one batch do not
+    see each other: a document that a batch both inserts and deletes loses its earlier entries and keeps the new one,
+    and every insert and revise row of a batch adds an entry. Rows with another op, or none, do nothing.
     """
 
     def __init__(self, spark: SparkSession, folder: str, tokenizers: dict[str, str] | None = None):
@@ -63,10 +66,10 @@ class TokenTotals:
         """changes: op ('insert', 'delete' or 'revise'), doc_id, source, lang, text. False: it was committed before."""
         if batch in self._batches():
             return False
-        added = count_tokens(changes.where("op <> 'delete'"), self.tokenizers).withColumn("sign", F.lit(1))
+        added = count_tokens(changes.where("op in ('insert', 'revise')"), self.tokenizers).withColumn("sign", F.lit(1))
         ledger = self._read("entries")
         if ledger is not None:
-            gone = changes.where("op <> 'insert'").select("doc_id").distinct()
+            gone = changes.where("op in ('delete', 'revise')").select("doc_id").distinct()
             current = ledger.groupBy("doc_id", *GROUP, "n_tokens").agg(F.sum("sign").cast("int").alias("sign"))
             taken = current.where("sign > 0").join(gone, "doc_id", "left_semi").withColumn("sign", -F.col("sign"))
             added = added.unionByName(taken)
