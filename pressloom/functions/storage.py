@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which is set here only where it is unset."""
+    """A new folder under spark.checkpoint.dir. Unset, it is set here where all tasks run in this process; anything else raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+    path = f"{root}/{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -26,3 +36,13 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Removes the folders that this session has written so far; call it when their results have been saved. Number of folders."""
+    paths, hadoop = list(_MADE), spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _MADE.remove(path)
+    return len(paths)

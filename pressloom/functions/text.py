@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 #: Accented letters and their plain forms, for the path without Python.
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
-#: Spanish words that carry no topic.
-STOPWORDS = ("a", "al", "ante", "con", "de", "del", "desde", "e", "el", "en", "entre", "es", "la", "las", "lo", "los", "o", "para", "por", "que", "se", "sin", "sobre", "su", "sus", "un", "una", "y")
+#: Spanish words that carry no topic, question words among them.
+STOPWORDS = tuple(
+    """a al algo algun alguna algunas alguno algunos ante antes aqui asi aun cada como con contra cual cuales cuando cuanta cuantas cuanto cuantos
+    de del desde donde dos e el ella ellas ellos en entre era eran es esa esas ese eso esos esta estaba estan estar este esto estos
+    fue fueron ha han hasta hay la las le les lo los mas me mi mis muy ni no nos o otra otras otro otros para pero poco por porque que quien quienes
+    se ser si sin sobre son su sus tambien tan tanto te tiene todo todos tu tus un una uno unos y ya yo""".split()
+)
 #: Month names in order.
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 QUARTERS = ("primer", "segundo", "tercer", "cuarto")
@@ -40,9 +45,13 @@ def tokens(c: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
 
 
 def stem(w: Column) -> Column:
-    """Light plural stem: -es after four letters or more, then -s."""
+    """Light plural stem: -ciones to -cion; else -es after a consonant; else -s, but not of -sis."""
     n = F.length(w)
-    return F.when((n > 4) & w.endswith("es"), F.substring(w, F.lit(1), n - 2)).when((n > 3) & w.endswith("s"), F.substring(w, F.lit(1), n - 1)).otherwise(w)
+    cut = lambda k: F.substring(w, F.lit(1), n - k)
+    return (
+        F.when(w.endswith("ciones"), cut(2)).when((n > 4) & w.endswith("es") & ~F.substring(w, n - 2, F.lit(1)).isin(*"aeiou"), cut(2))
+        .when((n > 3) & w.endswith("s") & ~w.endswith("sis"), cut(1)).otherwise(w)
+    )
 
 
 def clean_text(c: Column) -> Column:
@@ -64,7 +73,7 @@ def parse_number(c: Column) -> Column:
 
 def spanish_number(c: Column, decimals: int = 2) -> Column:
     """Fixed decimals with a comma."""
-    return F.replace(F.format_string(f"%.{decimals}f", c), F.lit("."), F.lit(","))
+    return F.when(c.isNotNull(), F.replace(F.format_string(f"%.{decimals}f", c), F.lit("."), F.lit(",")))
 
 
 def spanish_period(c: Column) -> Column:

@@ -1,31 +1,126 @@
-"""Official context of a report: rules that fire on its words, and the catalog event nearest in time."""
+"""Official context of a group of reports: rules that fire on its words, and what each rule's finders find.
+
+Rules are data: a name, key words, topics (none: any), finders in order of preference and the reason given when none
+finds anything. Finders: ('latest', prefix), the newest point with a value of a series; ('nearest', ''), the catalog
+event nearest in time.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.functions.text import matched_word
+from pressloom.functions.text import fold, matched_word, word_pattern
+
+#: Span of a catalog event, tolerance of a stated magnitude, and the box and name of the country.
+SPAN_S, TOLERANCE = 86400, 0.3
+HOME, LATITUDES, LONGITUDES = "panama", (7.0, 9.7), (-83.1, -77.1)
+#: Other countries and own regions, folded.
+OTHERS = ("colombia", "costa rica", "mexico", "chile", "peru", "ecuador", "guatemala", "japon", "nicaragua", "honduras", "el salvador", "venezuela", "argentina", "bolivia", "haiti", "cuba", "turquia", "indonesia", "filipinas", "china", "iran", "italia", "grecia", "nepal", "nueva zelanda")
+REGIONS = ("panama", "bocas del toro", "chiriqui", "veraguas", "cocle", "herrera", "los santos", "colon", "panama oeste", "darien", "guna yala", "embera-wounaan", "ngabe-bugle")
+MOST_RULES = 1000
+#: Reasons that stand where no link is made.
+NONE, FOREIGN = "no official record measures this", "the report is about another country"
+
+
+@dataclass(frozen=True)
+class Rule:
+    name: str
+    words: tuple[str, ...]
+    topics: tuple[str, ...] = ()
+    finders: tuple[tuple[str, str], ...] = ()
+    none: str = NONE
+
 
+def read_rules(rules: DataFrame) -> list[Rule]:
+    """rules: ord, name, words, topics (arrays), finders (array of kind and prefix), none -> rules in order. A rule table is small: more than MOST_RULES raise."""
+    rows = rules.orderBy("ord").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return [Rule(r["name"], tuple(r["words"]), tuple(r["topics"] or ()), tuple((f["kind"], f["prefix"]) for f in r["finders"] or ()), r["none"] or NONE) for r in rows]
 
-def fired_rules(reports: DataFrame, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> DataFrame:
-    """reports: id, text, topic; rules: name, words, topics (none: any) -> id, rule, word. Rules are few, so each is a column of the one scan."""
-    found = [F.struct(F.lit(name).alias("rule"), F.when(F.col("topic").isin(*topics) if topics else F.lit(True), matched_word(F.col("text"), words)).alias("word")) for name, words, topics in rules]
+
+def fired_rules(reports: DataFrame, rules: Sequence[Rule | tuple]) -> DataFrame:
+    """reports: id, text, topic -> id, rule, word. Rules are few, so each is a column of the one scan."""
+    all_rules = [r if isinstance(r, Rule) else Rule(*r) for r in rules]
+    found = [F.struct(F.lit(r.name).alias("rule"), F.when(F.col("topic").isin(*r.topics) if r.topics else F.lit(True), matched_word(F.col("text"), r.words)).alias("word")) for r in all_rules]
     return reports.select("id", F.inline(F.filter(F.array(*found), lambda r: r["word"].isNotNull())))
 
 
-def closest_event(reports: DataFrame, events: DataFrame, span_s: int = 86400, tolerance: float = 0.3) -> DataFrame:
-    """reports: id, moment, magnitude (NULL: any); events: event, moment, magnitude -> id, event, gap: nearest in time within span_s, ties by event.
+def magnitudes_in(text: Column) -> Column:
+    """Magnitudes that a text states: 'magnitud (de) 4,5', '4.5 grados / de magnitud / en la escala', 'M 4.5'."""
+    number = r"([0-9]+(?:[.,][0-9]+)?)"
+    plain = fold(text)
+    found = [F.regexp_extract_all(plain, F.lit(rf"magnitud\s+(?:de\s+)?{number}"), F.lit(1)), F.regexp_extract_all(plain, F.lit(rf"{number}\s*(?:grados|de magnitud|en la escala)"), F.lit(1)), F.regexp_extract_all(text, F.lit(rf"(?:^|[^\p{{L}}\p{{N}}_])M\s?{number}"), F.lit(1))]
+    return F.transform(F.concat(*found), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+
+
+def in_country(place: Column, latitude: Column, longitude: Column, name: str = HOME, latitudes: tuple[float, float] = LATITUDES, longitudes: tuple[float, float] = LONGITUDES) -> Column:
+    """Whether the place names the country or the point lies in its box."""
+    return F.coalesce(fold(place).contains(name), F.lit(False)) | F.coalesce(latitude.between(*latitudes) & longitude.between(*longitudes), F.lit(False))
+
+
+def names_another_country(text: Column, others: Sequence[str] = OTHERS, regions: Sequence[str] = REGIONS) -> Column:
+    """Whether a text names another country and no region of one's own."""
+    plain = fold(text)
+    return F.coalesce(plain.rlike(word_pattern(others)) & ~plain.rlike(word_pattern(regions)), F.lit(False))
+
+
+def latest_points(official: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+    """official: evidence, fields -> prefix, evidence: the newest period with a value among the ids of each prefix (ties: the least id)."""
+    valued = official.where(F.coalesce(F.try_element_at("fields", F.lit("valor")), F.lit("")) != "")
+    which = F.filter(F.array(*[F.lit(p) for p in prefixes]).cast("array<string>"), lambda p: F.startswith("evidence", p))
+    rows = valued.select("evidence", F.element_at("fields", F.lit("periodo")).alias("period"), F.explode(which).alias("prefix"))
+    newest = rows.groupBy("prefix").agg(F.max("period").alias("period"))
+    return rows.join(newest, ["prefix", "period"]).groupBy("prefix").agg(F.min("evidence").alias("evidence"))
+
+
+def closest_event(reports: DataFrame, events: DataFrame, span_s: int = SPAN_S, tolerance: float = TOLERANCE) -> DataFrame:
+    """reports: id, moment, magnitude (NULL: any; or an array: any of them, none if empty); events: event, moment, magnitude
+    -> id, event, gap: nearest in time within span_s, ties by event.
 
     Time is cut into buckets of span_s: an event stands in its own and both neighbours, so the join is on equal buckets.
+    Events of one bucket and magnitude (one decimal) that share a moment stand for each other: the least is kept, so the
+    join's output follows the catalog's distinct moments.
     """
     own = F.floor(F.col("moment") / span_s)
-    e = events.select("event", F.col("moment").alias("at_s"), F.col("magnitude").alias("size"), F.explode(F.sequence(own - 1, own + 1)).alias("bucket"))
+    one = events.groupBy("moment", "magnitude").agg(F.min("event").alias("event"))
+    e = one.select("event", F.col("moment").alias("at_s"), F.col("magnitude").alias("size"), F.explode(F.sequence(own - 1, own + 1)).alias("bucket"))
     r = reports.withColumn("bucket", F.floor(F.col("moment") / span_s))
     gap = F.abs(F.col("moment") - F.col("at_s"))
-    fits = F.col("magnitude").isNull() | (F.round(F.abs(F.col("magnitude") - F.col("size")), 1) <= tolerance)
+    if reports.schema["magnitude"].dataType.typeName() == "array":
+        fits = F.col("magnitude").isNull() | (F.size("magnitude") == 0) | F.exists("magnitude", lambda m: F.round(F.abs(m - F.col("size")), 1) <= tolerance)
+    else:
+        fits = F.col("magnitude").isNull() | (F.round(F.abs(F.col("magnitude") - F.col("size")), 1) <= tolerance)
     near = r.join(e, "bucket").where((gap <= span_s) & fits)
     best = near.groupBy("id").agg(F.min(F.struct(gap.alias("gap"), "event")).alias("best"))
     return best.select("id", F.col("best.event").alias("event"), F.col("best.gap").alias("gap"))
+
+
+def link_context(groups: DataFrame, rules: Sequence[Rule], official: DataFrame, catalog: DataFrame, others: Sequence[str] = OTHERS, regions: Sequence[str] = REGIONS) -> tuple[DataFrame, DataFrame]:
+    """groups: id, text, topic, moment (earliest); official: evidence, fields; catalog: event (an evidence id), moment, magnitude, home.
+
+    -> (id, evidence, rule, word: what the first finder of each rule that fires finds, a piece of evidence once, under its
+    first rule; id, reason: why a group has no link). A text about another country links to nothing.
+    """
+    foreign = names_another_country(F.col("text"), others, regions)
+    own = groups.where(~foreign)
+    place = {r.name: (i, r) for i, r in enumerate(rules)}
+    fired = fired_rules(own, rules)
+    tried = F.element_at(F.create_map(*[x for name, (i, r) in place.items() for x in (F.lit(name), F.struct(F.lit(i).alias("ord"), F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("prefix")) for k, p in r.finders]).cast("array<struct<kind:string,prefix:string>>").alias("finders")))]), F.col("rule"))
+    steps = fired.select("id", "rule", "word", tried.alias("t")).select("id", "rule", "word", "t.ord", F.posexplode("t.finders").alias("k", "f"))
+    steps = steps.select("id", "rule", "word", "ord", "k", "f.kind", "f.prefix")
+    latest = latest_points(official, sorted({p for r in rules for k, p in r.finders if k == "latest"}))
+    nearest = closest_event(own.select("id", "moment", magnitudes_in(F.col("text")).alias("magnitude")), catalog.where("home").select("event", "moment", "magnitude"))
+    found = steps.where("kind = 'latest'").join(F.broadcast(latest), "prefix").select("id", "rule", "word", "ord", "k", "evidence")  # a row a prefix of a rule
+    found = found.unionByName(steps.where("kind = 'nearest'").join(nearest.select("id", F.col("event").alias("evidence")), "id").select("id", "rule", "word", "ord", "k", "evidence"))
+    first = found.groupBy("id", "rule", "word", "ord").agg(F.min(F.struct("k", "evidence"))["evidence"].alias("evidence"))
+    links = first.groupBy("id", "evidence").agg(F.min(F.struct("ord", "rule", "word")).alias("r")).select("id", "evidence", "r.rule", "r.word")
+    empty = fired.join(first.select("id", "rule"), ["id", "rule"], "left_anti")
+    whys = F.create_map(*[x for name, (i, r) in place.items() for x in (F.lit(name), F.struct(F.lit(i).alias("ord"), F.lit(r.none).alias("none")))])
+    unfound = empty.groupBy("id").agg(F.min(F.element_at(whys, F.col("rule")))["none"].alias("none"))
+    lone = groups.select("id", foreign.alias("foreign")).join(links.select("id").distinct(), "id", "left_anti").join(unfound, "id", "left")
+    return links, lone.select("id", F.when(F.col("foreign"), FOREIGN).otherwise(F.coalesce("none", F.lit(NONE))).alias("reason"))

@@ -24,9 +24,9 @@ def refreshed(rows: DataFrame, newer: DataFrame) -> DataFrame:
     return rows.join(new, "id", "left").select("id", "kind", F.coalesce("_new", "value").alias("value"), F.col("_new").isNotNull().alias("replaced"))
 
 
-def official_first(news: DataFrame, official: DataFrame) -> DataFrame:
-    """Union of both by id; an official record wins over a report of the same id."""
-    return official.unionByName(news.join(official.select("id"), "id", "left_anti"))
+def official_first(news: DataFrame, official: DataFrame, key: str = "evidence") -> DataFrame:
+    """Union of both by key; an official record wins over a report of the same key."""
+    return official.unionByName(news.join(official.select(key), key, "left_anti"))
 
 
 def case_questions(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -66,6 +66,12 @@ def snapshot_state(listed: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("file", F.when(F.col("file").rlike(r"(^/|(^|/)\.\.(/|$))"), "unsafe").when(F.col("_found").isNull(), "missing").when(F.col("_found") != F.col("hash"), "mismatched").otherwise("verified").alias("state"))
 
 
+def snapshot_verdict(states: DataFrame) -> DataFrame:
+    """states: file, state -> one row: 'invalid' with a mismatch or an unsafe name, else 'incomplete' with a missing file or none at all, else 'verified'."""
+    counts = states.agg(F.count("*").alias("n"), F.count_if(F.col("state").isin("mismatched", "unsafe")).alias("bad"), F.count_if(F.col("state") == "missing").alias("lost"))
+    return counts.select(F.when(F.col("bad") > 0, "invalid").when((F.col("lost") > 0) | (F.col("n") == 0), "incomplete").otherwise("verified").alias("verdict"))
+
+
 def distinct_versions(versions: DataFrame) -> DataFrame:
     """versions: answer, pos, key, evidence -> the first version of each value key and of each piece of evidence, in order."""
     by_key = versions.groupBy("answer", "key").agg(F.min(F.struct("pos", "evidence")).alias("v")).select("answer", "key", "v.pos", "v.evidence")

@@ -10,6 +10,11 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
+def ndcg_gain(grade: Column, rank: Column) -> Column:
+    """Gain of a grade at a rank (from 1)."""
+    return (F.pow(F.lit(2.0), grade) - 1) / (F.ln(rank + F.lit(1.0)) / F.ln(F.lit(2.0)))
+
+
 def binary_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """rows: truth, predicted (nullable: missing, which counts against recall) -> tp, fp, fn, tn, missing, precision, recall, f1."""
     p, t = F.coalesce(F.col("predicted"), F.lit(False)), F.col("truth")

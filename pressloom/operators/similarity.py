@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.functions.storage import staged
 from pressloom.functions.text import near_identical
 
 WINDOW_S, BLOCK = 72 * 3600, 2000
@@ -56,33 +57,61 @@ def window_pairs(items: DataFrame, least: float, below: float | None = None, win
     return rows.select("id", "v", "moment", F.explode(stands).alias("s")).select("id", "v", "moment", "s.*").groupBy(*keys).applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
 
 
+def near_pairs(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """left: id, v; right: other, v -> id, other, cosine of every pair at or over least. Both sides are dealt into blocks by
+    hash; a task multiplies one block of each, so a row is sent once for every block of the other side."""
+    nl, nr = (max(1, -(-d.count() // block)) for d in (left, right))
+    one = left.select("id", F.lit(None).cast(right.schema["other"].dataType).alias("other"), "v", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("c"), F.lit(0).alias("side"))
+    two = right.select(F.lit(None).cast(left.schema["id"].dataType).alias("id"), "other", "v", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("r"), F.pmod(F.xxhash64("other"), F.lit(nr)).cast("int").alias("c"), F.lit(1).alias("side"))
+    kinds = {n: d.schema[n].dataType.simpleString() for d, n in ((left, "id"), (right, "other"))}
+
+    def multiply(both: pd.DataFrame) -> pd.DataFrame:
+        x, y = both[both["side"] == 0], both[both["side"] == 1]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "other": [], "cosine": []})
+        m, n = (np.stack(p["v"].to_numpy()).astype(float) for p in (x, y))
+        m, n = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (m, n))
+        dots = np.round(m @ n.T, 6)
+        at = np.nonzero(dots >= least)
+        return pd.DataFrame({"id": x["id"].to_numpy()[at[0]], "other": y["other"].to_numpy()[at[1]], "cosine": dots[at]})
+
+    return one.unionByName(two).groupBy("r", "c").applyInPandas(multiply, f"id {kinds['id']}, other {kinds['other']}, cosine double")
+
+
 def with_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """pairs a, b, cosine and verdicts a, b, same (nullable) -> distance: 0 or 1 by verdict, else 1 - cosine; forbidden."""
     joined = pairs.join(verdicts, ["a", "b"], "left")
     return joined.select("a", "b", F.when(F.col("same"), 0.0).when(~F.col("same"), 1.0).otherwise(F.round(1 - F.col("cosine"), 6)).alias("distance"), F.coalesce(~F.col("same"), F.lit(False)).alias("forbidden"))
 
 
-def set_pairs(items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """items: id, tokens (array) -> a < b whose token sets have Jaccard >= threshold. Exact prefix filter.
+def alike_sets(items: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """items: id, tokens (array) -> (id, set: the least id with the same tokens; a < b: sets with Jaccard >= threshold).
 
-    Tokens are ordered by rising frequency; alike sets share one of their first n - ceil(threshold * n) + 1 tokens.
-    Equal sets are joined once: a set stands for its ids, and ids of one set pair directly.
+    Exact prefix filter: tokens are ordered by rising frequency, and alike sets share one of their first
+    n - ceil(threshold * n) + 1 tokens. Equal sets are one set, whatever their number; items without tokens are in none.
     """
     sets = items.select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.size("tokens") > 0)
-    distinct = sets.select("tokens").distinct().withColumn("key", F.xxhash64("tokens"))
-    counts = distinct.select("key", F.explode("tokens").alias("token"))
+    distinct = staged(sets.groupBy("tokens").agg(F.min("id").alias("set")))
+    members = sets.join(distinct.hint("merge"), "tokens").select("id", "set")
+    counts = distinct.select("set", F.explode("tokens").alias("token"))
     frequency = counts.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = counts.join(frequency, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = counts.join(frequency, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
     prefix = F.size("order") - F.ceil(F.lit(threshold) * F.size("order") - F.lit(1e-9)).cast("int") + 1
-    heads = ranked.select("key", F.size("order").alias("n"), F.explode(F.slice("order", F.lit(1), prefix)).alias("head")).select("key", "n", "head.token")
-    other = heads.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"))
+    heads = staged(ranked.select("set", F.size("order").alias("n"), F.explode(F.slice("order", F.lit(1), prefix)).alias("head")).select("set", "n", "head.token"))
+    other = heads.select("token", F.col("set").alias("b"), F.col("n").alias("n2"))
     near_size = (F.col("n2") >= F.lit(threshold) * F.col("n") - 1e-9) & (F.col("n") >= F.lit(threshold) * F.col("n2") - 1e-9)
-    candidates = heads.join(other, "token").where((F.col("key") < F.col("key2")) & near_size).select("key", "key2").distinct()
-    one, two = distinct.select("key", F.col("tokens").alias("t1")), distinct.select(F.col("key").alias("key2"), F.col("tokens").alias("t2"))
-    alike = candidates.join(one, "key").join(two, "key2").where(near_identical(F.col("t1"), F.col("t2"), threshold)).select("key", "key2")
-    ids = sets.withColumn("key", F.xxhash64("tokens")).select("id", "key")
-    across = alike.join(ids, "key").withColumnRenamed("id", "x").join(ids.select(F.col("id").alias("y"), F.col("key").alias("key2")), "key2").select("x", "y")
-    within = ids.select(F.col("id").alias("x"), "key").join(ids.select(F.col("id").alias("y"), "key"), "key").where("x < y").select("x", "y")
+    candidates = heads.withColumnRenamed("set", "a").join(other, "token").where((F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
+    one, two = distinct.select(F.col("set").alias("a"), F.col("tokens").alias("t1")), distinct.select(F.col("set").alias("b"), F.col("tokens").alias("t2"))
+    return members, candidates.join(one, "a").join(two, "b").where(near_identical(F.col("t1"), F.col("t2"), threshold)).select("a", "b")
+
+
+def set_pairs(items: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """items: id, tokens (array) -> a < b whose token sets have Jaccard >= threshold: all pairs, spelled out from classes of
+    equal sets. For hot sets use alike_sets(), whose output grows with the items."""
+    members, links = alike_sets(items, threshold)
+    ids = staged(members)
+    across = links.join(ids.select(F.col("id").alias("x"), F.col("set").alias("a")), "a").join(ids.select(F.col("id").alias("y"), F.col("set").alias("b")), "b").select("x", "y")
+    within = ids.select(F.col("id").alias("x"), "set").join(ids.select(F.col("id").alias("y"), "set"), "set").where("x < y").select("x", "y")
     return across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -97,8 +126,27 @@ def containment(short: DataFrame, long: DataFrame, pattern: str = "[a-z0-9]+") -
     inner = F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = tokened.where(F.size("words") >= 3).select("id", F.col("text").alias("needle"), longest.alias("token"))
-    held = long.select("doc", "text", F.explode(F.array_distinct(words)).alias("token"))
-    wanted = keyed.select("token").distinct()
-    found = held.join(wanted, "token", "left_semi").join(keyed, "token").where(F.contains("text", "needle")).select("id", "doc")
+    # only (doc, token) meets the tokens that are asked for; the text is fetched for the documents that hold one
+    held = long.select("doc", F.explode(F.array_distinct(words)).alias("token")).join(keyed.select("token").distinct(), "token", "left_semi")
+    candidates = held.join(keyed.select("token", "id", "needle"), "token").select("doc", "id", "needle")
+    found = candidates.join(long.hint("merge"), "doc").where(F.contains("text", "needle")).select("id", "doc")
     few = tokened.where(F.size("words") < 3).select("id", F.col("text").alias("needle"))
-    return found.union(long.join(few, F.contains("text", "needle")).select("id", "doc"))
+    return found.union(_scanned(few, long))
+
+
+#: Texts of under three tokens that are looked for at once in each text.
+SCANNED = 10_000
+
+
+def _scanned(few: DataFrame, long: DataFrame) -> DataFrame:
+    """Short texts by looking for each in every text: they go out in one array, so their number is checked."""
+    needles = few.limit(SCANNED + 1).collect()
+    if len(needles) > SCANNED:
+        raise ValueError(f"more than {SCANNED} texts of under three tokens")
+    kind = few.schema["id"].dataType.simpleString()
+    if not needles:
+        return long.select(F.lit(None).cast(kind).alias("id"), "doc").where("false")
+    asked = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["needle"]).alias("needle")) for r in needles]) if len(needles) <= 50 else None
+    if asked is not None:
+        return long.select("doc", F.inline(F.filter(asked, lambda n: F.contains("text", n["needle"])))).select(F.col("id").cast(kind).alias("id"), "doc")
+    return long.join(F.broadcast(few), F.contains("text", "needle")).select("id", "doc")  # at most SCANNED rows

@@ -38,7 +38,7 @@ def folds(rows: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
     return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
 
 
-def linear_model(train: DataFrame, c: float = 4.0, max_iter: int = 200):
+def linear_model(train: DataFrame, c: float = 4.0, max_iter: int = 2000):
     """Multinomial logistic regression with balanced class weights. train: label (0..), v. Weights sum to the rows, so regParam is 1 / (c * rows)."""
     counts = train.groupBy("label").agg(F.count("*").alias("n"))
     totals = counts.agg(F.sum("n").alias("all"), F.count("*").alias("classes")).first()

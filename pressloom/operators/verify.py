@@ -5,7 +5,9 @@ claims: claim, text, kind; citations: claim, evidence, field, passage; evidence:
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import re
 from functools import reduce
 
 import pandas as pd
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions.text import fold
+from pressloom.operators.figures import figure_table, figures_of, plain
+from pressloom.sources.readers import content_hash
 
 NUMBER = r"[+-]?[0-9]+(?:[.,][0-9]+)*"
 
@@ -40,54 +44,147 @@ def citation_errors(citations: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def repaired(citations: DataFrame, evidence: DataFrame, least: float = 0.9) -> DataFrame:
-    """citations with passage put right: literal as it is, else found without accents and case, else the closest window; NULL if none is close."""
+    """citations with passage put right: literal as it is, with brackets that a prompt replaced put back, found without
+    accents and case, else the closest window; NULL if none is close."""
     joined = citations.join(evidence.select("evidence", "fields"), "evidence", "left").withColumn("text", F.try_element_at("fields", F.col("field"))).drop("fields")
-    at = F.instr(fold(F.col("text")), fold(F.col("passage")))
-    cheap = F.when(F.contains("text", "passage"), F.col("passage")).when(at > 0, F.substring("text", at, F.length("passage")))
-    marked = joined.withColumn("found", F.when(F.length("passage") > 0, cheap))
-    rest = marked.where("found is null and text is not null and length(passage) > 0")
+    bare = F.translate("passage", "‹›", "<>")
+    at = F.instr(fold(F.col("text")), fold(bare))
+    cheap = F.when(F.contains("text", "passage"), F.col("passage")).when(F.contains(F.col("text"), bare), bare).when((at > 0) & (F.trim(bare) != ""), F.substring("text", at, F.length(bare)))
+    marked = joined.withColumn("found", F.when(F.length("passage") > 0, cheap)).withColumn("_bare", bare)
+    hopeless = F.col("text").isNull() | (F.trim("_bare") == "")
 
     def closest(batches):
         for pdf in batches:
-            pdf["found"] = [_closest(p, t, least) for p, t in zip(pdf["passage"], pdf["text"], strict=True)]
+            pdf["found"] = [_closest(p, t, least) for p, t in zip(pdf["_bare"], pdf["text"], strict=True)]
             yield pdf
 
-    done = marked.where("found is not null or text is null or length(passage) = 0")
-    return done.unionByName(rest.mapInPandas(closest, rest.schema)).drop("text")
+    rest = marked.where(F.col("found").isNull() & ~hopeless)
+    return marked.where(F.col("found").isNotNull() | hopeless).unionByName(rest.mapInPandas(closest, rest.schema)).drop("text", "_bare")
+
+
+#: Characters of a part of the passage that a window must hold, and its distance from where the passage has it, as a share of the passage.
+ANCHOR, SLACK = 3, 0.2
 
 
 def _closest(passage: str, text: str, least: float) -> str | None:
-    """The window of words within a fifth of the passage's length that is most alike, if alike enough."""
-    words, best = text.split(" "), (least, None)
-    starts = [0]
-    for w in words:
-        starts.append(starts[-1] + len(w) + 1)
-    for i in range(len(words)):
-        for j in range(i + 1, len(words) + 1):
-            n = starts[j] - 1 - starts[i]
-            if n > 1.2 * len(passage):
+    """The window of words within a fifth of the passage's length that is most alike, if alike enough.
+
+    Only windows near a shared part are compared: if a window is alike, one of the parts that the passage falls into
+    (one more than the edits it may differ by) stands in it unchanged.
+    """
+    p, t = plain(passage), plain(text)
+    if len(t) != len(text):  # folding that changes lengths: compare as written
+        p, t = passage.casefold(), text if len(text.casefold()) != len(text) else text.casefold()
+    n, slack = len(p), int(len(p) * SLACK) + 1
+    size = max(ANCHOR, n // (int(2 * n * (1 - least)) + 1))
+    starts = set()
+    for k in range(0, n - size + 1, size):
+        at = t.find(p[k : k + size])
+        while at >= 0:
+            starts.update(range(max(0, at - k - slack), min(len(t), at - k + slack + 1)))
+            at = t.find(p[k : k + size], at + 1)
+    best = (least, None)
+    m = difflib.SequenceMatcher(None, autojunk=False)
+    m.set_seq2(p)
+    ends = [i for i in range(1, len(t) + 1) if i == len(t) or t[i] == " "]
+    for i in sorted(s for s in starts if s == 0 or t[s - 1] == " "):
+        for j in ends[bisect.bisect_left(ends, i + int(0.8 * n)) :]:
+            if j - i > 1.2 * n + 1:
                 break
-            if n >= 0.8 * len(passage):
-                window = text[starts[i] : starts[j] - 1]
-                m = difflib.SequenceMatcher(None, passage.casefold(), window.casefold())
-                if m.real_quick_ratio() >= best[0] and m.quick_ratio() >= best[0] and (r := m.ratio()) >= best[0] and (best[1] is None or r > best[0]):
-                    best = (r, window)
+            m.set_seq1(t[i:j])
+            if m.real_quick_ratio() >= best[0] and m.quick_ratio() >= best[0] and (r := m.ratio()) >= best[0] and (best[1] is None or r > best[0]):
+                best = (r, text[i:j])
     return best[1]
 
 
+def _figures(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, figure: distinct figures of a text, digits and words alike."""
+    found = figure_table(rows.select(F.struct(*keys).alias("id"), text), [text])
+    return found.select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("value").alias("figure")).distinct()
+
+
 def unsupported_figures(claims: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """claim, figure: numbers of a claim that stand neither in its cited passages nor in any field of its cited records."""
-    said = claims.select("claim", F.explode(figures(F.col("text"))).alias("figure"))
-    passages = citations.select("claim", F.explode(figures(F.col("passage"))).alias("figure"))
-    fields = citations.select("claim", "evidence").distinct().join(evidence.select("evidence", F.explode("fields").alias("field", "text")), "evidence").select("claim", F.explode(figures(F.col("text"))).alias("figure"))
+    """claim, figure (decimal): figures of a claim, in digits or words, that stand neither in its cited passages nor in any field of its cited records."""
+    said = _figures(claims, ["claim"], "text")
+    passages = _figures(citations, ["claim"], "passage")
+    cited = citations.select("claim", "evidence").distinct()
+    texts = evidence.join(cited.select("evidence").distinct(), "evidence", "left_semi").select("evidence", F.explode("fields").alias("field", "text"))
+    fields = cited.join(_figures(texts, ["evidence"], "text"), "evidence").select("claim", "figure")
     return said.join(passages.union(fields).distinct(), ["claim", "figure"], "left_anti")
 
 
-def official_period_errors(claims: DataFrame, citations: DataFrame, evidence: DataFrame, official: tuple[str, ...]) -> DataFrame:
-    """claim, evidence: claims that cite an official record without naming its period or year, or that say today."""
-    rows = citations.join(evidence.where(F.col("kind").isin(*official)).select("evidence", F.element_at("fields", F.lit("period")).alias("period")), "evidence").join(claims, "claim")
-    named = F.contains("text", "period") | F.contains("text", F.substring("period", 1, 4))
-    return rows.where(~named | fold(F.col("text")).rlike(r"(^|[^a-z])(hoy|today)([^a-z]|$)")).select("claim", "evidence").distinct()
+def shown(figure: Column) -> Column:
+    """A figure without zeros at its end."""
+    return F.regexp_replace(F.regexp_replace(figure.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def official_period_errors(claims: DataFrame, citations: DataFrame, evidence: DataFrame, official: tuple[str, ...] = ("indicador", "serie_inec"), period: str = "periodo") -> DataFrame:
+    """claim, reason: claims that cite an official record without naming its period or year, or as if it were today's."""
+    rows = citations.join(evidence.where(F.col("kind").isin(*official)).select("evidence", F.trim(F.coalesce(F.try_element_at("fields", F.lit(period)), F.lit(""))).alias("period")), "evidence").join(claims.select("claim", "text"), "claim")
+    year = F.regexp_extract("period", "[0-9]{4}", 0)
+    named = (F.col("period") != "") & (F.contains("text", "period") | ((year != "") & F.contains(F.col("text"), year)))
+    today = fold(F.col("text")).rlike(PRESENT)
+    reasons = F.filter(F.array(F.when(~named, F.lit("official figure without its period")), F.when(today, F.lit("official figure as of today"))), lambda r: r.isNotNull())
+    return rows.select("claim", F.explode(reasons).alias("reason")).distinct()
+
+
+#: What presents a figure as today's (folded), and what accuses (lower case, accents kept).
+PRESENT = r"\b(actual|actualmente|hoy|en este momento|vigente)\b"
+ACCUSING = ("robó", "malversó", "estafó", "es culpable", "cometió", "corrupto")
+
+
+def accusations(claims: DataFrame, fact: str = "hecho", words: tuple[str, ...] = ACCUSING) -> DataFrame:
+    """claims: claim, text, type -> claim, reason: facts that accuse."""
+    pattern = r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(words) + r")(?:$|[^\p{L}\p{N}_])"
+    return claims.where((F.col("type") == fact) & F.lower("text").rlike(pattern)).select("claim", F.lit("accusation as a fact").alias("reason"))
+
+
+def claim_issues(claims: DataFrame, citations: DataFrame, evidence: DataFrame, canary: str) -> list[DataFrame]:
+    """Every check of a claim as claim, reason: citations that do not hold, none at all, figures, official periods, accusations, the canary."""
+    broken = citation_errors(citations, evidence).where("error is not null").select("claim", F.concat(F.lit("citation: "), "error").alias("reason"))
+    uncited = claims.join(citations, "claim", "left_anti").select("claim", F.lit("no citation").alias("reason"))
+    figures = unsupported_figures(claims, citations, evidence).select("claim", F.concat(F.lit("figure: "), shown(F.col("figure"))).alias("reason"))
+    leaked = claims.where(F.contains(F.lower("text"), F.lit(canary.lower()))).select("claim", F.lit("internal canary in claim").alias("reason"))
+    return [broken, uncited, figures, official_period_errors(claims, citations, evidence), accusations(claims), leaked]
+
+
+def supported_versions(versions: DataFrame, evidence: DataFrame, require_scope: bool = False) -> DataFrame:
+    """versions: version, evidence, value, scope -> version, supported, fields (array): the fewest fields of the record, those
+    with most of the figures first (ties: the shorter text, then the name), whose figures cover those of value and scope. A value without a
+    figure must stand in a field as written; require_scope: so must value and scope both."""
+    joined = versions.join(evidence.select("evidence", "fields"), "evidence", "left").select("version", "value", "scope", F.map_entries("fields").alias("fields"))
+
+    def cover(batches):
+        for pdf in batches:
+            out = [_covering(v, s or "", None if f is None else {x["key"]: x["value"] for x in f}, require_scope) for v, s, f in zip(pdf["value"], pdf["scope"], pdf["fields"], strict=True)]
+            yield pd.DataFrame({"version": pdf["version"], "supported": [x is not None for x in out], "fields": [x or [] for x in out]})
+
+    return joined.mapInPandas(cover, f"version {versions.schema['version'].dataType.simpleString()}, supported boolean, fields array<string>")
+
+
+def _covering(value: str, scope: str, fields: dict[str, str] | None, require_scope: bool) -> list[str] | None:
+    if fields is None:
+        return None
+    figures = {name: {v for _, v in figures_of(text)} for name, text in fields.items()}
+    asked, chosen = {v for _, v in figures_of(value)}, []
+    needed = asked | {v for _, v in figures_of(scope)}
+
+    def holding(words: str) -> str | None:
+        pattern = re.compile(r"(?<!\w)" + re.escape(plain(words)) + r"(?!\w)")
+        return min((n for n, t in fields.items() if pattern.search(plain(t))), key=lambda n: (len(fields[n]), n), default=None)
+
+    for words in ([value, scope] if require_scope else []) + ([] if asked else [value]):
+        name = holding(words)
+        if name is None:
+            return None
+        chosen.append(name)
+        needed -= figures[name]
+    wanted = set(needed)
+    for name in sorted(fields, key=lambda n: (-len(figures[n] & wanted), len(fields[n]), n)):
+        if figures[name] & needed:
+            chosen.append(name)
+            needed -= figures[name]
+    return None if needed else list(dict.fromkeys(chosen))
 
 
 def claim_report(claims: DataFrame, issues: list[DataFrame]) -> DataFrame:
@@ -103,8 +200,8 @@ def missing_references(links: dict[str, tuple[DataFrame, DataFrame]]) -> DataFra
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """n, hash: order-insensitive fingerprint of rows (sum of row hashes in decimals, which can't overflow)."""
-    return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*(columns or rows.columns)).cast("decimal(38,0)")).cast("string").alias("hash"))
+    """n, hash: order-insensitive fingerprint of rows; another one means that what was built from them is stale."""
+    return rows.agg(F.count("*").alias("n"), content_hash(list(columns or rows.columns)).alias("hash"))
 
 
 def vector_problems(vectors: DataFrame, dim: int) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from pressloom.functions.storage import table
 from pressloom.operators import exports as X
+from pressloom.operators import judging as J
 from pressloom.operators import retrieval as R
 from pressloom.operators.metrics import binary_counts
 from pressloom.plans import views as V
 from pressloom.plans.events import GROUPS, LEAST, PAIRS, _with_recursive
+from pressloom.plans.intake import ACC
 
 
 def current_decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,11 +55,11 @@ def questions_of_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Answers that cite a source of a case. Suppliers are cases, their parts the sources, orders the answers."""
     l = table(spark, sf, "lineitem")
     answers = l.groupBy(F.col("l_orderkey").alias("answer")).agg(F.max(F.col("l_orderkey") % 5 == 0).alias("probe"), F.collect_set("l_partkey").alias("evidence"))
-    sources = l.where("l_suppkey < 5").select(F.col("l_suppkey").alias("case_id"), F.col("l_partkey").alias("evidence")).distinct()
+    sources = l.select(F.col("l_suppkey").alias("case_id"), F.col("l_partkey").alias("evidence")).distinct()
     return X.case_questions(answers, sources).groupBy("case_id").agg(F.count("*").alias("n"), F.min("answer").alias("first"))
 
 
-QUESTIONS = "select case_id, count(*) as n, min(answer) as first from (select distinct s.l_suppkey as case_id, a.l_orderkey as answer from lineitem a join lineitem s on s.l_partkey = a.l_partkey and s.l_suppkey < 5 where a.l_orderkey % 5 <> 0) group by case_id"
+QUESTIONS = "select case_id, count(*) as n, min(answer) as first from (select distinct s.l_suppkey as case_id, a.l_orderkey as answer from lineitem a join lineitem s on s.l_partkey = a.l_partkey where a.l_orderkey % 5 <> 0) group by case_id"
 
 
 def proven_packages(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,21 +106,28 @@ select case when ab then 'abstencion' when versions >= 2 then 'contradiccion' wh
 
 
 def pair_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """Same-group predictions for labelled pairs against a number-overlap rule."""
+    """Same-group predictions for labelled pairs, by group and by the bonus for shared names and numbers."""
     pairs = V.vectors(spark, sf).select(F.col("id").alias("a"), F.col("label").alias("la")).join(V.vectors(spark, sf).select(F.col("id").alias("b"), F.col("label").alias("lb")), F.col("b") == F.col("a") + 10)
     from pressloom.operators.grouping import single_link
 
     g = single_link(V.vectors(spark, sf), LEAST)
     both = pairs.join(g.select(F.col("id").alias("a"), F.col("group").alias("ga")), "a").join(g.select(F.col("id").alias("b"), F.col("group").alias("gb")), "b")
-    flat = both.select(F.inline(F.array(*[F.struct(F.lit(m).alias("method"), (F.col("la") == F.col("lb")).alias("truth"), p.alias("predicted")) for m, p in (("group", F.col("ga") == F.col("gb")), ("rule", F.pmod(F.col("a"), F.lit(7)) == 0))])))
+    n = V.news(spark, sf).select("id", F.concat("title", F.lit(" "), F.substring("body", 1, 300)).alias("t")).select("id", J.names_of(F.col("t")).alias("n"), F.array_distinct(F.regexp_extract_all("t", F.lit(J.WRITTEN), F.lit(0))).alias("k"))
+    told = both.join(n.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka")), "a", "left").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb")), "b", "left")
+    bonus = F.round(J.overlap_bonus(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb")), 6)
+    both = told.withColumn("rule", bonus > 0.001)
+    flat = both.select(F.inline(F.array(*[F.struct(F.lit(m).alias("method"), (F.col("la") == F.col("lb")).alias("truth"), p.alias("predicted")) for m, p in (("group", F.col("ga") == F.col("gb")), ("rule", F.col("rule")))])))
     return binary_counts(flat, "method")
 
 
-PAIR_EVAL = _with_recursive(V.VECTORS, PAIRS, GROUPS) + """, p as (select a.label = b.label as truth, ga.grp = gb.grp as same, a.id % 7 = 0 as rule from vectors a join vectors b on b.id = a.id + 10 join grp ga on ga.id = a.id join grp gb on gb.id = b.id),
+PAIR_EVAL = _with_recursive(V.VECTORS, V.NEWS, PAIRS, GROUPS) + f""", t as (select id, title || ' ' || substr(body, 1, 300) as t from news), ws as (select id, t, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') as w from t),
+nm as (select id, list_distinct(list_transform(list_filter([case when regexp_matches(w[i - 1], '[.!?¡¿]$') then '' else regexp_extract(w[i], '^([A-ZÁÉÍÓÚÑ][\\p{{L}}\\p{{N}}_]+)', 1) end for i in range(2, len(w) + 1)], lambda x: x <> ''), lambda x: {ACC.format('x')})) as n, list_distinct(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)*')) as k from ws),
+bonus as (select x.id as a, y.id as b, round(0.08 * len(list_intersect(x.n, y.n)) / greatest(1, len(list_distinct(x.n || y.n))) - case when len(x.k) > 0 and len(y.k) > 0 and len(list_intersect(x.k, y.k)) = 0 then 0.04 else 0 end, 6) as v from nm x join nm y on y.id = x.id + 10),
+p as (select a.label = b.label as truth, ga.grp = gb.grp as same, bonus.v > 0.001 as rule from vectors a join vectors b on b.id = a.id + 10 join grp ga on ga.id = a.id join grp gb on gb.id = b.id left join bonus on bonus.a = a.id),
 f as (select 'group' as method, truth, same as pr from p union all select 'rule', truth, rule from p),
-c as (select method, sum((pr and truth)::int)::bigint as tp, sum((pr and not truth)::int)::bigint as fp, sum((not pr and truth)::int)::bigint as fn, sum((not pr and not truth)::int)::bigint as tn from f group by method),
+c as (select method, sum((coalesce(pr, false) and truth)::int)::bigint as tp, sum((coalesce(pr, false) and not truth)::int)::bigint as fp, sum((not coalesce(pr, false) and truth)::int)::bigint as fn, sum((not coalesce(pr, false) and not truth)::int)::bigint as tn, sum((pr is null)::int)::bigint as missing from f group by method),
 r as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as p, coalesce(tp / nullif(tp + fn, 0), 0) as q from c)
-select method, tp, fp, fn, tn, 0::bigint as missing, round(p, 6) as precision, round(q, 6) as recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) as f1 from r"""
+select method, tp, fp, fn, tn, missing, round(p, 6) as precision, round(q, 6) as recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) as f1 from r"""
 
 
 def zero_shot(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +143,7 @@ r as (select *, row_number() over (partition by id order by score desc, topic) a
 
 
 def topic_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Title terms that two reports of a group or more hold (all terms if there is none), by group."""
+    """Terms of a topic: title terms that two reports of a group or more hold (all terms if there is none), by group."""
     from pressloom.functions.text import tokens
 
     n = V.news(spark, sf).select(F.pmod("id", F.lit(50)).alias("group"), "id", F.explode(F.array_distinct(tokens(F.col("title")))).alias("term"))

@@ -107,7 +107,7 @@ def repaired_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 def figure_support(spark: SparkSession, sf: str) -> DataFrame:
     """Figures of claims that nothing they cite supports."""
-    return X.unsupported_figures(*_claims(spark, sf))
+    return X.unsupported_figures(*_claims(spark, sf)).select("claim", X.shown(F.col("figure")).alias("figure"))
 
 
 
@@ -116,7 +116,7 @@ def claim_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     claims, citations, evidence = _claims(spark, sf)
     broken = X.citation_errors(citations, evidence).where("error is not null").select("claim", F.concat(F.lit("citation: "), "error").alias("reason"))
     uncited = claims.join(citations, "claim", "left_anti").select("claim", F.lit("no citation").alias("reason"))
-    figures = X.unsupported_figures(claims, citations, evidence).select("claim", F.concat(F.lit("figure: "), "figure").alias("reason"))
+    figures = X.unsupported_figures(claims, citations, evidence).select("claim", F.concat(F.lit("figure: "), X.shown(F.col("figure"))).alias("reason"))
     return X.claim_report(claims, [broken, uncited, figures])
 
 

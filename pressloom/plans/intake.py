@@ -41,7 +41,7 @@ def stemmed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("terms"))
 
 
-STEM_SQL = "case when length(w) > 4 and w[-2:] = 'es' then w[:-3] when length(w) > 3 and w[-1:] = 's' then w[:-2] else w end"
+STEM_SQL = "case when w[-6:] = 'ciones' then w[:-3] when length(w) > 4 and w[-2:] = 'es' and w[-3] not in ('a', 'e', 'i', 'o', 'u') then w[:-3] when length(w) > 3 and w[-1:] = 's' and w[-3:] <> 'sis' then w[:-2] else w end"
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 

@@ -106,18 +106,26 @@ def carried_years(rows: DataFrame) -> DataFrame:
     return rows.withColumn("year", year).where(~F.col("label").rlike(r"^\s*[0-9]{4}\s*$")).select("sheet", "year", F.lower(F.trim("label")).alias("month"), parse_number(F.col("value")).alias("value"), F.col("value").isNotNull().alias("published"))
 
 
-def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, n, hash: order-insensitive content hash of each table."""
+def content_hash(columns: list[str]) -> Column:
+    """Sum over rows of the first 60 bits of their SHA-256: the same whatever the order and the engine."""
+    row = F.array_join(F.array(*[F.col(c).cast("string") for c in columns]), "|", "∅")
+    return F.coalesce(F.sum(F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+
+def manifest(tables: dict[str, DataFrame], fetched: Column | None = None) -> DataFrame:
+    """table, n, hash (of the content), fetched (epoch seconds of the latest fetch; NULL if not known) and version: that day and the hash's first signs."""
+    at = F.lit(None).cast("long") if fetched is None else fetched.cast("long")
     out = None
     for name, df in tables.items():
-        row = df.agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash"))
+        row = df.agg(F.count("*").alias("n"), content_hash(df.columns).alias("hash")).select(F.lit(name).alias("table"), "n", "hash", at.alias("fetched"))
         out = row if out is None else out.unionByName(row)
-    return out
+    day = F.expr("date_format(timestampadd(SECOND, fetched, TIMESTAMP_NTZ'1970-01-01 00:00:00'), 'yyyy-MM-dd')")
+    return out.withColumn("version", F.concat_ws("-", day, F.substring(F.sha2("hash", 256), 1, 8)))
 
 
-def refreshed(old: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def refreshed(old: DataFrame, tables: dict[str, DataFrame], fetched: Column | None = None) -> DataFrame:
     """The manifest with the named tables hashed anew and the rest kept."""
-    new = manifest(tables)
+    new = manifest(tables, fetched)
     return old.join(new.select("table"), "table", "left_anti").unionByName(new)
 
 

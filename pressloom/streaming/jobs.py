@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pressloom.functions.text import near_identical
 from pressloom.operators.merge import merge_captures
 from pressloom.operators.reviews import MOVES
 
@@ -19,6 +20,29 @@ def minute_peaks(calls: DataFrame, out: str, checkpoint: str, late: str = "2 min
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def sliding_rates(calls: DataFrame, out: str, checkpoint: str, late: str = "2 minutes") -> StreamingQuery:
+    """calls: model, ts, tokens -> windows of 60 seconds that begin every second, with calls and tokens, once the watermark has passed."""
+    windows = calls.withWatermark("ts", late).groupBy(F.window("ts", "60 seconds", "1 second"), "model").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+    rows = windows.select(F.unix_seconds("window.start").alias("start"), "model", "calls", "tokens")
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def near_duplicates(arriving: DataFrame, out: str, checkpoint: str, threshold: float = 0.8, hours: int = 72) -> StreamingQuery:
+    """arriving: id, ts, tokens (sorted, distinct, not empty) -> id, earlier: reports whose token set is alike to one at most hours before.
+
+    A join of the stream with itself on the sets' prefix tokens (alike sets share one of the first n - ceil(threshold * n) + 1
+    in any common order) within the interval, so that watermarks let go of what is older. A pair that shares several
+    prefix tokens comes once for each.
+    """
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.ceil(F.lit(threshold) * F.size("tokens") - F.lit(1e-9)).cast("int") + 1)
+    late = arriving.withWatermark("ts", "1 hour").select("id", "ts", "tokens", F.explode(prefix).alias("token"))
+    old = arriving.withWatermark("ts", "1 hour").select(F.col("id").alias("earlier"), F.col("ts").alias("ts0"), F.col("tokens").alias("tokens0"), F.explode(prefix).alias("token0"))
+    before = (F.col("ts0") < F.col("ts")) | ((F.col("ts0") == F.col("ts")) & (F.col("earlier") < F.col("id")))
+    inside = (F.col("ts") >= F.col("ts0")) & (F.col("ts") <= F.col("ts0") + F.expr(f"interval {hours} hours"))
+    pairs = late.join(old, (F.col("token") == F.col("token0")) & inside & before).where(near_identical(F.col("tokens"), F.col("tokens0"), threshold))
+    return pairs.select("id", "earlier").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def merged_captures(captures: DataFrame, parts: str, checkpoint: str) -> StreamingQuery:
     """Incremental merge: each batch writes its own rows under its number, so a batch that runs again replaces itself; read with merged()."""
 
