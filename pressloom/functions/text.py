@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,16 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
+def fold_any(c: Column) -> Column:
+    """Case-folded text of any script without combining marks, in Arrow batches; fold() does the same for Western letters in generated code."""
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFD", t.casefold()) if not unicodedata.combining(x)))
+
+    return folded(c)
+
+
 def word_pattern(terms: Sequence[str]) -> str:
     """A pattern that finds any of the terms as a whole word of folded text."""
     return "(?:^|[^a-z0-9_])(" + "|".join(re.sub(r"([^a-z0-9 ])", r"\\\1", t) for t in sorted(terms, key=lambda t: (-len(t), t))) + ")(?:$|[^a-z0-9_])"
@@ -62,6 +75,16 @@ def clean_text(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(bare, r"[ \t\r\n\f]+", " ")), F.lit(""))
 
 
+def clean_any(c: Column) -> Column:
+    """As clean_text(), for every named and numbered entity, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else html.unescape(t))
+
+    return F.nullif(F.trim(F.regexp_replace(decoded(F.regexp_replace(c, "<[^>]*>", " ")), r"[\s\u00a0]+", " ")), F.lit(""))
+
+
 def parse_number(c: Column) -> Column:
     """A statistics cell: 1,234.5 or 1.234,5 or 12,5; dashes, dots and blanks are NULL, never zero."""
     t = F.trim(c)

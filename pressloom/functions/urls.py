@@ -38,3 +38,38 @@ def section_of(url: Column) -> Column:
 
 def content_id(prefix: str, c: Column, length: int = 12) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha1(c), 1, length))
+
+
+def own_outlet(outlet: Column, url: Column, names: tuple[str, ...], domain: str) -> Column:
+    """Whether a report is one's own: the outlet's name is one of names, or its host the domain or below it."""
+    bare = F.regexp_replace(host(url), r":[0-9]+$", "")
+    return F.coalesce(F.lower(F.trim(outlet)).isin(*[n.lower() for n in names]), F.lit(False)) | F.coalesce((bare == domain) | bare.endswith(f".{domain}"), F.lit(False))
+
+
+#: Keys of a page's image, by preference.
+IMAGE_KEYS = ("og:image:secure_url", "og:image", "og:image:url", "twitter:image", "twitter:image:src")
+
+
+def meta_content(html: Column, key: str) -> Column:
+    """Content of the first meta tag of a key (its property or name), whichever of both comes first; NULL if none."""
+    name, content = rf"""(?:property|name)=["']{key}["']""", r"""content=["']([^"']*)["']"""
+    after, before = (F.regexp_extract(html, p, 1) for p in (rf"<meta[^>]*{name}[^>]*{content}", rf"<meta[^>]*{content}[^>]*{name}"))
+    return F.nullif(F.coalesce(F.nullif(after, F.lit("")), before), F.lit(""))
+
+
+def absolute(link: Column, page: Column) -> Column:
+    """A link of a page as an http(s) address, NULL if it is none."""
+    scheme, base = F.regexp_extract(page, r"^(https?):", 1), F.regexp_extract(page, r"^(https?://[^/?#]*)", 1)
+    folder = F.regexp_extract(page, r"^(https?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    under = F.when(folder.endswith("/"), F.concat(folder, link)).otherwise(F.concat(folder, F.lit("/"), link))
+    return F.when(link.rlike("^https?://."), link).when(link.rlike("^//."), F.concat(scheme, F.lit(":"), link)).when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(link.startswith("/"), F.concat(base, link)).otherwise(under)
+
+
+def page_image(html: Column, page: Column) -> Column:
+    """The representative image of a page: the first key of IMAGE_KEYS that gives an http(s) address."""
+    return F.coalesce(*[absolute(F.trim(F.replace(meta_content(html, k), F.lit("&amp;"), F.lit("&"))), page) for k in IMAGE_KEYS])
+
+
+def page_date(html: Column) -> Column:
+    """Publication date of a page as it stands: of its JSON-LD record, else of its article tag."""
+    return F.coalesce(F.nullif(F.regexp_extract(html, r'"datePublished"\s*:\s*"([^"]+)"', 1), F.lit("")), meta_content(html, "article:published_time"))

@@ -49,6 +49,19 @@ def quality_counts(items: DataFrame) -> DataFrame:
     return marked.select(F.inline(rows)).groupBy("measure", "value").agg(F.sum("n").alias("n"))
 
 
+def series_quality(series: DataFrame) -> DataFrame:
+    """series: series, period, value -> kind, name, rows, first, last, missing (periods without a value), listed (these periods, by commas)."""
+    lost = F.array_join(F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("period")))), ",")
+    return series.groupBy(F.lit("series").alias("kind"), F.col("series").alias("name")).agg(F.count("*").alias("rows"), F.min("period").alias("first"), F.max("period").alias("last"), F.count_if(F.col("value").isNull()).alias("missing"), lost.alias("listed"))
+
+
+def event_quality(events: DataFrame, least: float, since: int) -> DataFrame:
+    """events: event, magnitude, moment -> the same columns by what becomes of them: kept, or excluded by magnitude or window; listed: least and greatest magnitude."""
+    name = F.when(F.col("magnitude") < least, "magnitude").when(F.col("moment") < since, "window").otherwise("kept")
+    shown = F.format_string("%.1f", "magnitude")
+    return events.groupBy(F.lit("events").alias("kind"), name.alias("name")).agg(F.count("*").alias("rows"), F.min("moment").cast("string").alias("first"), F.max("moment").cast("string").alias("last"), F.count_if(F.col("magnitude").isNull()).alias("missing"), F.concat_ws("-", F.min(shown), F.max(shown)).alias("listed"))
+
+
 def source_days(items: DataFrame, outlets: DataFrame, first_day: int, last_day: int) -> DataFrame:
     """outlet, n, first, last, days, missing: coverage by day number for every outlet, those without items too. items: outlet, day."""
     seen = items.where(F.col("day").between(first_day, last_day)).groupBy("outlet").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.collect_set("day").alias("seen"))

@@ -57,3 +57,15 @@ def score(r: Column, i: Column, u: Column, n: Column, e: Column) -> Column:
     for bound, name in reversed(RANGES):
         label = F.when(total < bound, name).otherwise(label)
     return F.struct(*[c.alias(k) for k, c in parts.items()], total.alias("score"), label.alias("range"))
+
+
+def justifications(topic: Column, mention: Column, official: Column, scale: Column, alert: Column, recirculated: Column, provenances: Column, text: Column) -> Column:
+    """Why each component is what it is: a map by its letter."""
+    no = F.lit("")
+    plus = lambda c, words: F.when(c, f" + {words}").otherwise(no)
+    said = {
+        "r": F.concat(F.when(topic, "has a topic").otherwise("has no topic"), F.when(mention, ", names the country").when(official, ", official source").otherwise(", place unknown")),
+        "i": F.concat(F.lit("base of the topic"), plus(official, "context"), plus(scale, "scale")), "u": F.concat(F.lit("age"), plus(alert, "alert or later date")), "n": F.when(recirculated, "all of it recirculated").otherwise("similarity to earlier groups"),
+        "e": F.concat(F.least(provenances, F.lit(3)).cast("string"), F.lit(" of 3 origins"), plus(official, "primary source"), plus(text, "text")),
+    }
+    return F.create_map(*[x for k, c in said.items() for x in (F.lit(k), c)])

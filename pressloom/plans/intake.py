@@ -55,11 +55,11 @@ STEMMED = V.with_(V.NEWS) + f"select id, len(t) as n, array_to_string(list_sort(
 def page_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical address, validity, section, outlet test and content id."""
     p, u = table(spark, sf, "pages"), F.col("url")
-    return p.select("page_id", U.canonical_url(u).alias("canon"), U.valid_http_url(u).alias("valid"), U.section_of(u).alias("section"), U.belongs_to_outlet(u, F.lit("www.Therou.example.com")).alias("own"), U.content_id("N-", U.canonical_url(u)).alias("id"))
+    return p.select("page_id", U.canonical_url(u).alias("canon"), U.valid_http_url(u).alias("valid"), U.section_of(u).alias("section"), U.belongs_to_outlet(u, F.lit("www.Therou.example.com")).alias("own"), U.own_outlet(F.concat(F.lit("Outlet "), F.pmod("page_id", F.lit(9)).cast("string")), u, ("outlet 3",), "example.org").alias("named"), U.content_id("N-", U.canonical_url(u)).alias("id"))
 
 
 PAGE_URLS = f"""select page_id, {V.CANONICAL.format('url')} as canon, {V.VALID.format('url')} as valid,
-  case when len(parts) >= 2 then parts[1] end as section, {V.HOST.format('url')} = 'therou.example.com' as own, 'N-' || substr(sha1({V.CANONICAL.format('url')}), 1, 12) as id
+  case when len(parts) >= 2 then parts[1] end as section, {V.HOST.format('url')} = 'therou.example.com' as own, page_id % 9 = 3 or {V.HOST.format('url')} = 'example.org' or ends_with({V.HOST.format('url')}, '.example.org') as named, 'N-' || substr(sha1({V.CANONICAL.format('url')}), 1, 12) as id
 from (select *, list_filter(string_split({V.PATH.format('url')}, '/'), lambda x: x <> '') as parts from pages)"""
 
 
@@ -87,14 +87,15 @@ def page_image(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta name="twitter:image" content="/rel'), "page_id", F.lit('.png">'))).otherwise(F.concat(F.lit('<meta name="twitter:image" content="http://tw.example.com/'), "page_id", F.lit('.png">'))),
         F.when(F.col("page_id") % 5 != 0, F.concat(F.lit('{"datePublished": "2024-01-'), F.lpad((F.pmod("page_id", F.lit(28)) + 1).cast("string"), 2, "0"), F.lit('"}'))).otherwise(F.lit('<meta property="article:published_time" content="2023-12-31">')),
     )
-    t = p.select("page_id", tags.alias("tags"))
-    found = [F.nullif(F.regexp_extract("tags", f'{k}" content="(https?://[^"]+)"', 1), F.lit("")) for k in ("og:image", "twitter:image")]
-    dates = [F.nullif(F.regexp_extract("tags", p, 1), F.lit("")) for p in (r'"datePublished": "([0-9-]+)"', r'article:published_time" content="([0-9-]+)"')]
-    return t.select("page_id", F.coalesce(*found).alias("image"), F.coalesce(*dates).alias("published"))
+    html = F.regexp_replace("html", "<head>", F.concat(F.lit("<head>"), tags))
+    return p.select("page_id", F.length(html).alias("n"), U.page_image(html, F.col("url")).alias("image"), U.page_date(html).alias("published"))
 
 
-PAGE_IMAGE = """select page_id, case when page_id % 3 = 0 then 'https://img.example.com/' || page_id || '.jpg' when page_id % 2 <> 0 then 'http://tw.example.com/' || page_id || '.png' end as image,
-  case when page_id % 5 <> 0 then '2024-01-' || lpad((page_id % 28 + 1)::varchar, 2, '0') else '2023-12-31' end as published from pages"""
+PAGE_IMAGE = r"""with t as (select page_id, url, regexp_replace(html, '<head>', '<head>' || case when page_id % 3 = 0 then '<meta property="og:image" content="https://img.example.com/' || page_id || '.jpg">' else '' end
+  || case when page_id % 2 = 0 then '<meta name="twitter:image" content="/rel' || page_id || '.png">' else '<meta name="twitter:image" content="http://tw.example.com/' || page_id || '.png">' end
+  || case when page_id % 5 <> 0 then '{"datePublished": "2024-01-' || lpad((page_id % 28 + 1)::varchar, 2, '0') || '"}' else '<meta property="article:published_time" content="2023-12-31">' end) as h from pages),
+x as (select *, nullif(regexp_extract(h, '<meta property="og:image" content="([^"]+)"', 1), '') as og, regexp_extract(h, '<meta name="twitter:image" content="([^"]+)"', 1) as tw from t)
+select page_id, length(h) as n, coalesce(og, case when tw[1] = '/' then regexp_extract(url, '^(https?://[^/?#]*)', 1) || tw else tw end) as image, coalesce(nullif(regexp_extract(h, '"datePublished": "([^"]+)"', 1), ''), regexp_extract(h, 'article:published_time" content="([^"]+)"', 1)) as published from x"""
 
 
 def merged_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,6 +174,17 @@ select kinds.k as indicator, count(*) as expected, count(v) as with_value, sum((
 from nation cross join years cross join kinds left join counts c on c.c_nationkey = n_nationkey and c.y = years.y and c.k = kinds.k group by kinds.k"""
 
 
+def official_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of series (rows, first, last, periods without a value) and of catalog events (kept, excluded, magnitudes)."""
+    s = V.series(spark, sf).withColumn("value", F.when(F.col("month") % 6 != 0, F.col("value")))
+    e = table(spark, sf, "events").where("event_type = 'error'").withColumn("magnitude", F.round("value", 1))
+    return M.series_quality(s).unionByName(M.event_quality(e.select(F.col("event_id").alias("event"), "magnitude", F.floor(F.expr(V.MICROS) / 1_000_000).alias("moment")), least=2.5, since=V.START + 86400))
+
+
+QUALITY_OFFICIAL = V.with_(V.SERIES) + f"""select 'series' as kind, series as name, count(*) as rows, min(period) as first, max(period) as last, count(*) filter (where month % 6 = 0) as missing, coalesce(string_agg(period, ',' order by period) filter (where month % 6 = 0), '') as listed from series group by series
+union all select 'events', case when m < 2.5 then 'magnitude' when s < {V.START + 86400} then 'window' else 'kept' end, count(*), min(s)::varchar, max(s)::varchar, count(*) filter (where m is null), min(printf('%.1f', m)) || '-' || max(printf('%.1f', m)) from (select round(value, 1) as m, epoch_us(ts) // 1000000 as s from events where event_type = 'error') group by 2"""
+
+
 def first_occurrence(spark: SparkSession, sf: str) -> DataFrame:
     """The first row of each key is kept, later ones are reported. Here: lines of an order that repeat its part's supplier."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey")
@@ -195,5 +207,5 @@ NUMBERS = "select p_partkey, round(p_retailprice * 10, 2) as en, round(p_retailp
 QUERIES = {
     "fold_titles": (fold_titles, FOLD_TITLES), "keyword_match": (keyword_match, KEYWORDS), "stemmed_tokens": (stemmed_tokens, STEMMED), "page_urls": (page_urls, PAGE_URLS),
     "page_text": (page_text, PAGE_TEXT), "page_image": (page_image, PAGE_IMAGE), "merged_items": (merged_items, MERGED), "news_quality": (news_quality, QUALITY), "outlet_days": (outlet_days, OUTLET_DAYS),
-    "year_on_year": (year_on_year, YEAR_ON_YEAR), "latest_points": (latest_points, LATEST), "indicator_grid": (indicator_grid, GRID), "first_occurrence": (first_occurrence, FIRST_OCC), "parsed_numbers": (parsed_numbers, NUMBERS),
+    "year_on_year": (year_on_year, YEAR_ON_YEAR), "latest_points": (latest_points, LATEST), "indicator_grid": (indicator_grid, GRID), "official_quality": (official_quality, QUALITY_OFFICIAL), "first_occurrence": (first_occurrence, FIRST_OCC), "parsed_numbers": (parsed_numbers, NUMBERS),
 }
