@@ -41,10 +41,14 @@ def nearest_rank(rows: DataFrame, value: str, q: float, *keys: str) -> DataFrame
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(F.col(value), 0.5).alias("median"), F.min(F.when(F.col("_k") >= F.ceil(F.lit(q) * F.col("_n")), F.col(value))).alias("high"))
 
 
-def ratio_with_failures(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows: id, passed -> passed, total, value, failing (ids in order, joined by commas)."""
-    failing = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("id")))), lambda x: x.cast("string")), ",")
-    return rows.groupBy(*keys).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"), F.round(share(F.count_if("passed"), F.count("*")), 6).alias("value"), failing.alias("failing"))
+def ratio(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows: id, passed -> passed, total, value."""
+    return rows.groupBy(*keys).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"), F.round(share(F.count_if("passed"), F.count("*")), 6).alias("value"))
+
+
+def failing(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows: id, passed -> keys, id of those that failed: a row each, however many."""
+    return rows.where(~F.coalesce("passed", F.lit(False))).select(*keys, "id")
 
 
 def usage(calls: DataFrame) -> DataFrame:

@@ -36,13 +36,23 @@ CONFUSION = V.with_(PRED) + """, c as (select lang, sum((coalesce(predicted, fal
 select lang, tp, fp, fn, tn, missing, round(p, 6) as precision, round(q, 6) as recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) as f1 from r"""
 
 
+def _guesses(spark: SparkSession, sf: str) -> DataFrame:
+    return _predictions(spark, sf).select("lang", F.col("doc_id").alias("id"), F.coalesce(F.col("truth") == F.col("predicted"), F.lit(False)).alias("passed"))
+
+
 def failures(spark: SparkSession, sf: str) -> DataFrame:
-    """Ratio of right guesses with the failing ids."""
-    return M.ratio_with_failures(_predictions(spark, sf).select("lang", F.col("doc_id").alias("id"), F.coalesce(F.col("truth") == F.col("predicted"), F.lit(False)).alias("passed")), "lang")
+    """Ratio of right guesses by language."""
+    return M.ratio(_guesses(spark, sf), "lang")
+
+
+def failing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The guesses that failed."""
+    return M.failing(_guesses(spark, sf), "lang")
 
 
-FAILURES = V.with_(PRED) + """select lang, sum(ok::int)::bigint as passed, count(*) as total, round(sum(ok::int) / count(*), 6) as value, coalesce(string_agg(case when not ok then doc_id::varchar end, ',' order by doc_id), '') as failing
-from (select *, coalesce(truth = predicted, false) as ok from pred) group by lang"""
+_OK = V.with_(PRED) + ", g as (select lang, doc_id as id, coalesce(truth = predicted, false) as ok from pred) "
+FAILURES = _OK + "select lang, sum(ok::int)::bigint as passed, count(*) as total, round(sum(ok::int) / count(*), 6) as value from g group by lang"
+FAILING = _OK + "select lang, id from g where not ok"
 
 
 def keyword_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,6 +153,6 @@ def token_totals(spark: SparkSession, sf: str) -> DataFrame:
 TOKENS = V.with_(V.LEDGER) + "select status, cache, count(*) as calls, count(distinct model) as models, sum(case when status = 'ok' then tokens end)::bigint as tokens from ledger group by 1, 2"
 
 QUERIES = {
-    "confusion": (confusion, CONFUSION), "failures": (failures, FAILURES), "keyword_report": (keyword_report, KEYWORD_REPORT), "centroid_topics": (centroid_topics, CENTROID), "fold_sizes": (fold_sizes, FOLDS),
+    "confusion": (confusion, CONFUSION), "failures": (failures, FAILURES), "failing_rows": (failing_rows, FAILING), "keyword_report": (keyword_report, KEYWORD_REPORT), "centroid_topics": (centroid_topics, CENTROID), "fold_sizes": (fold_sizes, FOLDS),
     "topic_model": (topic_model, None), "call_usage": (call_usage, USAGE), "call_budget": (call_budget, BUDGET), "call_peaks": (call_peaks, PEAKS), "call_windows": (call_windows, WINDOWS), "latency_ranks": (latency_ranks, LATENCY), "token_totals": (token_totals, TOKENS),
 }
