@@ -1,33 +1,34 @@
 """Line dedup with DataFrame functions alone: equal lines, and lines within one word edit, keep their earliest.
 
 The edit bound is one word replaced, inserted or left out (lines here have 58 words on average: single characters
-would give several hundred variants a line, and a changed character changes one word). The variants within that bound
-are the line with each one of its words left out:
+would give several hundred variants a line, and a changed character changes one word). In lines of under near_words
+words the bound is none: there one word is a seventh of the line or more (titles, dated headings), and such lines are
+compared for equality alone. Lines of under min_chars characters are never dropped.
+
+The variants within the bound are the line with each one of its words left out:
 - the same place left out of two lines of equal length leaves the same rest: they differ in that word alone;
 - a line that equals another with one word left out.
-Variants are hashed and grouped by hash; the candidate and the earliest line of its group are then compared word by
-word. Whole groups are never paired: a line is dropped if one earlier line is within the bound, and any other line of
-its group is within the bound of the earliest.
+A variant's key is the XOR of the hashes of (place, word) of what is left, taken from the whole line's by running XORs,
+so that all variants of a line cost little more than its length. Words are left out of the half that a line does not share
+(below). Keys are grouped; the candidate and the earliest line
+of its group are then compared word by word. Whole groups are never paired: a line is dropped if one earlier line is
+within the bound, and any other line of its group is within the bound of the earliest.
 
 Before variants are made, a filter that loses nothing: lines within one word edit share their first or last half.
-Halves that two different lines share are marked in a bitmap of fixed size (SLOTS longs), which the only broadcast
-carries; lines without a marked half make no variants.
-
-Hashing the rest of every place costs the square of a line's length, so lines over MAX_WORDS words take it from running
-XORs of the hashes of (place, word) instead: the same variants at a cost that grows with the words.
+Lines without a half that another line shares make no variants. Up to MAX_SHARED shared halves go to the tasks as a
+bitmap of 64 to 128 bits a half; more are joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.common import few_of, staged
 
-#: Shorter lines are never dropped; those of fewer words are compared for equality alone, as one word is a seventh of
-#: them or more (titles, dated headings). Longer ones in words make the same variants by another route.
-MIN_CHARS, NEAR_WORDS, MAX_WORDS = 20, 8, 256
-SLOTS = 1 << 18
+#: Defaults of the parameters, see above.
+MIN_CHARS, NEAR_WORDS = 20, 8
+MAX_SHARED = 1 << 19
 #: Which bit of its slot a key marks.
 BIT = "cast((key >> 40) & 63 as int)"
 
@@ -36,69 +37,89 @@ def _text_id() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """occ (place: doc_id, text_id, line number), line (outer spaces left out) and its 128-bit hash h1, h2."""
-    lines = docs.select("doc_id", _text_id().alias("text_id"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    lines = lines.select(F.struct("doc_id", "text_id", "no").alias("occ"), F.trim("raw").alias("line")).where(F.length("line") >= MIN_CHARS)
-    return lines.select("occ", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-
+def _half(n: Column) -> tuple[Column, Column]:
+    """Lengths of the halves that a line of n words and one within one edit of it may share."""
+    return F.ceil((n - 1) / 2).cast("int"), F.ceil(n / 2).cast("int")
 
-def _halves(n: Column) -> Column:
-    """Hashes of the first and last halves that a line within one edit may share."""
-    keys = []
-    for h in (F.ceil((n - 1) / 2).cast("int"), F.ceil(n / 2).cast("int")):
-        keys += [F.xxhash64(F.lit("first"), h, F.slice("words", 1, h)), F.xxhash64(F.lit("last"), h, F.slice("words", n - h + 1, h))]
-    return F.array_distinct(F.array(*keys))
 
+def _halves() -> Column:
+    """Hashes of the first and last halves of either length: places 0 and 2 are first halves, 1 and 3 last ones."""
+    words, n, keys = F.col("words"), F.col("n"), []
+    for h in _half(n):
+        keys += [F.xxhash64(F.lit("first"), h, F.slice(words, 1, h)), F.xxhash64(F.lit("last"), h, F.slice(words, n - h + 1, h))]
+    return F.array(*keys)
 
-def _near_lines(docs: DataFrame) -> DataFrame:
-    worded = _lines(docs).withColumn("words", F.split("line", " ")).withColumn("n", F.size("words"))
-    return worded.where(F.col("n") >= NEAR_WORDS)
 
-
-def _slot(key: str) -> Column:
-    return F.pmod(F.col(key), F.lit(SLOTS)).cast("int")
+def _lines(docs: DataFrame, min_chars: int, near_words: int) -> DataFrame:
+    """occ (place: doc_id, text_id, line number), line (outer spaces left out), its 128-bit hash h1, h2, and halves (null: no near test)."""
+    lines = docs.select("doc_id", _text_id().alias("text_id"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    lines = lines.select(F.struct("doc_id", "text_id", "no").alias("occ"), F.trim("raw").alias("line")).where(F.length("line") >= min_chars)
+    worded = lines.withColumn("words", F.split("line", " ")).withColumn("n", F.size("words"))
+    # halves stand under no condition, so that what they share is computed once
+    hashed = worded.select("occ", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _halves().alias("_halves"))
+    return hashed.select("occ", "line", "h1", "h2", F.slice("_halves", 1, F.when(F.col("n") < near_words, 0).when(F.col("n") % 2 == 0, 2).otherwise(4)).alias("halves"))
 
 
-def _suspects(docs: DataFrame) -> DataFrame:
-    """Distinct lines that share a half with another line: h1, h2, words, n and first place."""
-    lines = _near_lines(docs)
-    halves = lines.select("h1", F.explode(_halves(F.col("n"))).alias("key"))
+def _suspects(lines: DataFrame, most: int) -> DataFrame:
+    """Distinct lines that share a half with another line: h1, h2, words, n, first place, and whether a first or a last half is shared. Few others may pass."""
+    halves = lines.select("h1", F.explode("halves").alias("key"))
     shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
-    bits = shared.select(_slot("key").alias("slot"), F.expr(f"shiftleft(1L, {BIT})").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    asked = lines.select("occ", "line", "h1", "h2", "n", F.explode(_halves(F.col("n"))).alias("key")).withColumn("slot", _slot("key"))
-    marked = asked.join(F.broadcast(bits), "slot").where(F.expr(f"(shiftright(bits, {BIT}) & 1) = 1"))  # at most SLOTS rows
-    found = marked.groupBy("h1", "h2").agg(F.min("occ").alias("occ"), F.min("line").alias("line"), F.min("n").alias("n"))
-    return staged(found.select("h1", "h2", "occ", F.split("line", " ").alias("words"), "n"))
-
-
-def _long_variants(lines: DataFrame) -> DataFrame:
-    """key, role, h1 of the variants of lines over MAX_WORDS words; lines of MAX_WORDS words give their whole, which a longer one may meet."""
-    at = lines.where(F.col("n") > MAX_WORDS).select("h1", "n", F.posexplode("words").alias("i", "word"))
-    line = Window.partitionBy("h1").orderBy("i")
-    every, before = Window.partitionBy("h1"), line.rowsBetween(Window.unboundedPreceding, -1)
-    here, moved = F.xxhash64("i", "word"), F.xxhash64(F.col("i") - 1, "word")  # moved: where the word is once an earlier one is out
-    at = at.select("h1", "n", "i", here.alias("here"), moved.alias("moved"))
-    past = lambda x: F.coalesce(F.bit_xor(x).over(before), F.lit(0).cast("long"))
-    at = at.select("h1", "n", "i", "here", "moved", F.bit_xor("here").over(every).alias("all_here"), F.bit_xor("moved").over(every).alias("all_moved"), past("here").alias("past_here"), past("moved").alias("past_moved"))
-    replaced = F.xxhash64(F.lit("replaced long"), "n", "i", F.col("all_here").bitwiseXOR(F.col("here")))
-    rest = F.col("past_here").bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("past_moved")).bitwiseXOR(F.col("moved"))
-    shorter = F.xxhash64(F.lit("left out long"), F.col("n") - 1, rest)
-    keys = F.array(F.struct(replaced.alias("key"), F.lit(0).alias("role")), F.struct(shorter.alias("key"), F.lit(2).alias("role")))
-    words = F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i, w)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    whole = lines.where(F.col("n") >= MAX_WORDS).select(F.xxhash64(F.lit("left out long"), "n", words).alias("key"), F.lit(1).alias("role"), "h1")
-    return at.select("h1", F.inline(keys)).select("key", "role", "h1").union(whole)
-
-
-def near_lines(docs: DataFrame) -> DataFrame:
+    shared = staged(shared.select("key"))
+    n = shared.count()
+    side = (F.col("k") % 2).alias("side")
+    if n > most:
+        marked = lines.select("h1", "h2", F.posexplode("halves").alias("k", "key")).join(shared.hint("merge"), "key", "left_semi").select("h1", "h2", side).distinct()
+        asked = lines.join(marked.hint("merge"), ["h1", "h2"])
+    else:
+        slots = 1 << max(6, n.bit_length())
+        slot = F.pmod(F.col("key"), F.lit(slots)).cast("int")
+        bits = shared.select(slot.alias("slot"), F.expr(f"shiftleft(1L, {BIT})").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+        asked = lines.select("occ", "line", "h1", "h2", F.posexplode("halves").alias("k", "key")).withColumn("slot", slot)
+        asked = asked.join(F.broadcast(bits), "slot").where(F.expr(f"(shiftright(bits, {BIT}) & 1) = 1")).withColumn("side", side)  # at most 2 * most rows of two numbers
+    found = asked.groupBy("h1", "h2").agg(F.min("occ").alias("occ"), F.min("line").alias("line"), F.min("side").alias("low"), F.max("side").alias("high"))
+    words = F.split("line", " ")
+    return staged(found.select("h1", "h2", "occ", words.alias("words"), F.size(words).alias("n"), (F.col("low") == 0).alias("first"), (F.col("high") == 1).alias("last")))
+
+
+def _added(array: Column, value: Column) -> Column:
+    return F.concat(array, F.array(value).cast("array<bigint>"))
+
+
+def _running(values: str, n: str) -> tuple[Column, Column]:
+    """Blocks of about the square root of n values with the XOR of those before each place of the block (and after the last); XOR of all blocks before each."""
+    zero, width = F.array(F.lit(0)).cast("array<bigint>"), F.ceil(F.sqrt(n)).cast("int")
+    step = lambda acc, x: _added(acc, F.element_at(acc, -1).bitwiseXOR(x))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col(n) / width).cast("int") - 1), lambda b: F.aggregate(F.slice(values, b * width + 1, width), zero, step))
+    return blocks, F.aggregate("blocks", zero, lambda acc, part: step(acc, F.element_at(part, -1)))
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """key, role, h1: a row for each word left out with the place kept (role 0) or closed (2), and one for the whole line (1).
+
+    Words are left out of the other half than the one that is shared: that is where the edit is.
+    """
+    place = lambda i, w: F.xxhash64(i, w)
+    here, moved = F.transform("words", lambda w, i: place(i, w)), F.transform("words", lambda w, i: place(i - 1, w))  # moved: once an earlier word is out
+    half = _half(F.col("n"))[0]
+    low, high = F.when(F.col("last"), 0).otherwise(half), F.when(F.col("first"), F.col("n")).otherwise(F.col("n") - half)
+    at = lines.select("h1", "n", low.alias("low"), (high - low).alias("gaps"), here.alias("here"), moved.alias("moved"))
+    at = at.withColumn("both", F.zip_with("here", "moved", lambda x, y: x.bitwiseXOR(y)))
+    whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    blocks, base = _running("both", "n")
+    at = at.withColumns({"blocks": blocks, "all_here": whole("here"), "all_moved": whole("moved")}).withColumn("base", base)
+    before = F.flatten(F.zip_with(F.slice("base", 1, F.size("blocks")), "blocks", lambda p, part: F.transform(F.slice(part, 1, F.size(part) - 1), lambda x: p.bitwiseXOR(x))))
+    asked = lambda c: F.slice(c, F.col("low") + 1, F.col("gaps"))
+    rest = F.zip_with(asked(before), asked("moved"), lambda p, m: p.bitwiseXOR(m))
+    replaced = F.transform(asked("here"), lambda x, i: F.struct(F.xxhash64(F.lit("replaced"), "n", i + F.col("low"), F.col("all_here").bitwiseXOR(x)).alias("key"), F.lit(0).alias("role")))
+    shorter = F.transform(rest, lambda x: F.struct(F.xxhash64(F.lit("left out"), F.col("n") - 1, F.col("all_moved").bitwiseXOR(x)).alias("key"), F.lit(2).alias("role")))
+    same = F.array(F.struct(F.xxhash64(F.lit("left out"), "n", "all_here").alias("key"), F.lit(1).alias("role")))
+    return at.select("h1", F.inline(F.concat(replaced, shorter, same))).select("key", "role", "h1")
+
+
+def near_lines(lines: DataFrame, most: int = MAX_SHARED) -> DataFrame:
     """h1, h2 of lines that have an earlier line within one word edit."""
-    lines = _suspects(docs)
-    at = lines.where(F.col("n") <= MAX_WORDS).select("h1", "words", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    at = at.select("h1", "n", "i", F.slice("words", 1, F.col("i") - 1).alias("before"), F.slice("words", F.col("i") + 1, F.col("n") - F.col("i")).alias("after"))
-    replaced, shorter = F.xxhash64(F.lit("replaced"), "n", "i", "before", "after"), F.xxhash64(F.lit("left out"), "before", "after")
-    keys = F.array(F.struct(replaced.alias("key"), F.lit(0).alias("role")), F.struct(shorter.alias("key"), F.lit(2).alias("role")))
-    whole = lines.where(F.col("n") <= MAX_WORDS).select(F.xxhash64(F.lit("left out"), "words").alias("key"), F.lit(1).alias("role"), "h1")
-    variants = staged(at.select("h1", F.inline(keys)).select("key", "role", "h1").union(whole).union(_long_variants(lines)))  # read twice
+    lines = _suspects(lines, most)
+    variants = staged(_variants(lines))  # read twice
     met = variants.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
     met = met.where("low <> high and (r0 = 0 or r0 < r1)").select("key")
     found = staged(variants.join(met, "key").distinct().join(lines, "h1").select("key", "role", "h1", "h2", "occ", "words"))
@@ -122,35 +143,37 @@ def within_one_word(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(a) == F.size(b) + 1, drops_to(a, b)).when(F.size(b) == F.size(a) + 1, drops_to(b, a)).otherwise(False)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, gone (numbers of the lines that go)."""
-    lines = _lines(docs).select("occ", "h1", "h2")
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_words: int = NEAR_WORDS) -> DataFrame:
+    """doc_id, text_id, gone: the lines that go as bits, 64 lines a number."""
+    lines = staged(_lines(docs, min_chars, near_words))  # read four times
     again = lines.groupBy("h1", "h2").agg(F.min("occ").alias("head"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "head", F.lit(False).alias("near"))
-    near = near_lines(docs).select("h1", "h2", F.lit(None).cast(again.schema["head"].dataType).alias("head"), F.lit(True).alias("near"))
+    near = near_lines(lines).select("h1", "h2", F.lit(None).cast(again.schema["head"].dataType).alias("head"), F.lit(True).alias("near"))
     # written, so that the join shuffles both sides and a line that a third of all documents hold can be split
     rules = staged(again.union(near).groupBy("h1", "h2").agg(F.max("head").alias("head"), F.max("near").alias("near")))
-    gone = lines.join(rules, ["h1", "h2"]).where(F.col("near") | (F.col("occ") != F.col("head")))
-    return gone.groupBy("occ.doc_id", "occ.text_id").agg(F.collect_set("occ.no").alias("gone"))
+    gone = lines.select("occ", "h1", "h2").join(rules, ["h1", "h2"]).where(F.col("near") | (F.col("occ") != F.col("head")))
+    marks = gone.select("occ.doc_id", "occ.text_id", F.expr("cast(occ.no div 64 as int)").alias("slot"), F.expr("shiftleft(1L, cast(occ.no % 64 as int))").alias("bit"))
+    marks = marks.groupBy("doc_id", "text_id", "slot").agg(F.bit_or("bit").alias("bits"))
+    marks = marks.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("slot", "bits")).alias("marks"))
+    return marks.select("doc_id", "text_id", F.expr("transform(sequence(0, array_max(marks).slot), s -> coalesce(try_element_at(filter(marks, m -> m.slot = s), 1).bits, 0L))").alias("gone"))
 
 
-def _rebuilt(docs: DataFrame) -> DataFrame:
+def _rebuilt(docs: DataFrame, min_chars: int, near_words: int) -> DataFrame:
     """docs with text less its dropped lines, and _n_lines (before), _n_removed."""
-    both = few_of(docs, dropped_lines(docs).withColumnRenamed("gone", "_gone"), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = both.withColumn("_n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-    out = out.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    both = few_of(docs, dropped_lines(docs, min_chars, near_words).withColumnRenamed("gone", "_gone"), "left")
+    kept = F.expr("array_join(filter(split(text, '\n'), (x, i) -> (shiftright(coalesce(get(_gone, cast(i div 64 as int)), 0L), cast(i % 64 as int)) & 1L) = 0L), '\n')")
+    out = both.withColumn("_n_removed", F.expr("coalesce(aggregate(_gone, 0L, (n, x) -> n + bit_count(x)), 0L)"))
+    out = out.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with text less its dropped lines, and n_lines (before), n_removed.
 
     docs: doc_id, text and any other columns (kept as they are, but for n_lines and n_removed, which are replaced). The
     earliest place is the least (doc_id, text_id, line number), null ids first. Null and empty texts have no lines to
     drop; rows with the same doc_id and text are one document: they share their decisions.
     """
-    return _rebuilt(docs).drop("n_lines", "n_removed").withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+    return _rebuilt(docs, min_chars, near_words).drop("n_lines", "n_removed").withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -158,9 +181,9 @@ def digest(docs: DataFrame) -> DataFrame:
     return deduplicate(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def keep_new(docs: DataFrame) -> DataFrame:
+def keep_new(docs: DataFrame, min_chars: int = MIN_CHARS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with their dropped lines gone and n_chars set anew where there is one; documents that lose all their words go."""
-    done = _rebuilt(docs)
+    done = _rebuilt(docs, min_chars, near_words)
     done = done.where((F.col("_n_removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -174,16 +197,16 @@ with lines as (
 ), good as (select * from lines where length(line) >= {MIN_CHARS}),
 firsts as (
   select line, min(struct_pack(d := doc_id, n := no)) as occ, string_split(line, ' ') as w, len(string_split(line, ' ')) as n from good group by line
-), near as (select * from firsts where n between {NEAR_WORDS} and {MAX_WORDS}),
+), near as (select * from firsts where n >= {NEAR_WORDS}),
 gaps as (
-  select line, occ, n, i, list_concat(w[1:i-1], w[i+1:n]) as rest
+  select line, occ, n, i, md5(array_to_string(list_concat(w[1:i-1], w[i+1:n]), ' ')) as rest
   from (select *, unnest(range(1, n + 1)) as i from near)
 ), replaced as (
   select line from (select line, occ, min(occ) over (partition by n, i, rest) as head from gaps) where head < occ
 ), longer as (
-  select a.line from gaps a join near b on a.n = b.n + 1 and a.rest = b.w where b.occ < a.occ
+  select a.line from gaps a join near b on a.n = b.n + 1 and a.rest = md5(b.line) where b.occ < a.occ
 ), shorter as (
-  select b.line from gaps a join near b on a.n = b.n + 1 and a.rest = b.w where a.occ < b.occ
+  select b.line from gaps a join near b on a.n = b.n + 1 and a.rest = md5(b.line) where a.occ < b.occ
 ), gone_lines as (select line from replaced union select line from longer union select line from shorter),
 gone as (
   select g.doc_id, g.no from good g join firsts f using (line)
