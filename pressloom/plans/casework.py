@@ -25,7 +25,10 @@ def _pick_sql(values, k: str) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + f"][({k}) % {len(values)} + 1]"
 
 
-_RANGE = F.when(F.col("c_acctbal") < 2000, "bajo").when(F.col("c_acctbal") < 7000, "medio").otherwise("alto")
+def _range() -> F.Column:
+    return F.when(F.col("c_acctbal") < 2000, "bajo").when(F.col("c_acctbal") < 7000, "medio").otherwise("alto")
+
+
 _RANGE_SQL = "case when c_acctbal < 2000 then 'bajo' when c_acctbal < 7000 then 'medio' else 'alto' end"
 
 
@@ -42,7 +45,7 @@ def case_records(spark: SparkSession, sf: str) -> DataFrame:
     o, l, c = (table(spark, sf, t) for t in ("orders", "lineitem", "customer"))
     cases = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("group"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")).alias("draft"))
     citations = l.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("evidence"), F.col("l_linestatus").alias("field"), F.col("l_returnflag").alias("passage"))
-    groups = c.select(F.col("c_custkey").alias("group"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("topic"), F.struct(F.col("c_acctbal").alias("score"), _RANGE.alias("range")).alias("score"), _pick(EVIDENCE_STATES, F.col("c_nationkey")).alias("state"))
+    groups = c.select(F.col("c_custkey").alias("group"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("topic"), F.struct(F.col("c_acctbal").alias("score"), _range().alias("range")).alias("score"), _pick(EVIDENCE_STATES, F.col("c_nationkey")).alias("state"))
     r = W.case_records(cases, citations, groups, _states(spark, sf))
     first = F.concat_ws(":", F.get("citations", F.lit(0))["evidence"].cast("string"), F.get("citations", F.lit(0))["field"], F.get("citations", F.lit(0))["passage"])
     return r.select("case_id", "title", "topic", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), F.size("citations").alias("citations"), first.alias("first"), F.col("score.score").alias("score"), F.col("score.range").alias("range"), "evidence_state", "draft", "review_state")
@@ -57,7 +60,7 @@ select o_orderkey as case_id, c_name as title, c_mktsegment as topic, coalesce(s
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
-    return c.select(F.col("c_custkey").alias("group"), F.when(F.col("c_custkey") % 3 == 0, F.pmod("c_custkey", F.lit(200))).alias("case_id"), F.col("c_mktsegment").alias("topic"), (F.col("c_nationkey") % 4 == 0).alias("covered"), _RANGE.alias("range"), _pick(EVIDENCE_STATES, F.col("c_nationkey")).alias("state"))
+    return c.select(F.col("c_custkey").alias("group"), F.when(F.col("c_custkey") % 3 == 0, F.pmod("c_custkey", F.lit(200))).alias("case_id"), F.col("c_mktsegment").alias("topic"), (F.col("c_nationkey") % 4 == 0).alias("covered"), _range().alias("range"), _pick(EVIDENCE_STATES, F.col("c_nationkey")).alias("state"))
 
 
 def inbox(spark: SparkSession, sf: str) -> DataFrame:

@@ -170,3 +170,12 @@ def test_staged_folders_can_be_cleared(spark):
     assert clear_staged(spark) >= 1
     kept = staged(spark.range(5))
     assert kept.count() == 5 and "/" in shared_dir(spark)
+
+
+def test_queries_are_listed_without_a_session():
+    """Importing the plans makes no columns: names and SQL can be read before Spark is started."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
