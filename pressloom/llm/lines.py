@@ -145,7 +145,7 @@ def within_one_word(a: Column, b: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, text_id, gone: the lines that go as bits, 64 lines a number."""
-    lines = staged(_lines(docs, min_chars, near_words))  # read four times
+    lines = staged(_lines(docs, min_chars, near_words), "zstd")  # read four times; mostly text
     again = lines.groupBy("h1", "h2").agg(F.min("occ").alias("head"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "head", F.lit(False).alias("near"))
     near = near_lines(lines).select("h1", "h2", F.lit(None).cast(again.schema["head"].dataType).alias("head"), F.lit(True).alias("near"))
     # written, so that the join shuffles both sides and a line that a third of all documents hold can be split
