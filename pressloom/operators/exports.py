@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,6 +50,32 @@ def package_proof(packages: DataFrame, claims: DataFrame) -> DataFrame:
     return packages.join(built, ["package", "part"], "left").select("package", "part", F.coalesce((F.col("unknown") == 0) & (F.col("built") == F.col("text")), F.lit(False)).alias("proven"))
 
 
+def package_problems(packages: DataFrame, claims: DataFrame, questions: DataFrame, parts: tuple[str, ...], title: str) -> DataFrame:
+    """packages: package, part, claim_ids (array); claims: claim; questions: package, question -> rule, package: a part that
+    selects nothing, a title of other than one claim, a claim twice in a part, one that was not accepted, other than three distinct questions."""
+    every = packages.select("package").distinct()
+    flat = packages.select("package", "part", F.explode("claim_ids").alias("claim"))
+    full = flat.select("package", "part").distinct()
+    wanted = every.select("package", F.explode(F.array(*[F.lit(p) for p in parts])).alias("part"))
+    asked = every.join(questions.groupBy("package").agg(F.count("*").alias("n"), F.countDistinct("question").alias("k")), "package", "left")
+    rules = {
+        "part without a claim": wanted.join(full, ["package", "part"], "left_anti"), "title of other than one claim": flat.where(F.col("part") == title).groupBy("package").count().where("count <> 1"), "claim twice": flat.groupBy("package", "part", "claim").count().where("count > 1"),
+        "claim that was not accepted": flat.join(claims.select("claim"), "claim", "left_anti"), "not three distinct questions": asked.where(~F.coalesce((F.col("n") == 3) & (F.col("k") == 3), F.lit(False))),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(rule).alias("rule"), "package").distinct() for rule, rows in rules.items()])
+
+
+def context_label(kind: Column, fields: Column) -> Column:
+    """What a link shows for an official record."""
+    field = lambda name: F.try_element_at(fields, F.lit(name))
+    return F.when(kind == "indicador", field("indicador")).when(kind == "serie_inec", field("serie")).otherwise(F.concat(F.lit("Sismo M"), field("valor")))
+
+
+def relabelled(links: DataFrame, evidence: DataFrame) -> DataFrame:
+    """links: group, evidence; evidence: evidence, kind, fields -> links with the label of the record as it is now."""
+    return links.join(evidence.select("evidence", context_label(F.col("kind"), F.col("fields")).alias("label")), "evidence", "left").select("group", "evidence", "label")
+
+
 def applied_labels(records: DataFrame, reviews: DataFrame, now_us: int) -> DataFrame:
     """records: id, label, hash; reviews: id, new_label, hash, human, us -> id, label, status ('reviewed', 'stale', 'not human', 'bad time', 'original').
 

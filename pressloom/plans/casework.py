@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from pressloom.functions.storage import staged, table
 from pressloom.functions.text import dot, tokens, unit
 from pressloom.operators import casework as W
+from pressloom.operators import coverage as O
+from pressloom.operators import exports as X
 from pressloom.operators import retrieval as R
 from pressloom.operators import reviews as D
 from pressloom.plans import views as V
 from pressloom.plans.editorial import _ALLOWED, STATES
 from pressloom.plans.intake import tokens_sql
+from pressloom.plans.sourcing import QUAKES
 
 EVIDENCE_STATES = (W.ENOUGH, W.PARTLY, W.TOO_LITTLE)
 
@@ -199,6 +202,49 @@ ok as (select rk.q, rk.doc, rk.rank from rk join topic on topic.q = rk.q join to
   and round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) >= 0.0 and len(list_intersect(topic, list_distinct(toks.t))) >= least(2, len(topic)))
 select q as case_id, doc, row_number() over (partition by q order by rank, doc) as place from ok qualify place <= 4"""
 
+def package_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Packages whose selection of claims cannot stand. Orders are packages, their lines the claims of a part."""
+    l = table(spark, sf, "lineitem")
+    packages = l.groupBy(F.col("l_orderkey").alias("package"), F.when(F.col("l_linenumber") == 1, "titulo").otherwise(F.col("l_linestatus")).alias("part")).agg(F.collect_list(F.pmod("l_partkey", F.lit(40))).alias("claim_ids"))
+    claims = table(spark, sf, "part").where("p_partkey < 38").select(F.col("p_partkey").alias("claim"))
+    questions = table(spark, sf, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("package"), F.pmod("l_suppkey", F.lit(9)).alias("question"))
+    return X.package_problems(packages, claims, questions, ("titulo", "F", "O"), "titulo").groupBy("rule").agg(F.count("*").alias("n"), F.min("package").alias("first"))
+
+
+PACKAGES = """with f as (select l_orderkey as k, case when l_linenumber = 1 then 'titulo' else l_linestatus end as part, l_partkey % 40 as c from lineitem), q as (select l_orderkey as k, count(*) as n, count(distinct l_suppkey % 9) as d from lineitem where l_linenumber <= 3 group by 1),
+p as (select distinct 'part without a claim' as rule, k from (select distinct k from f) cross join (select unnest(['titulo', 'F', 'O']) as part) where (k, part) not in (select k, part from f) union all select 'title of other than one claim', k from f where part = 'titulo' group by k having count(*) <> 1
+  union all select distinct 'claim twice', k from (select k from f group by k, part, c having count(*) > 1) union all select distinct 'claim that was not accepted', k from f where c not in (select p_partkey from part where p_partkey < 38)
+  union all select 'not three distinct questions', k from (select distinct k from f) left join q using (k) where not coalesce(n = 3 and d = 3, false))
+select rule, count(*) as n, min(k) as first from p group by rule"""
+
+
+def rescored_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of groups once their coverage is known."""
+    q = F.col("c_custkey")
+    parts = [F.round(F.pmod(q * j, F.lit(11)) / 10, 1).alias(x) for j, x in ((1, "r"), (2, "i"), (3, "u"), (4, "n"), (5, "e"))]
+    return O.rescored(table(spark, sf, "customer").select(q.alias("group"), *parts, _pick(COVERED, F.col("c_nationkey")).alias("coverage")))
+
+
+COVERED = ("cubierto", "dato_nuevo", "no_comprobada", "sin_coincidencia")
+RESCORED = f"""with p as (select c_custkey as g, round(c_custkey % 11 / 10, 1) as r, round(c_custkey * 2 % 11 / 10, 1) as i, round(c_custkey * 3 % 11 / 10, 1) as u, round(c_custkey * 4 % 11 / 10, 1) as n0, round(c_custkey * 5 % 11 / 10, 1) as e, {_pick_sql(COVERED, 'c_nationkey')} as s from customer),
+a as (select *, case when s in ('cubierto', 'no_comprobada') then 0.0::double when s = 'dato_nuevo' then least(n0, 0.75::double) else n0 end as n from p),
+t as (select *, round(30 * r::decimal(6,4) + 25 * i::decimal(6,4) + 20 * u::decimal(6,4) + 15 * n::decimal(6,4) + 10 * e::decimal(6,4), 2)::double as score from a)
+select g as "group", r, i, u, n, e, score, case when score < 40 then 'bajo' when score < 70 then 'medio' else 'alto' end as "range" from t"""
+
+
+def context_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of groups with the labels of the official records as they are now."""
+    from pressloom.plans.sourcing import _official
+
+    links = table(spark, sf, "events").where("event_id % 3 = 0").select(F.pmod("event_id", F.lit(60)).alias("group"), F.concat(F.lit("USGS-"), F.col("event_id").cast("string")).alias("evidence"))
+    more = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("group"), F.concat(F.lit("WB-"), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("-SUP.BAL-2024")).alias("evidence"))
+    return X.relabelled(links.union(more), _official(spark, sf)).groupBy("group", "label").agg(F.count("*").alias("n"), F.min("evidence").alias("first"))
+
+
+LABELS = V.with_(QUAKES) + """, l as (select event_id % 60 as g, 'USGS-' || event_id as e, null as lab from events where event_id % 3 = 0 union all select n_nationkey, 'WB-' || replace(n_name, ' ', '_') || '-SUP.BAL-2024', 'Saldo de proveedores' from nation)
+select g as "group", coalesce(lab, 'Sismo M' || replace(printf('%.1f', magnitude), '.', ',')) as label, count(*) as n, min(e) as first from l left join quakes q on q.evidence = l.e group by 1, 2"""
+
 QUERIES = {
+    "package_problems": (package_problems, PACKAGES), "rescored_groups": (rescored_groups, RESCORED), "context_labels": (context_labels, LABELS),
     "case_records": (case_records, RECORDS), "inbox": (inbox, INBOX), "run_summary": (run_summary, SUMMARY), "guarded_decisions": (guarded_decisions, GUARDED), "record_problems": (record_problems, _problems_sql()), "case_gaps": (case_gaps, GAPS), "text_scopes": (text_scopes, TEXT_SCOPES), "case_articles": (case_articles, ARTICLES),
 }
