@@ -15,8 +15,8 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z folds to a-z; digits, a-z and every byte of a non-ASCII character stay; the rest separates.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Words that a task keeps hashed at once (about 100 MB), and words that it holds as arrays at once.
-CACHE_WORDS, CHUNK_WORDS = 500_000, 300_000
+#: Words that a task keeps hashed at once (about 60 MB), and words that it holds as arrays at once.
+CACHE_WORDS, CHUNK_WORDS = 300_000, 300_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
