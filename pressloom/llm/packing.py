@@ -3,8 +3,9 @@
 A document is its token ids and an end id. It is cut into pieces of SEQUENCE ids and a rest; whole pieces fill
 sequences of their own, rests are packed longest first into the first sequence of their group that has room.
 A tournament tree over the room that is left in a group's sequences finds that one in a logarithm of steps.
-Only piece sizes are shuffled, never text; a group holds about GROUP documents whatever the corpus. A row's group is
-drawn from its id, its text and its place in its task, so that many equal rows are spread over the groups too.
+Only piece sizes are shuffled, never text; a group holds about GROUP documents whatever the corpus. Pieces are written
+with a number of their own before they are dealt, so a group is drawn from what is in a file: many equal rows are spread
+over the groups too, and a task that is done again deals as before.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.common import keyed
+from pressloom.llm.common import keyed, staged
 from pressloom.llm.tokens import loaded, tokenizer_path
 
 SEQUENCE, END_ID, GROUP, SEED = 2048, 1, 4096, 17
@@ -25,7 +26,7 @@ SEQUENCE, END_ID, GROUP, SEED = 2048, 1, 4096, 17
 
 def _pieces(batches, path: str, size: int, end_id: int):
     """Texts -> pieces: start, length and checksum of their ids."""
-    tokenizer, end, row = loaded(path), int(end_id).to_bytes(4, "little"), 0
+    tokenizer, end = loaded(path), int(end_id).to_bytes(4, "little")
     for batch in batches:
         rows, out = [], [[] for _ in range(4)]
         for i, ids in enumerate(tokenizer.ids(batch.column("text").to_pylist())):
@@ -37,9 +38,15 @@ def _pieces(batches, path: str, size: int, end_id: int):
                 for column, value in zip(out, (start, len(part) // 4, zlib.crc32(part), n), strict=True):
                     column.append(value)
         at = pa.array(rows, pa.int64())
-        place = pa.array(np.array(rows, np.int64) + row)
-        row += batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_id").take(at), *(pa.array(x, pa.int64()) for x in out), place], ["doc_id", "text_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_id").take(at), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", "text_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+
+def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+    """doc_id, text_id, start, length, ids_crc32, doc_tokens, row (a number that no other piece has), written to the shared folder."""
+    path, read = tokenizer or tokenizer_path("word_bpe_49k.json"), keyed(docs)
+    doc_id = read.schema["doc_id"].dataType.simpleString()
+    cut = read.mapInArrow(lambda it: _pieces(it, path, size, end_id), f"doc_id {doc_id}, text_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return staged(cut.withColumn("row", F.monotonically_increasing_id()))
 
 
 def first_fit(sizes: np.ndarray, room: int) -> tuple[list[int], list[int]]:
@@ -80,14 +87,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, en
     docs: doc_id, text; other columns are not read. tokenizer: path of a tokenizer file. Null and empty texts are
     the end id alone; repeated rows are packed each; an empty table gives no rows.
     """
-    path = tokenizer or tokenizer_path("word_bpe_49k.json")
     groups = max(1, -(-docs.count() // group))
-    read = keyed(docs)
-    doc_id = read.schema["doc_id"].dataType.simpleString()
+    cut = pieces(docs, tokenizer, size, end_id)
+    doc_id = cut.schema["doc_id"].dataType.simpleString()
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(groups))).drop("row")
     names = f"doc_id {doc_id}, text_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    pieces = read.mapInArrow(lambda it: _pieces(it, path, size, end_id), f"{names}, place bigint")
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_id", "place", F.lit(SEED)), F.lit(groups))).drop("place")
-    return pieces.groupBy("bucket").applyInPandas(lambda rows: _packed(rows, size), f"{names}, sequence_id bigint, offset bigint")
+    return dealt.groupBy("bucket").applyInPandas(lambda rows: _packed(rows, size), f"{names}, sequence_id bigint, offset bigint")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import decontaminate, fingerprints, languages, lines, near_duplicates, packing, quality, secrets, substrings, token_counts
+from pressloom.llm import best_fit, decontaminate, fingerprints, languages, lines, near_duplicates, packing, quality, secrets, substrings, token_counts
 from pressloom.llm.common import shared_dir, table
 
 
@@ -63,6 +63,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_fingerprints,
         op10_substring_dedup,
+        op11_best_fit,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op3_decontamination": decontaminate.SQL, "op8_near_duplicates": near_duplicates.SQL, "op10_substring_dedup": substrings.SQL}
