@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import best_fit, decontaminate, fingerprints, languages, lines, near_duplicates, packing, quality, secrets, substrings, token_counts
+from pressloom.llm import best_fit, decontaminate, fingerprints, languages, lines, near_duplicates, packing, quality, ranked, secrets, spelling, substrings, token_counts
 from pressloom.llm.common import shared_dir, table
 
 
@@ -67,6 +67,14 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_fingerprints,
         op10_substring_dedup,
         op11_best_fit,
+        op12_spelling,
+        op13_ranked_search,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op3_decontamination": decontaminate.SQL, "op8_near_duplicates": near_duplicates.SQL, "op10_substring_dedup": substrings.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op3_decontamination": decontaminate.SQL, "op8_near_duplicates": near_duplicates.SQL, "op10_substring_dedup": substrings.SQL, "op13_ranked_search": ranked.SQL}
