@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions.text import fold, matched_word, word_pattern
@@ -78,26 +78,55 @@ def latest_points(official: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     return rows.join(newest, ["prefix", "period"]).groupBy("prefix").agg(F.min("evidence").alias("evidence"))
 
 
-def closest_event(reports: DataFrame, events: DataFrame, span_s: int = SPAN_S, tolerance: float = TOLERANCE) -> DataFrame:
-    """reports: id, moment, magnitude (NULL: any; or an array: any of them, none if empty); events: event, moment, magnitude
-    -> id, event, gap: nearest in time within span_s, ties by event.
+def _fitting(asks: DataFrame, sizes: DataFrame, tolerance: float) -> DataFrame:
+    """asks: magnitude (distinct: a number, or an array of them); sizes: size (distinct) -> magnitude, size: those within tolerance, one decimal kept.
 
-    Time is cut into buckets of span_s: an event stands in its own and both neighbours, so the join is on equal buckets.
-    Events of one bucket and magnitude (one decimal) that share a moment stand for each other: the least is kept, so the
-    join's output follows the catalog's distinct moments.
+    Both are cut into tenths, and a magnitude looks into the tenths that its tolerance reaches: no product of the two.
     """
-    own = F.floor(F.col("moment") / span_s)
-    one = events.groupBy("moment", "magnitude").agg(F.min("event").alias("event"))
-    e = one.select("event", F.col("moment").alias("at_s"), F.col("magnitude").alias("size"), F.explode(F.sequence(own - 1, own + 1)).alias("bucket"))
-    r = reports.withColumn("bucket", F.floor(F.col("moment") / span_s))
-    gap = F.abs(F.col("moment") - F.col("at_s"))
-    if reports.schema["magnitude"].dataType.typeName() == "array":
-        fits = F.col("magnitude").isNull() | (F.size("magnitude") == 0) | F.exists("magnitude", lambda m: F.round(F.abs(m - F.col("size")), 1) <= tolerance)
-    else:
-        fits = F.col("magnitude").isNull() | (F.round(F.abs(F.col("magnitude") - F.col("size")), 1) <= tolerance)
-    near = r.join(e, "bucket").where((gap <= span_s) & fits)
-    best = near.groupBy("id").agg(F.min(F.struct(gap.alias("gap"), "event")).alias("best"))
-    return best.select("id", F.col("best.event").alias("event"), F.col("best.gap").alias("gap"))
+    ask = asks.where("magnitude is not null").select("magnitude", F.explode("magnitude").alias("m") if asks.schema["magnitude"].dataType.typeName() == "array" else F.col("magnitude").alias("m"))
+    reach = tolerance + 0.1
+    ask = ask.where(F.col("m").isNotNull()).select("magnitude", "m", F.explode(F.sequence(F.floor((F.col("m") - reach) * 10), F.floor((F.col("m") + reach) * 10))).alias("tenth"))
+    held = sizes.select("size", F.floor(F.col("size") * 10).alias("tenth"))
+    return ask.join(held, "tenth").where(F.round(F.abs(F.col("m") - F.col("size")), 1) <= tolerance).select("magnitude", "size").distinct()
+
+
+def closest_event(reports: DataFrame, events: DataFrame, span_s: int = SPAN_S, tolerance: float = TOLERANCE, cell_s: int | None = None) -> DataFrame:
+    """reports: id, moment (whole seconds), magnitude (NULL: any; or an array: any of them, any at all if empty); events: event, moment, magnitude
+    -> id, event, gap: nearest in time within span_s, ties by event. Reports without a moment find nothing.
+
+    An as-of join. Questions and events form one stream for each magnitude, in order of time: equal events of a moment
+    stand for each other, and so do reports that ask the same, so a stream has at most two rows a second. It is swept
+    in cells of cell_s (an hour of the default span): within a cell the last event before and the next after each
+    question come from windows; across borders every cell gets the last event of the cells before it and the first of
+    those after it, from a table of one row a cell. No pair of a report and an event is made but the two that are kept.
+    """
+    cell_s = cell_s or max(1, span_s // 24)
+    listed = reports.schema["magnitude"].dataType.typeName() == "array"
+    asked = F.when(F.size("magnitude") == 0, None).otherwise(F.array_sort(F.array_distinct("magnitude"))) if listed else F.col("magnitude")
+    seen = reports.where("moment is not null").select("id", "moment", asked.alias("magnitude"))
+    asks = seen.select("moment", "magnitude").distinct()
+    one = events.where("moment is not null").groupBy("moment", F.col("magnitude").alias("size")).agg(F.min("event").alias("event"))
+    fits = _fitting(asks.select("magnitude").distinct(), one.where("size is not null").select("size").distinct(), tolerance)
+    # the stream of a magnitude is named by it; that of all events has no name
+    keyed = asks.where("magnitude is null").select("moment", "magnitude", F.lit(None).cast("double").alias("size")).unionByName(asks.join(fits, "magnitude").select("moment", "magnitude", F.col("size").cast("double")))
+    told = one.where("size is not null").select("moment", F.col("size").cast("double"), "event").unionByName(one.groupBy("moment").agg(F.min("event").alias("event")).select("moment", F.lit(None).cast("double").alias("size"), "event"))
+    at = F.struct("moment", "event")
+    questions = keyed.select("size", "moment").distinct().select("size", "moment", F.lit(None).cast(told.select(at.alias("x")).schema["x"].dataType).alias("here"))
+    stream = questions.unionByName(told.select("size", "moment", at.alias("here"))).withColumn("cell", F.floor(F.col("moment") / cell_s))
+    in_cell = Window.partitionBy("size", "cell").orderBy("moment", F.col("here").isNull())  # an event comes before the questions of its moment
+    swept = stream.select("size", "cell", "moment", "here", F.last("here", True).over(in_cell.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first("here", True).over(in_cell.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    borders = stream.groupBy("size", "cell").agg(F.min("here").alias("first"), F.max("here").alias("last"))  # of equal moments: one event each
+    over = Window.partitionBy("size").orderBy("cell")  # rows: cells of time, however many reports they hold
+    borders = borders.select("size", "cell", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("past"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("coming"))
+    known = borders.withColumnsRenamed({"size": "_size", "cell": "_cell"})
+    met = swept.where("here is null").join(known, F.col("size").eqNullSafe(F.col("_size")) & (F.col("cell") == F.col("_cell")))
+    near = [F.struct(F.abs(F.col("moment") - e["moment"]).alias("gap"), e["event"].alias("event")) for e in (F.coalesce("before", "past"), F.coalesce("after", "coming"))]
+    near = F.filter(F.array(*near), lambda e: e["gap"] <= span_s)
+    answers = met.select("size", "moment", F.array_min(near).alias("best")).where("best is not null").withColumnsRenamed({"size": "_size", "moment": "_moment"})
+    of_ask = keyed.join(answers, F.col("size").eqNullSafe(F.col("_size")) & (F.col("moment") == F.col("_moment"))).groupBy("moment", "magnitude").agg(F.min("best").alias("best"))
+    of_ask = of_ask.withColumnsRenamed({"moment": "_moment", "magnitude": "_magnitude"})
+    found = seen.join(of_ask, (F.col("moment") == F.col("_moment")) & F.col("magnitude").eqNullSafe(F.col("_magnitude")))
+    return found.select("id", F.col("best.event").alias("event"), F.col("best.gap").alias("gap"))
 
 
 def link_context(groups: DataFrame, rules: Sequence[Rule], official: DataFrame, catalog: DataFrame, others: Sequence[str] = OTHERS, regions: Sequence[str] = REGIONS) -> tuple[DataFrame, DataFrame]:
