@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.operators.ranks import at_places, places
+
 
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
@@ -36,9 +38,10 @@ def class_report(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def nearest_rank(rows: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
     """Element number ceil(q * n) in order, and the median, by key."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(F.col(value), 0.5).alias("median"), F.min(F.when(F.col("_k") >= F.ceil(F.lit(q) * F.col("_n")), F.col(value))).alias("high"))
+    placed = places(rows.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.asc(value)])
+    n = F.col("total")
+    found = at_places(placed, keys, value, low=F.floor((n + 1) / 2), up=F.floor(n / 2) + 1, high=F.greatest(F.ceil(F.lit(q) * n), F.lit(1)))
+    return found.select(*keys, n.alias("n"), ((F.col("low") + F.col("up")) / 2).alias("median"), "high")
 
 
 def ratio(rows: DataFrame, *keys: str) -> DataFrame:
@@ -71,6 +74,14 @@ def peaks(calls: DataFrame) -> DataFrame:
 
 
 def rate_window(calls: DataFrame, span_us: int = 60_000_000) -> DataFrame:
-    """Per call: calls and tokens of its model within the last span (exclusive of exactly the span), itself included."""
-    w = Window.partitionBy("model").orderBy("us").rangeBetween(-(span_us - 1), 0)
-    return calls.where("cache = 'miss'").select("id", "model", F.count("*").over(w).alias("calls"), F.sum("tokens").over(w).alias("tokens"))
+    """Per call: calls and tokens of its model within the last span (exclusive of exactly the span), itself included.
+
+    Calls of one microsecond are one row. Time is cut into cells of the span; a cell holds its own rows and those of the
+    cell before, so what a task sweeps is two spans of a model, however long the ledger.
+    """
+    good = calls.where("cache = 'miss'")
+    moments = good.groupBy("model", "us").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).withColumn("own", F.floor(F.col("us") / span_us))
+    dealt = moments.select("model", "us", "n", "t", "own", F.explode(F.array("own", F.col("own") + 1)).alias("cell"))
+    w = Window.partitionBy("model", "cell").orderBy("us").rangeBetween(-(span_us - 1), 0)
+    sums = dealt.select("model", "us", "own", "cell", F.sum("n").over(w).alias("calls"), F.sum("t").over(w).alias("tokens")).where("own = cell").select("model", "us", "calls", "tokens")
+    return good.select("id", "model", "us").join(sums, ["model", "us"]).select("id", "model", "calls", "tokens")
