@@ -28,6 +28,11 @@ def merge_captures(captures: DataFrame) -> DataFrame:
         F.coalesce(valid, first("url")).alias("url"), first("title").alias("title"), first("published").alias("feed_at"), F.max("modified").alias("modified"),
         F.min("fetched").alias("first_seen"), F.max("fetched").alias("last_seen"), F.array_join(F.array_sort(F.collect_set("channel")), "+").alias("channels"), F.count("*").alias("captures"),
     )
+    return with_identity(merged)
+
+
+def with_identity(merged: DataFrame) -> DataFrame:
+    """merged: canon, url, title, feed_at, modified, first_seen, last_seen, channels, captures -> items with id, moment and its origin."""
     origin = F.when(F.col("feed_at").isNotNull(), "feed").when(F.col("modified").isNotNull(), "lastmod")
     return merged.select(content_id("N-", F.col("canon")).alias("id"), "canon", "url", "title", F.coalesce("feed_at", "modified").alias("moment"), origin.alias("origin"), "modified", "first_seen", "last_seen", "channels", "captures")
 

@@ -151,13 +151,16 @@ PRINTS = f"select 'now' as corpus, count(*) as n, {_PRINT} as hash from document
 
 
 def live_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Captures that arrive as a stream, merged by address, items out of the window gone."""
-    source, parts = shared_dir(spark), shared_dir(spark)
-    V.captures(spark, sf).select("url", "fetched", "seq", "channel", "title", "published", "modified").repartition(4).write.parquet(source)
+    """Captures in four deliveries, each merged into the state that the run before it left; items out of the window gone."""
+    source, parts, checkpoint, keep_s = shared_dir(spark), shared_dir(spark), shared_dir(spark), 5 * 86400
+    arriving = V.captures(spark, sf).select("url", "fetched", "seq", "channel", "title", "published", "modified")
+    cuts = arriving.agg(F.percentile_approx("fetched", [0.25, 0.5, 0.75], 1000)).first()[0] or []
+    delivery = sum((F.coalesce(F.col("fetched") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
     schema = "url string, fetched long, seq int, channel string, title string, published long, modified long"
-    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    _ended(jobs.merged_captures(arriving, parts, shared_dir(spark)))
-    return jobs.merged(spark.read.schema(schema).parquet(f"{parts}/*"), 5 * 86400).select("id", "title", "moment", "origin", "first_seen", "last_seen", "channels", "captures")
+    for k in range(len(cuts) + 1):
+        arriving.where(delivery == k).write.mode("append").parquet(source)
+        _ended(jobs.merged_captures(spark.readStream.schema(schema).parquet(source), parts, checkpoint, keep_s, 86400))
+    return jobs.merged(spark, parts, keep_s).select("id", "title", "moment", "origin", "first_seen", "last_seen", "channels", "captures")
 
 
 LIVE_MERGE = V.with_(V.CAPTURES, MERGED_CTE) + "select id, title, moment, origin, first_seen, last_seen, channels, captures from items where last_seen >= (select max(last_seen) from items) - 432000"

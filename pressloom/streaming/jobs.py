@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pressloom.functions.text import near_identical
-from pressloom.operators.merge import merge_captures
+from pressloom.operators.merge import with_identity
 from pressloom.operators.reviews import MOVES
 
 
@@ -43,20 +45,102 @@ def near_duplicates(arriving: DataFrame, out: str, checkpoint: str, threshold: f
     return pairs.select("id", "earlier").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def merged_captures(captures: DataFrame, parts: str, checkpoint: str) -> StreamingQuery:
-    """Incremental merge: each batch writes its own rows under its number, so a batch that runs again replaces itself; read with merged()."""
+def _in_rocks(spark: SparkSession, start):
+    """Starts a query whose state lives in RocksDB, which timers and states by name need; the session's own choice is put back."""
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, rocks)
+    try:
+        return start()
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
+#: What is kept of an address: each field with the capture (fetched, seq, url) that said it first.
+ITEM = "url_f long, url_s int, url_u string, valid_f long, valid_s int, valid_u string, title_f long, title_s int, title_u string, title string, date_f long, date_s int, date_u string, published long, modified long, first_seen long, last_seen long, channels string, captures long"
+_FIRSTS = (("url", 3), ("valid", 3), ("title", 4), ("date", 4))
+MERGED = "canon string, url string, title string, feed_at long, modified long, first_seen long, last_seen long, channels string, captures long, gone boolean"
+
+
+class MergedItem(StatefulProcessor):
+    """One address over all batches: captures fold into a state of fixed size, a timer lets go of it keep_s after the last."""
+
+    def __init__(self, keep_s: int):
+        self.keep_s = keep_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.item = handle, handle.getValueState("item", ITEM)
+
+    @staticmethod
+    def _said(row: Row) -> dict[str, tuple | None]:
+        """What a capture says: each field behind the capture's place in time."""
+        at = (row["fetched"], row["seq"], row["url"])
+        return {"url": at, "valid": at if row["valid"] else None, "title": None if row["title"] is None else (*at, row["title"]), "date": None if row["published"] is None else (*at, row["published"])}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        kept = dict(zip(_NAMES, self.item.get(), strict=True)) if self.item.exists() else dict.fromkeys(_NAMES)
+        firsts, at = {}, 0
+        for name, width in _FIRSTS:
+            part = tuple(kept[n] for n in _NAMES[at : at + width])
+            firsts[name], at = part if part[0] is not None else None, at + width
+        was, channels = kept["last_seen"], set(filter(None, (kept["channels"] or "").split("+")))
+        for row in rows:
+            for name, said in self._said(row).items():
+                if said is not None and (firsts[name] is None or said < firsts[name]):
+                    firsts[name] = said
+            for name, pick, value in (("modified", max, row["modified"]), ("first_seen", min, row["fetched"]), ("last_seen", max, row["fetched"])):
+                kept[name] = value if kept[name] is None else kept[name] if value is None else pick(kept[name], value)
+            channels |= {row["channel"]} - {None}
+            kept["captures"] = (kept["captures"] or 0) + 1
+        kept["channels"] = "+".join(sorted(channels))
+        self.item.update(tuple(x for name, width in _FIRSTS for x in firsts[name] or (None,) * width) + tuple(kept[n] for n in _NAMES[14:]))
+        if was != kept["last_seen"]:
+            if was is not None:
+                self.handle.deleteTimer((was + self.keep_s) * 1000)
+            self.handle.registerTimer((kept["last_seen"] + self.keep_s) * 1000)
+        url = (firsts["valid"] or firsts["url"])[2]
+        yield Row(canon=key[0], url=url, title=(firsts["title"] or (None,))[-1], feed_at=(firsts["date"] or (None,))[-1], **{n: kept[n] for n in _NAMES[14:]}, gone=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.item.exists():
+            last = dict(zip(_NAMES, self.item.get(), strict=True))["last_seen"]
+            self.item.clear()
+            yield Row(canon=key[0], url=None, title=None, feed_at=None, modified=None, first_seen=None, last_seen=last, channels=None, captures=None, gone=True)
+
+    def close(self) -> None:
+        pass
+
+
+_NAMES = [x.split()[0] for x in ITEM.split(", ")]
+
+
+def merged_captures(captures: DataFrame, parts: str, checkpoint: str, keep_s: int, late_s: int) -> StreamingQuery:
+    """captures: url, fetched, seq, channel, title, published, modified: the incremental merge of what arrives, in update mode.
+
+    Every capture is read once. Each address has a state of fixed size; an item that a batch changes is written whole
+    under the batch's number, so a batch that runs again replaces itself. Captures over late_s behind the newest of
+    earlier batches are dropped; an address is let go once its last capture is keep_s + late_s behind, and comes back as
+    a new one. Read with merged().
+    """
+    from pressloom.functions.urls import canonical_url, valid_http_url
+
+    keyed = captures.select(canonical_url(F.col("url")).alias("canon"), "url", F.coalesce(valid_http_url(F.col("url")), F.lit(False)).alias("valid"), "fetched", "seq", "channel", "title", "published", "modified", F.timestamp_seconds("fetched").alias("at"))
+    items = keyed.withWatermark("at", f"{late_s} seconds").groupBy("canon").transformWithState(MergedItem(keep_s), MERGED, "Update", "EventTime")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{parts}/batch={number}")
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{parts}/number={number}")
 
-    return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _in_rocks(captures.sparkSession, lambda: items.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def merged(captures: DataFrame, keep_s: int) -> DataFrame:
-    """Items of all batches whose last capture is within keep_s of the newest."""
-    items = merge_captures(captures)
-    newest = items.agg(F.max("last_seen").alias("newest"))
-    return items.crossJoin(F.broadcast(newest)).where(F.col("last_seen") >= F.col("newest") - keep_s).drop("newest")  # one row
+def merged(spark: SparkSession, parts: str, keep_s: int) -> DataFrame:
+    """Items whose last capture is within keep_s of the newest, as merge_captures gives them: of each address what its last batch wrote."""
+    written = spark.read.schema(f"{MERGED}, batch long").parquet(f"{parts}/*")
+    columns = [c for c in written.columns if c not in ("canon", "batch")]
+    latest = written.groupBy("canon").agg(F.max(F.struct("batch", ~F.col("gone"), *columns)).alias("i")).select("canon", *(F.col("i")[c].alias(c) for c in columns)).where(~F.col("gone"))
+    newest = written.agg(F.max("last_seen").alias("newest"))
+    recent = latest.crossJoin(F.broadcast(newest)).where(F.col("last_seen") >= F.col("newest") - keep_s)  # one row
+    return with_identity(recent)
 
 
 def live_reviews(decisions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
