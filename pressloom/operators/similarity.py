@@ -13,19 +13,20 @@ from pressloom.functions.text import near_identical
 WINDOW_S, BLOCK = 72 * 3600, 2000
 
 
-def window_pairs(items: DataFrame, least: float, below: float | None = None, window_s: int = WINDOW_S, block: int = BLOCK) -> DataFrame:
-    """items: id, v, moment -> a < b, cosine of pairs at most window_s apart with least <= cosine (< below).
+def window_tiles(items: DataFrame, window_s: int, block: int, within: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """items: id, v, moment and more -> rows with side (0, 1), and the columns that name a tile: each pair of items at most
+    window_s apart (and alike in the columns within) meets in one tile, on both sides of it or once.
 
-    Time is cut into buckets as long as the window, so a pair lies in one bucket or in two that follow each other: the
-    left side stands in its bucket, the right side in its own and the one before. Buckets of more than block items are
-    split into square tiles; a task holds two blocks of vectors and multiplies them once.
+    Time is cut into buckets as long as the window, so a pair lies in one bucket (shift 0) or in two that follow each
+    other (shift 1): the left side stands in its bucket, the right side in its own and the one before. Buckets of more
+    than block items are split into square tiles.
     """
-    bucket = F.floor(F.col("moment") / window_s).cast("long")
-    placed = items.select("id", "v", "moment", bucket.alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    around = sizes.select("bucket", "parts").join(sizes.select((F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("after")), "bucket", "left")
-    around = around.join(sizes.select((F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("before")), "bucket", "left")
-    rows = placed.join(around, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    own = list(within)
+    placed = items.withColumn("bucket", F.floor(F.col("moment") / window_s).cast("long"))
+    sizes = placed.groupBy(*own, "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    around = sizes.join(sizes.select(*own, (F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("after")), [*own, "bucket"], "left")
+    around = around.join(sizes.select(*own, (F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("before")), [*own, "bucket"], "left")
+    rows = placed.join(around, [*own, "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def tiles(shift: int, side: int, parts: str):
         """Tiles that a row joins: as left side in its own bucket, as right side there (shift 0) or in the one before (shift 1)."""
@@ -34,15 +35,26 @@ def window_pairs(items: DataFrame, least: float, below: float | None = None, win
         return F.transform(others, lambda o: F.struct(at.alias("bucket"), F.lit(shift).alias("shift"), (o if side else F.col("part")).alias("r"), (F.col("part") if side else o).alias("c"), F.lit(side).alias("side")))
 
     stands = F.concat(tiles(0, 0, "parts"), tiles(1, 0, "after"), tiles(0, 1, "parts"), tiles(1, 1, "before"))
-    keys = ["bucket", "shift", "r", "c"]
+    return rows.select(*items.columns, F.explode(stands).alias("s")).select(*items.columns, "s.*"), [*own, "bucket", "shift", "r", "c"]
+
+
+def cosines(x: pd.DataFrame, y: pd.DataFrame, digits: int) -> np.ndarray:
+    """Cosine of every row of x with every row of y, rounded."""
+    m, n = (np.stack(p["v"].to_numpy()).astype(float) for p in (x, y))
+    m, n = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (m, n))
+    return np.round(m @ n.T, digits)
+
+
+def window_pairs(items: DataFrame, least: float, below: float | None = None, window_s: int = WINDOW_S, block: int = BLOCK) -> DataFrame:
+    """items: id, v, moment -> a < b, cosine of pairs at most window_s apart with least <= cosine (< below). A task holds
+    two blocks of vectors and multiplies them once."""
+    rows, keys = window_tiles(items.select("id", "v", "moment"), window_s, block)
 
     def multiply(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
         x, y = both[both["side"] == 0], both[both["side"] == 1]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        m, n = (np.stack(p["v"].to_numpy()).astype(float) for p in (x, y))
-        m, n = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (m, n))
-        dots = np.round(m @ n.T, 6)
+        dots = cosines(x, y, 6)
         ok = (dots >= least) & (np.abs(x["moment"].to_numpy()[:, None] - y["moment"].to_numpy()[None]) <= window_s)
         if below is not None:
             ok &= dots < below
@@ -54,7 +66,7 @@ def window_pairs(items: DataFrame, least: float, below: float | None = None, win
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": dots[at]})
 
     kind = items.schema["id"].dataType.simpleString()
-    return rows.select("id", "v", "moment", F.explode(stands).alias("s")).select("id", "v", "moment", "s.*").groupBy(*keys).applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
+    return rows.groupBy(*keys).applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
