@@ -1,43 +1,42 @@
 """Secret scan: three fixed patterns, and a battery of randomness tests over every long token.
 
 Pattern spans always stay. Beyond them, every run of 20 or more characters of [A-Za-z0-9+/_=-] is a candidate. Its
-encoding is inferred from its characters (decimal digits, hexadecimal, base 32, base 36, base 64); three tests of
-uniform randomness over that alphabet are taken: chi-squared of symbol counts, runs above and below the middle of
-the alphabet, and serial correlation of neighbours. Fisher's sum of the log p-values is the token's score: high for
-words, low for keys.
-
-Words do pass by chance, the more often the shorter they are. The rate is measured: the letters of every document
-outside its candidates, joined without their spaces and cut into pieces, go through the same battery as decoys. A hash
-of the text says which length class its pieces have and which alphabet they are written in (their own, or letters
-mapped to decimal digits, hexadecimal or base 32), so that every document gives decoys to one class and one encoding.
-For each encoding and length class the cut is the highest score at which the class's decoys that pass, scaled to the
-number of its candidates, are at most FDR of the candidates that pass, and never above NOMINAL, the score that a random
-token exceeds once in a thousand: twenty zeros or a counter are no secret whatever the decoys. The counts are a table
-of a fixed number of bins, summed over all data.
+encoding is inferred from its characters (decimal digits, hexadecimal, base 32, base 36, base 64); four tests of
+uniform randomness over that alphabet are taken: chi-squared of symbol counts, chi-squared of kinds of characters
+(letters that are frequent in text, other letters, capitals, digits), which tells words from keys where single symbols
+are too few to count, runs above and below the middle of the alphabet, and serial correlation at lags up to LAGS.
+Fisher's sum of the log p-values is the token's score: high for words, low for keys.
+
+A score passes up to a cut of the token's encoding and length class. Cuts come from laws, not from the corpus, so a token
+gets the same answer whatever stands beside it: scores of random tokens say how many keys a cut finds, scores of
+structured ones (words, identifiers, paths, dates, counters, periods, text in hexadecimal) how many others it lets
+through. The cut is the highest one, up to the KEPT quantile of random tokens, at which false discoveries stay within FDR
+if there are ODDS structured tokens of the worst kind to each random one. A class in which no such cut finds half of the
+random tokens reports nothing, nor do the shorter ones of its encoding: short tokens cannot be told from words.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.common import keyed, staged
+from pressloom.llm.common import keyed
 
-FDR, BINS, MIN_TOKEN = 0.01, 64, 20
-#: Upper one in a thousand of the chi-squared law with six degrees, that of Fisher's sum of three tests.
-NOMINAL = 22.46
+FDR, ODDS, KEPT, MIN_TOKEN, LAGS = 0.01, 2, 0.97, 20, 8
+#: Simulated tokens of a kind in each class.
+DRAWS = 4000
 #: Fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
-PROSE = re.compile(r"[^A-Za-z0-9]+")
-#: Length classes: the least length of each.
+#: Length classes: the least length of each; the last is simulated up to twice that.
 LENGTHS = (20, 24, 32, 40, 64, 96)
 ENCODINGS = ("digits", "hex", "base32", "base36", "base64")
 _ALPHABETS = ("0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
@@ -56,14 +55,15 @@ def _codes() -> np.ndarray:
     return out
 
 
-def _written(alphabet: str) -> bytes:
-    """Table that writes letters of either case and digits in an alphabet."""
-    return bytes(ord(alphabet[(c - 97) % len(alphabet)]) if 97 <= c <= 122 else ord(alphabet[(c - 65) % len(alphabet)]) if 65 <= c <= 90 else ord(alphabet[(c - 48) % len(alphabet)]) if 48 <= c <= 57 else c for c in range(256))
-
-
-#: Alphabets that decoys are written in; none: as they are.
-WRITTEN = (None, *(_written(a) for a in _ALPHABETS[:3]))
 CODES, SIZES = _codes(), np.array([len(a) for a in _ALPHABETS])
+#: Letters that make up two thirds of running text.
+COMMON = "etaoinshr"
+#: Symbols of each alphabet in four kinds: frequent letters, other letters, capitals where case counts, digits and signs.
+KINDS_OF = np.array([[0, 0, 0, 10], [2, 4, 0, 10], [9, 17, 0, 6], [9, 17, 0, 10], [9, 17, 26, 12]], float)
+IS_COMMON = np.isin(np.arange(256), np.frombuffer((COMMON + COMMON.upper()).encode(), np.uint8))
+#: How often letters occur in running text, in percent (a to z), and signs that join words in names and paths.
+LETTER_SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1)
+JOINTS = "/-_"
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
 
 
 def battery(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Encoding and score of each token (padding '=' left out). Score: Fisher's -2 sum of log p over three tests."""
+    """Encoding and score of each token (padding '=' left out). Score: Fisher's -2 sum of log p over four tests."""
     bare = [t.rstrip(b"=") or t for t in tokens]
     lens = np.array([len(t) for t in bare])
     data = np.frombuffer(b"".join(bare), np.uint8)
@@ -85,18 +85,27 @@ def battery(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for e in range(len(ENCODINGS) - 2, -1, -1):
         fits = np.minimum.reduceat(CODES[e][data], starts) >= 0
         encoding[fits] = e
-    upper = np.add.reduceat((data >= 65) & (data <= 90), starts)
-    lower = np.add.reduceat((data >= 97) & (data <= 122), starts)
+    upper = np.add.reduceat(((data >= 65) & (data <= 90)).astype(np.int64), starts)
+    lower = np.add.reduceat(((data >= 97) & (data <= 122)).astype(np.int64), starts)
     encoding[(upper > 0) & (lower > 0) & (encoding < 4)] = 4  # mixed case is no base 16 or 36
     code = CODES[encoding[owner], data].astype(np.int64)
     code[code < 0] = 0
     k, n = SIZES[encoding].astype(float), lens.astype(float)
     # chi-squared: sum of squared counts, with the normal approximation of Wilson and Hilferty
-    cells, counts = np.unique(owner * 64 + code, return_counts=True)
-    squares = np.bincount(cells // 64, counts.astype(float) ** 2, len(bare))
+    counts = np.bincount(owner * 64 + code, minlength=64 * len(bare)).reshape(-1, 64).astype(float)
+    squares = (counts**2).sum(1)
     chi = squares * k / n - n
     df = k - 1
     p_chi = _normal_tail(((np.maximum(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df)))
+    # the same over kinds of characters
+    capitals = np.where(encoding == 4, upper, 0)
+    letter = upper + lower - capitals
+    frequent = np.bincount(owner, IS_COMMON[data] & ~((encoding == 4)[owner] & (data < 97)), len(bare))
+    kinds = np.stack([frequent, letter - frequent, capitals, n - letter - capitals], 1)
+    wanted = KINDS_OF[encoding] / k[:, None] * n[:, None]
+    off = np.where(wanted > 0, (kinds - wanted) ** 2 / np.maximum(wanted, 1e-9), 0).sum(1)
+    free = np.maximum((wanted > 0).sum(1) - 1, 1)
+    p_kinds = np.where(encoding == 0, 1, _normal_tail(((off / free) ** (1 / 3) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free))))
     same = owner[1:] == owner[:-1]
     high = code >= (SIZES[encoding] // 2)[owner]
     ups = np.bincount(owner, high, len(bare))
@@ -106,9 +115,13 @@ def battery(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     p_runs = np.where((ups == 0) | (ups == n), 2.0**-n * 2, 2 * _normal_tail(np.abs(runs - expect) / spread))
     centred = code - np.bincount(owner, code, len(bare))[owner] / n[owner]
     var = np.bincount(owner, centred**2, len(bare))
-    lag = np.bincount(owner[1:], np.where(same, centred[1:] * centred[:-1], 0), len(bare)) / np.maximum(var, 1e-9)
-    p_lag = np.where(var < 1e-9, 1e-12, 2 * _normal_tail(np.abs(lag + 1 / n) * np.sqrt(n)))
-    score = -2 * sum(np.log(np.clip(p, 1e-12, 1)) for p in (p_chi, p_runs, p_lag))
+    strongest = np.zeros(len(bare))
+    for lag in range(1, LAGS + 1):
+        together = owner[lag:] == owner[:-lag]
+        tie = np.bincount(owner[lag:], np.where(together, centred[lag:] * centred[:-lag], 0), len(bare)) / np.maximum(var, 1e-9)
+        strongest = np.maximum(strongest, np.abs(tie + lag / n / LAGS) * np.sqrt(n))
+    p_lag = np.where(var < 1e-9, 1e-12, np.minimum(1, 2 * LAGS * _normal_tail(strongest)))
+    score = -2 * sum(np.log(np.clip(p, 1e-12, 1)) for p in (p_chi, p_kinds, p_runs, p_lag))
     return encoding, score
 
 
@@ -124,98 +137,105 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _scan(batches):
-    """Per text: counts, base spans and scored candidates, and the text's decoys as counts of bins."""
-    candidate = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("enc", pa.int32()), ("len", pa.int32()), ("bin", pa.int32())])
-    decoy = pa.struct([("enc", pa.int32()), ("len", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+def _pool(rng: np.random.Generator, n: int) -> list[str]:
+    """Words of letters as frequent as in text."""
+    shares = np.array(LETTER_SHARES) / sum(LETTER_SHARES)
+    sizes = rng.integers(2, 11, n)
+    text, ends = "".join(map(chr, (97 + rng.choice(26, int(sizes.sum()), p=shares)).tolist())), np.cumsum(sizes)
+    return [text[b - s : b] for s, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def _structured(enc: int, kind: int, words: list[str], number: int, size: int) -> str:
+    """One token that is no key, of an encoding, in its kind's way, as long as asked."""
+    said = str(number)
+    if enc == 0:
+        long = (said.zfill(size), "".join(f"{2024 - k % 3}{k % 12 + 1:02}{k * 7 % 28 + 1:02}" for k in range(number % 50, number % 50 + size // 8 + 1)), "".join(str(number + k) for k in range(size)), said * size)[kind]
+    elif enc == 1:
+        long = (f"{number:x}".zfill(size), " ".join(words).encode().hex(), "".join(f"{number + k:x}" for k in range(size)), f"{number:x}f" * size)[kind]
+    elif enc == 2:
+        long = ("".join(words), "".join(w + "234567"[number % 6] * (k % 3 == number % 3) for k, w in enumerate(words)), "".join(w + "23" * (k % 4 == number % 4) for k, w in enumerate(words)), (words[0] + words[1]) * size)[kind].upper()
+    elif enc == 3:
+        long = ("".join(words), "".join(w + said[:2] * (k % 3 == number % 3) for k, w in enumerate(words)), said + "".join(words), (words[0] + said) * size)[kind]
+    else:
+        camel = [w.capitalize() for w in words]
+        long = ("".join(camel), "".join(w + JOINTS[len(w) % 3] for w in words), "".join(w + said[: len(w) % 3] for w in camel), "".join(w + JOINTS[len(w) % 3] + said[: len(w) % 2] for w in camel))[kind]
+    return long[:size] if not long.startswith("0") else long[-size:]
+
+
+@lru_cache
+def cuts(fdr: float = FDR, odds: float = ODDS, kept: float = KEPT) -> tuple[tuple[float, ...], ...]:
+    """Highest score that passes, by encoding and length class; -1 where nothing does."""
+    rng, out = np.random.default_rng(7), []
+    pool = _pool(rng, 20_000)
+    for enc, alphabet in enumerate(_ALPHABETS):
+        row, symbols = [], np.frombuffer(alphabet.encode(), np.uint8)
+        for n, least in enumerate(LENGTHS):
+            sizes = rng.integers(least, LENGTHS[n + 1] if n + 1 < len(LENGTHS) else 2 * least, DRAWS)
+            drawn, ends = rng.choice(symbols, int(sizes.sum())).tobytes(), np.cumsum(sizes)
+            found, score = battery([drawn[b - s : b] for s, b in zip(sizes.tolist(), ends.tolist(), strict=True)])
+            random = np.sort(score[found == enc])
+            false = []
+            for kind in range(4):
+                starts, numbers = rng.integers(0, len(pool) - 200, DRAWS // 2).tolist(), rng.integers(1, 10**6, DRAWS // 2).tolist()
+                found, score = battery([_structured(enc, kind, pool[a : a + s // 2 + 2], x, s).encode() for a, x, s in zip(starts, numbers, sizes.tolist(), strict=False)])
+                false.append(np.sort(score[found == enc]))
+            # scores tried from the highest down; one structured token more than seen is assumed to pass
+            tried = np.quantile(random, np.arange(kept, 0.49, -0.01))
+            finds = np.searchsorted(random, tried, "right") / len(random)
+            passes = np.max([(np.searchsorted(f, tried, "right") + 1) / (DRAWS // 2 + 1) for f in false], axis=0)
+            good = np.flatnonzero(odds * passes <= fdr * (odds * passes + finds))
+            row.append(float(tried[good[0]]) if len(good) else -1.0)
+        blind = max((n for n, cut in enumerate(row) if cut < 0), default=-1)
+        out.append((-1.0,) * (blind + 1) + tuple(row[blind + 1 :]))
+    return tuple(out)
+
+
+_SPAN = pa.list_(pa.struct([("s", pa.int32()), ("kind", pa.int32()), ("e", pa.int32())]))
+
+
+def _scan(batches, limits: tuple[tuple[float, ...], ...]):
+    """Per text: base spans, and those of the tokens that pass as random."""
+    limit = np.array(limits)
     for batch in batches:
-        bases, owners, spans, tokens, decoys = [], [], [], [], []
-        table = np.zeros((len(ENCODINGS), len(LENGTHS), BINS), np.int64)
-        size = 0
-        for i, (data, text_id) in enumerate(zip(batch.column("text").to_pylist(), batch.column("text_id").to_pylist(), strict=True)):
+        bases, added, owners, spans, tokens = [], [], [], [], []
+        for i, data in enumerate(batch.column("text").to_pylist()):
             text = data.decode()
             bases.append(base_spans(text))
+            added.append([])
             for m in TOKEN.finditer(text):
                 owners.append(i)
                 spans.append(m.span())
                 tokens.append(m.group().encode())
-            prose, n, alphabet = PROSE.sub("", TOKEN.sub("", text)).encode(), LENGTHS[text_id % len(LENGTHS)], WRITTEN[text_id // len(LENGTHS) % len(WRITTEN)]
-            if alphabet:
-                prose = prose.translate(alphabet)
-            decoys += [prose[a : a + n] for a in range(0, len(prose) - n + 1, n)]
-            size += len(prose)
-            if size > 2_000_000:
-                _count(decoys, table)
-                decoys, size = [], 0
-        _count(decoys, table)
-        found = [[] for _ in bases]
         if tokens:
             encoding, score = battery(tokens)
-            lens = _class_of(np.array([len(t) for t in tokens]))
-            for i, (s, e), enc, n, b in zip(owners, spans, encoding.tolist(), lens.tolist(), _bin(score).tolist(), strict=True):
-                found[i].append({"s": s, "e": e, "enc": enc, "len": n, "bin": b})
-        some = [{"enc": int(a), "len": int(b), "bin": int(c), "n": int(table[a, b, c])} for a, b, c in zip(*np.nonzero(table), strict=True)]
-        per_row = [some] + [[]] * (len(bases) - 1) if bases else []
+            passing = score <= limit[encoding, _class_of(np.array([len(t) for t in tokens]))]
+            for k in np.flatnonzero(passing).tolist():
+                start, end = spans[k]
+                if not any(s < end and start < e for s, _, e in bases[owners[k]]):
+                    added[owners[k]].append({"s": start, "kind": 3, "e": end})
         base = [[{"s": s, "kind": k, "e": e} for s, k, e in x] for x in bases]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(base, pa.list_(pa.struct([("s", pa.int32()), ("kind", pa.int32()), ("e", pa.int32())]))), pa.array(found, pa.list_(candidate)), pa.array(per_row, pa.list_(decoy))],
-            ["doc_id", "base", "found", "decoys"],
-        )
-
-
-def _bin(score: np.ndarray) -> np.ndarray:
-    return np.minimum(score / 2, BINS - 1).astype(np.int64)
-
-
-def _count(decoys: list[bytes], table: np.ndarray) -> None:
-    if decoys:
-        encoding, score = battery(decoys)
-        np.add.at(table, (encoding, _class_of(np.array([len(t) for t in decoys])), _bin(score)), 1)
-
-
-def cuts(found: dict[tuple[int, int, int], int], decoys: dict[tuple[int, int, int], int], fdr: float) -> dict[tuple[int, int], int]:
-    """Highest bin that passes for each (encoding, length class).
-
-    The rate of passing decoys is taken from the class itself or from it and all shorter ones of its encoding, which pass
-    more often by chance, whichever is less; either way one decoy more than seen is assumed to pass.
-    """
-    out, last = {}, int(NOMINAL / 2)
-    for enc in range(len(ENCODINGS)):
-        for n in range(len(LENGTHS)):
-            real = np.cumsum([found.get((enc, n, b), 0) for b in range(BINS)])
-            rates = []
-            for classes in ({n}, set(range(n + 1))):
-                fake = np.cumsum([sum(decoys.get((enc, m, b), 0) for m in classes) for b in range(BINS)])
-                rates.append((fake + 1) / (1 + fake[-1]))
-            ok = np.flatnonzero((real > 0) & (np.minimum(*rates) * real[-1] <= fdr * real))
-            if len(ok):
-                out[enc, n] = min(last, int(ok.max()))
-    return out
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, _SPAN), pa.array(added, _SPAN)], ["doc_id", "base", "added"])
 
 
-def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+def scan(docs: DataFrame, fdr: float = FDR, odds: float = ODDS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base (spans), added (spans of random tokens), spans by start then kind.
 
     docs: doc_id, text; other columns are not read. Null text is empty and has no spans. Repeated rows are scanned
-    each. Positions are code points, ends exclusive. A random token that touches a base span is part of it and adds none.
+    each; texts of any length are read whole; an empty table gives no rows. Positions are code points, ends exclusive. A
+    random token that touches a base span is part of it and adds none. odds: structured tokens to a random one that the
+    false discovery rate allows for; classes of encoding and length in which half the keys cannot be told at that rate
+    report no random token.
     """
-    read = keyed(docs)
+    read, limits = keyed(docs), cuts(fdr, odds)
     doc_id = read.schema["doc_id"].dataType.simpleString()
     span = "array<struct<s:int,kind:int,e:int>>"
-    seen = staged(read.mapInArrow(_scan, f"doc_id {doc_id}, base {span}, found array<struct<s:int,e:int,enc:int,len:int,bin:int>>, decoys array<struct<enc:int,len:int,bin:int,n:bigint>>"))
-    real = seen.select(F.inline("found")).groupBy("enc", "len", "bin").count()
-    fake = seen.select(F.inline("decoys")).groupBy("enc", "len", "bin").agg(F.sum("n").alias("count"))
-    # two tables of at most encodings x lengths x bins rows
-    passing = cuts(*({(r["enc"], r["len"], r["bin"]): r["count"] for r in t.collect()} for t in (real, fake)), fdr)
-    high = F.create_map(*[F.lit(x) for (e, n), b in passing.items() for x in (e * 100 + n, b)]) if passing else F.create_map().cast("map<int,int>")
-    random = F.filter("found", lambda c: (c["bin"] <= F.coalesce(F.element_at(high, c["enc"] * 100 + c["len"]), F.lit(-1))) & ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    added = F.transform(random, lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("kind"), c["e"].alias("e")))
+    seen = read.mapInArrow(lambda it: _scan(it, limits), f"doc_id {doc_id}, base {span}, added {span}")
 
     def count(kind: int):
         return F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long")
 
     counted = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return seen.select("doc_id", *counted, "base", added.alias("added")).withColumn("spans", F.array_sort(F.concat("base", "added")))
+    return seen.select("doc_id", *counted, "base", "added", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
 def joined(spans: str) -> F.Column:
