@@ -2,8 +2,9 @@
 
 The edit bound is one word replaced, inserted or left out (lines here have 58 words on average: single characters
 would give several hundred variants a line, and a changed character changes one word). In lines of under near_words
-words the bound is none: there one word is a seventh of the line or more (titles, dated headings), and such lines are
-compared for equality alone. Lines of under min_chars characters are never dropped.
+words the bound is none: there one word is over a fifth of the line (titles, numbered headings), a similarity under the
+0.8 that near duplicates take, and such lines are compared for equality alone. Lines of under min_chars characters are
+never dropped.
 
 The variants within the bound are the line with each one of its words left out:
 - the same place left out of two lines of equal length leaves the same rest: they differ in that word alone;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pressloom.llm.common import few_of, staged
 
 #: Defaults of the parameters, see above.
-MIN_CHARS, NEAR_WORDS = 20, 8
+MIN_CHARS, NEAR_WORDS = 20, 5
 MAX_SHARED = 1 << 19
 #: Which bit of its slot a key marks.
 BIT = "cast((key >> 40) & 63 as int)"
