@@ -304,7 +304,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, max_cells: int = 1 << 30)
         hot[row["block"] >> 32].append((row["block"] & 0xFFFFFFFF) * BLOCK + np.frombuffer(row["hot"], np.uint16).astype(np.int64))
     shared = spark.sparkContext.broadcast((sketch, [np.sort(np.concatenate([np.zeros(0, np.int64), *x])) for x in hot]))
     names = f"anchor bigint, doc_id {doc_id}, text_id bigint, start bigint, offset int, whole binary, n int"
-    suspects = read.mapInArrow(lambda it: _suspects(it, window, bits, *shared.value), names)
+    # written before they are dealt: which rows stand for others depends on the batch that they came in, and a task that
+    # is done again may get its texts in another order
+    suspects = staged(read.mapInArrow(lambda it: _suspects(it, window, bits, *shared.value), names), "zstd")
     runs = suspects.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, f"doc_id {doc_id}, text_id bigint, start bigint, n int")
     runs = runs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     both = read.join(runs, same_row(read, runs), "left").select(read["doc_id"], read["text_id"], "text", "runs")

@@ -46,7 +46,8 @@ class TokenTotals:
     twice; deleting or revising takes back every entry that earlier batches left for its doc_id; a revise of a doc_id
     that they left nothing for is an insert; a null doc_id has no entries to take back. The rows of one batch do not
     see each other: a document that a batch both inserts and deletes loses its earlier entries and keeps the new one,
-    and every insert and revise row of a batch adds an entry. Rows with another op, or none, do nothing.
+    and every insert and revise row of a batch adds an entry. Rows with another op, or none, do nothing. One batch is
+    committed at a time: two writers at once do not see each other's entries.
     """
 
     def __init__(self, spark: SparkSession, folder: str, tokenizers: dict[str, str] | None = None):
@@ -70,8 +71,9 @@ class TokenTotals:
         ledger = self._read("entries")
         if ledger is not None:
             gone = changes.where("op in ('delete', 'revise')").select("doc_id").distinct()
-            current = ledger.groupBy("doc_id", *GROUP, "n_tokens").agg(F.sum("sign").cast("int").alias("sign"))
-            taken = current.where("sign > 0").join(gone, "doc_id", "left_semi").withColumn("sign", -F.col("sign"))
+            # only entries of the batch's own documents are added up, however long the history is
+            current = ledger.join(gone.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", *GROUP, "n_tokens").agg(F.sum("sign").cast("int").alias("sign"))
+            taken = current.where("sign > 0").withColumn("sign", -F.col("sign"))
             added = added.unionByName(taken)
         entries = f"{self.folder}/entries/{batch}"
         added.write.mode("overwrite").parquet(entries)
