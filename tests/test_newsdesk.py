@@ -26,7 +26,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize("word, stem", [("elecciones", "eleccion"), ("canales", "canal"), ("barcos", "barco"), ("crisis", "crisis"), ("aguas", "agua"), ("paises", "pais"), ("heroes", "heroe"), ("tres", "tre"), ("mes", "mes"), ("hoteles", "hotel")])
 def test_stems(spark, word, stem):
-    assert one(spark, T.stem(F.lit(word))) == stem == (K._stem(word) or stem)
+    assert one(spark, T.stem(F.lit(word))) == stem
 
 
 def test_folding_and_entities_of_any_kind(spark):
@@ -96,15 +96,6 @@ def test_every_own_row_counts_towards_what_is_known(spark):
     assert got == {1: ("dato_nuevo", 60), 2: ("no_comprobada", 60), 3: ("sin_coincidencia", 0)}
 
 
-def test_near_pairs_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
-    a, b = rng.normal(size=(30, 3)), rng.normal(size=(40, 3))
-    frame = lambda m, n: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], f"{n} long, v array<double>")
-    cos = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-    got = {(r["id"], r["other"]) for r in S.near_pairs(frame(a, "id"), frame(b, "other"), 0.7, block=7).collect()}
-    assert got == set(map(tuple, np.argwhere(np.round(cos, 6) >= 0.7).tolist()))
-
-
 def test_alike_sets_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [f"t{k}" for k in rng.choice(12, rng.integers(0, 9))]) for i in range(120)]
@@ -125,9 +116,23 @@ def test_passages_come_back_with_their_brackets(spark):
     assert {r["claim"]: r["found"] for r in X.repaired(cites, ev).collect()} == {1: "si x < y y z", 2: None}
 
 
-def test_metrics_of_a_sentence():
-    said = K._metrics_of("El 12 de mayo la inflación anual de alimentos subió 2,3 % y hubo 1.500 muertos en 2020 a las 10:30; otros 32 mil millones dólares.")
-    assert said == [("% alimento", "2.3"), ("% subio", "2.3"), ("unidad muerto", "1500"), ("unidad dolar", "32")]
+def test_metrics_of_a_sentence(spark):
+    text = "El 12 de mayo la inflación anual de alimentos subió 2,3 % y hubo 1.500 muertos en 2020 a las 10:30; otros 32 mil millones dólares."
+    said = {(r["key"], r["value"]) for r in K.metrics(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")).collect()}
+    assert said == {("% alimento", "2.3"), ("% subio", "2.3"), ("unidad muerto", "1500"), ("unidad dolar", "32")}
+
+
+def test_numbers_that_are_no_figures(spark):
+    for text in ("el modelo A-15 llegó", "a las 10:30 horas", "entre 2019/2020 años", "el 3 de junio llegó", "en 1999 casas", "la versión 1.2.3 nueva", "covid19 casos", "15km recorridos"):
+        assert K.metrics(spark.createDataFrame([(1, text)], "id int, text string")).count() == 0, text
+    far = "subieron 40 " + "de la " * 60 + "toneladas"
+    assert [(r["key"], r["value"]) for r in K.metrics(spark.createDataFrame([(1, far)], "id int, text string")).collect()] == [("unidad tonelada", "40")]
+
+
+def test_dates_go_with_their_verbs(spark):
+    text = "El puente se abrirá el 3 de Mayo de 2024 y cerrará. El 4 de junio llegaron todos; el 5 de julio nada. Partir el 6 de agosto"
+    got = [(r["pos"], r["key"], r["day"], r["month"], r["year"]) for r in K.dates(spark.createDataFrame([(1, text)], "id int, text string")).orderBy("pos").collect()]
+    assert got == [(0, "abrir", 3, "mayo", "2024"), (1, "llega", 4, "junio", None)]
 
 
 def test_claim_support_counts_a_statement_once(spark):
