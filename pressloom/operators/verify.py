@@ -8,14 +8,15 @@ from __future__ import annotations
 import bisect
 import difflib
 import re
+import unicodedata
 from functools import reduce
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions.text import fold
-from pressloom.operators.figures import figure_table, figures_of, plain
+from pressloom.operators.figures import figure_table, figures_in, shown
 from pressloom.sources.readers import content_hash
 
 NUMBER = r"[+-]?[0-9]+(?:[.,][0-9]+)*"
@@ -62,32 +63,54 @@ def repaired(citations: DataFrame, evidence: DataFrame, least: float = 0.9) -> D
     return marked.where(F.col("found").isNotNull() | hopeless).unionByName(rest.mapInPandas(closest, rest.schema)).drop("text", "_bare")
 
 
-#: Characters of a part of the passage that a window must hold, and its distance from where the passage has it, as a share of the passage.
-ANCHOR, SLACK = 3, 0.2
+#: Length of the pieces that a window and the passage are counted by, and by how much their lengths may differ, as a share.
+GRAM, SLACK = 3, 0.2
 
 
-def _closest(passage: str, text: str, least: float) -> str | None:
-    """The window of words within a fifth of the passage's length that is most alike, if alike enough.
+def _grams(text: str) -> np.ndarray:
+    """The pieces of GRAM characters that begin at each place, as numbers."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    out = np.zeros(max(0, len(codes) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        out = out * np.uint64(1 << 21) + codes[k : k + len(out)]
+    return out
+
+
+def _promising(passage: str, text: str, least: float) -> np.ndarray:
+    """Places where a window alike to the passage may begin.
 
-    Only windows near a shared part are compared: if a window is alike, one of the parts that the passage falls into
-    (one more than the edits it may differ by) stands in it unchanged.
+    A ratio of least means that least of both lengths' mean is matched, in blocks; between two blocks stands something
+    unmatched, so blocks are few, and each costs GRAM - 1 pieces at most: windows hold a least number of the passage's
+    pieces. That is counted for all places at once.
     """
+    n, size = len(passage), int((1 + SLACK) * len(passage)) + 1
+    both = (2 - SLACK) * n
+    need = both * (least / 2 - (GRAM - 1) * (1 - least)) - (GRAM - 1)
+    if need <= 0 or len(text) < GRAM:
+        return np.arange(len(text))
+    sums = np.concatenate(([0], np.cumsum(np.isin(_grams(text), np.unique(_grams(passage))))))
+    starts = np.arange(len(text))
+    ends = np.minimum(starts + size - GRAM + 1, len(sums) - 1)
+    return starts[sums[np.maximum(ends, np.minimum(starts, len(sums) - 1))] - sums[np.minimum(starts, len(sums) - 1)] >= need]
+
+
+def plain(text: str) -> str:
+    """Case-folded text without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c))
+
+
+def _closest(passage: str, text: str, least: float) -> str | None:
+    """The window of words within a fifth of the passage's length that is most alike, if alike enough. Only windows with enough of the passage's pieces are compared."""
     p, t = plain(passage), plain(text)
     if len(t) != len(text):  # folding that changes lengths: compare as written
         p, t = passage.casefold(), text if len(text.casefold()) != len(text) else text.casefold()
-    n, slack = len(p), int(len(p) * SLACK) + 1
-    size = max(ANCHOR, n // (int(2 * n * (1 - least)) + 1))
-    starts = set()
-    for k in range(0, n - size + 1, size):
-        at = t.find(p[k : k + size])
-        while at >= 0:
-            starts.update(range(max(0, at - k - slack), min(len(t), at - k + slack + 1)))
-            at = t.find(p[k : k + size], at + 1)
+    n = len(p)
+    starts = _promising(p, t, least).tolist()
     best = (least, None)
     m = difflib.SequenceMatcher(None, autojunk=False)
     m.set_seq2(p)
-    ends = [i for i in range(1, len(t) + 1) if i == len(t) or t[i] == " "]
-    for i in sorted(s for s in starts if s == 0 or t[s - 1] == " "):
+    ends = [*(x.start() for x in re.finditer("(?<=.) ", t, re.DOTALL)), *[len(t)][: len(t)]]
+    for i in (s for s in starts if s == 0 or t[s - 1] == " "):
         for j in ends[bisect.bisect_left(ends, i + int(0.8 * n)) :]:
             if j - i > 1.2 * n + 1:
                 break
@@ -113,11 +136,6 @@ def unsupported_figures(claims: DataFrame, citations: DataFrame, evidence: DataF
     return said.join(passages.union(fields).distinct(), ["claim", "figure"], "left_anti")
 
 
-def shown(figure: Column) -> Column:
-    """A figure without zeros at its end."""
-    return F.regexp_replace(F.regexp_replace(figure.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-
-
 def official_period_errors(claims: DataFrame, citations: DataFrame, evidence: DataFrame, official: tuple[str, ...] = ("indicador", "serie_inec"), period: str = "periodo") -> DataFrame:
     """claim, reason: claims that cite an official record without naming its period or year, or as if it were today's."""
     rows = citations.join(evidence.where(F.col("kind").isin(*official)).select("evidence", F.trim(F.coalesce(F.try_element_at("fields", F.lit(period)), F.lit(""))).alias("period")), "evidence").join(claims.select("claim", "text"), "claim")
@@ -152,39 +170,27 @@ def supported_versions(versions: DataFrame, evidence: DataFrame, require_scope:
     """versions: version, evidence, value, scope -> version, supported, fields (array): the fewest fields of the record, those
     with most of the figures first (ties: the shorter text, then the name), whose figures cover those of value and scope. A value without a
     figure must stand in a field as written; require_scope: so must value and scope both."""
-    joined = versions.join(evidence.select("evidence", "fields"), "evidence", "left").select("version", "value", "scope", F.map_entries("fields").alias("fields"))
-
-    def cover(batches):
-        for pdf in batches:
-            out = [_covering(v, s or "", None if f is None else {x["key"]: x["value"] for x in f}, require_scope) for v, s, f in zip(pdf["value"], pdf["scope"], pdf["fields"], strict=True)]
-            yield pd.DataFrame({"version": pdf["version"], "supported": [x is not None for x in out], "fields": [x or [] for x in out]})
-
-    return joined.mapInPandas(cover, f"version {versions.schema['version'].dataType.simpleString()}, supported boolean, fields array<string>")
-
-
-def _covering(value: str, scope: str, fields: dict[str, str] | None, require_scope: bool) -> list[str] | None:
-    if fields is None:
-        return None
-    figures = {name: {v for _, v in figures_of(text)} for name, text in fields.items()}
-    asked, chosen = {v for _, v in figures_of(value)}, []
-    needed = asked | {v for _, v in figures_of(scope)}
-
-    def holding(words: str) -> str | None:
-        pattern = re.compile(r"(?<!\w)" + re.escape(plain(words)) + r"(?!\w)")
-        return min((n for n, t in fields.items() if pattern.search(plain(t))), key=lambda n: (len(fields[n]), n), default=None)
-
-    for words in ([value, scope] if require_scope else []) + ([] if asked else [value]):
-        name = holding(words)
-        if name is None:
-            return None
-        chosen.append(name)
-        needed -= figures[name]
-    wanted = set(needed)
-    for name in sorted(fields, key=lambda n: (-len(figures[n] & wanted), len(fields[n]), n)):
-        if figures[name] & needed:
-            chosen.append(name)
-            needed -= figures[name]
-    return None if needed else list(dict.fromkeys(chosen))
+    named = F.transform(F.map_entries("fields"), lambda f: F.struct(F.length(f["value"]).alias("size"), f["key"].alias("name"), fold(f["value"]).alias("text"), F.array_distinct(figures_in(f["value"])).alias("figures")))
+    joined = versions.join(evidence.select("evidence", "fields"), "evidence", "left").select("version", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("scope", F.lit("")).alias("scope"), F.array_sort(named).alias("f"))
+    asked = joined.withColumns({"asked": F.array_distinct(figures_in(F.col("value"))), "limits": figures_in(F.col("scope"))})
+
+    def holder(words: str, wanted: Column) -> Column:
+        """The shortest field that has the words as written, where they are wanted; fields come by length, then name."""
+        pattern = F.concat(F.lit(r"(?<!\w)\Q"), F.replace(fold(F.col(words)), F.lit("\\E"), F.lit("")), F.lit(r"\E(?!\w)"))
+        return F.when(wanted, F.get(F.filter("f", lambda x: F.regexp_like(x["text"], pattern)), F.lit(0)))
+
+    literal = F.lit(require_scope) | (F.size("asked") == 0)
+    held = asked.withColumns({"by_value": holder("value", literal), "by_scope": holder("scope", F.lit(require_scope))})
+    lost = (literal & F.col("by_value").isNull()) | (F.lit(require_scope) & F.col("by_scope").isNull()) | F.col("f").isNull()
+    chosen = F.filter(F.array("by_value", "by_scope"), lambda x: x.isNotNull())
+    first = held.select("version", "f", lost.alias("lost"), F.transform(chosen, lambda x: x["name"]).alias("names"), F.array_except(F.array_union("asked", "limits"), F.flatten(F.transform(chosen, lambda x: x["figures"]))).alias("needed"))
+    # the field that says most of what is needed comes first, and each next one is taken if it says something that is still open
+    by_use = F.array_sort(F.transform("f", lambda x: F.struct((-F.size(F.array_intersect(x["figures"], "needed"))).alias("use"), x["size"].alias("size"), x["name"].alias("name"), x["figures"].alias("figures"))))
+    start = F.struct("names", F.col("needed").alias("open"))
+    cover = F.aggregate(by_use, start, lambda s, x: F.when(F.arrays_overlap(x["figures"], s["open"]), F.struct(F.array_append(s["names"], x["name"]).alias("names"), F.array_except(s["open"], x["figures"]).alias("open"))).otherwise(s))
+    done = first.select("version", "lost", F.when(~F.col("lost"), cover).alias("c"))
+    ok = ~F.col("lost") & F.coalesce(F.size("c.open") == 0, F.lit(False))
+    return done.select("version", ok.alias("supported"), F.when(ok, F.array_distinct("c.names")).otherwise(F.array().cast("array<string>")).alias("fields"))
 
 
 def claim_report(claims: DataFrame, issues: list[DataFrame]) -> DataFrame:
