@@ -69,27 +69,6 @@ def window_pairs(items: DataFrame, least: float, below: float | None = None, win
     return rows.groupBy(*keys).applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """left: id, v; right: other, v -> id, other, cosine of every pair at or over least. Both sides are dealt into blocks by
-    hash; a task multiplies one block of each, so a row is sent once for every block of the other side."""
-    nl, nr = (max(1, -(-d.count() // block)) for d in (left, right))
-    one = left.select("id", F.lit(None).cast(right.schema["other"].dataType).alias("other"), "v", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("c"), F.lit(0).alias("side"))
-    two = right.select(F.lit(None).cast(left.schema["id"].dataType).alias("id"), "other", "v", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("r"), F.pmod(F.xxhash64("other"), F.lit(nr)).cast("int").alias("c"), F.lit(1).alias("side"))
-    kinds = {n: d.schema[n].dataType.simpleString() for d, n in ((left, "id"), (right, "other"))}
-
-    def multiply(both: pd.DataFrame) -> pd.DataFrame:
-        x, y = both[both["side"] == 0], both[both["side"] == 1]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "other": [], "cosine": []})
-        m, n = (np.stack(p["v"].to_numpy()).astype(float) for p in (x, y))
-        m, n = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (m, n))
-        dots = np.round(m @ n.T, 6)
-        at = np.nonzero(dots >= least)
-        return pd.DataFrame({"id": x["id"].to_numpy()[at[0]], "other": y["other"].to_numpy()[at[1]], "cosine": dots[at]})
-
-    return one.unionByName(two).groupBy("r", "c").applyInPandas(multiply, f"id {kinds['id']}, other {kinds['other']}, cosine double")
-
-
 def with_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """pairs a, b, cosine and verdicts a, b, same (nullable) -> distance: 0 or 1 by verdict, else 1 - cosine; forbidden."""
     joined = pairs.join(verdicts, ["a", "b"], "left")
@@ -131,7 +110,7 @@ def containment(short: DataFrame, long: DataFrame, pattern: str = "[a-z0-9]+") -
     """short: id, text; long: doc, text -> id, doc where the folded short text stands in the long one (empty: never).
 
     A text of three tokens or more is looked up by its longest inner token, which must be a whole token of the long
-    text; shorter ones are looked up by scanning, and are expected to be few.
+    text; shorter ones are looked up by their first characters.
     """
     words = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     tokened = short.where(F.length("text") > 0).withColumn("words", words)
@@ -143,22 +122,19 @@ def containment(short: DataFrame, long: DataFrame, pattern: str = "[a-z0-9]+") -
     candidates = held.join(keyed.select("token", "id", "needle"), "token").select("doc", "id", "needle")
     found = candidates.join(long.hint("merge"), "doc").where(F.contains("text", "needle")).select("id", "doc")
     few = tokened.where(F.size("words") < 3).select("id", F.col("text").alias("needle"))
-    return found.union(_scanned(few, long))
+    return found.union(_by_grams(few, long))
 
 
-#: Texts of under three tokens that are looked for at once in each text.
-SCANNED = 10_000
+#: Characters of the piece that a text of under three tokens is looked up by.
+GRAM = 4
 
 
-def _scanned(few: DataFrame, long: DataFrame) -> DataFrame:
-    """Short texts by looking for each in every text: they go out in one array, so their number is checked."""
-    needles = few.limit(SCANNED + 1).collect()
-    if len(needles) > SCANNED:
-        raise ValueError(f"more than {SCANNED} texts of under three tokens")
-    kind = few.schema["id"].dataType.simpleString()
-    if not needles:
-        return long.select(F.lit(None).cast(kind).alias("id"), "doc").where("false")
-    asked = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["needle"]).alias("needle")) for r in needles]) if len(needles) <= 50 else None
-    if asked is not None:
-        return long.select("doc", F.inline(F.filter(asked, lambda n: F.contains("text", n["needle"])))).select(F.col("id").cast(kind).alias("id"), "doc")
-    return long.join(F.broadcast(few), F.contains("text", "needle")).select("id", "doc")  # at most SCANNED rows
+def _by_grams(few: DataFrame, long: DataFrame) -> DataFrame:
+    """Short texts by their first GRAM characters (all, if fewer), which the long text must have somewhere."""
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    keyed = few.select("id", "needle", F.substring("needle", F.lit(1), size).alias("gram"))
+    sizes = sorted(r[0] for r in few.select(size.alias("n")).distinct().collect())  # GRAM values at most
+    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    held = long.select("doc", F.explode(grams).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
+    candidates = held.join(keyed, "gram").select("doc", "id", "needle")
+    return candidates.join(long.hint("merge"), "doc").where(F.contains("text", "needle")).select("id", "doc").distinct()
