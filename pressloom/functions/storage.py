@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
+def staged(df: DataFrame, compression: str = "snappy", path: str | None = None) -> DataFrame:
+    """df, written once to the shared folder (or to a path in it) and read back: cuts lineage and survives lost executors."""
+    path = path or shared_dir(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, name: str, build: Callable[[str], None]) -> dict[str, DataFrame]:
+    """Tables that are built once and kept in the shared folder under a name that says what they were built from.
+
+    build(folder) writes each table to a folder of its own there. That is done beside the name, and moved there whole.
+    clear_staged() leaves what is kept.
+    """
+    beside = shared_dir(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(f"{beside.rsplit('/', 1)[0]}/{name}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        build(beside)
+        if not files.rename(hadoop.Path(beside), place):
+            raise OSError(f"cannot move {beside} to {place}")
+    return {part.getPath().getName(): spark.read.parquet(part.getPath().toString()) for part in files.listStatus(place)}
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Removes the folders that this session has written so far; call it when their results have been saved. Number of folders."""
     paths, hadoop = list(_MADE), spark._jvm.org.apache.hadoop.fs
