@@ -89,18 +89,25 @@ def judgement_problems(items: DataFrame, judgements: DataFrame, snapshot: str) -
     })
 
 
+def unmet(items: DataFrame, done: DataFrame, name: str) -> DataFrame:
+    """method and item of every item that a method left out: what each item lacks of the list of methods, which is one row."""
+    methods = done.agg(F.collect_set("method").alias("methods"))
+    had = done.groupBy(F.col(name).alias("_item")).agg(F.collect_set("method").alias("had"))
+    both = items.distinct().join(had, F.col(name) == F.col("_item"), "left").crossJoin(F.broadcast(methods))
+    return both.select(name, F.explode(F.array_except("methods", F.coalesce("had", F.array().cast("array<string>")))).alias("method"))
+
+
 def comparability_problems(queries: DataFrame, rankings: DataFrame, docs: DataFrame, pairs: DataFrame, predictions: DataFrame, most: int = 5) -> DataFrame:
     """queries: query; rankings: method, query, doc; docs: doc; pairs: pair; predictions: method, pair -> rule, id (method or
     method/id): methods that do not rank the same queries or predict the same pairs, rank too many, unknown or repeated documents."""
     name = F.concat_ws("/", "method", F.col("query").cast("string"))
-    methods = rankings.select("method").distinct()
-    asked = methods.join(F.broadcast(queries.select("query").distinct()))  # a row a method and query
-    told = predictions.select("method").distinct().join(pairs.select("pair").distinct())
+    unranked = unmet(queries.select("query"), rankings, "query")
+    unpredicted = unmet(pairs.select("pair"), predictions, "pair")
     return problems({
-        "query not ranked": (asked.join(rankings, ["method", "query"], "left_anti").select(name.alias("id")), "id"), "query that nobody asked": (rankings.join(queries, "query", "left_anti").select(name.alias("id")).distinct(), "id"),
+        "query not ranked": (unranked.select(name.alias("id")), "id"), "query that nobody asked": (rankings.join(queries, "query", "left_anti").select(name.alias("id")).distinct(), "id"),
         "too many documents": (rankings.groupBy("method", "query").count().where(F.col("count") > most).select(name.alias("id")), "id"), "document twice": (rankings.groupBy("method", "query", "doc").count().where("count > 1").select(name.alias("id")).distinct(), "id"),
         "unknown document": (rankings.join(docs, "doc", "left_anti").select(name.alias("id")).distinct(), "id"),
-        "pair not predicted": (told.join(predictions, ["method", "pair"], "left_anti").select(F.concat_ws("/", "method", F.col("pair").cast("string")).alias("id")), "id"), "unknown pair": (predictions.join(pairs, "pair", "left_anti").select(F.concat_ws("/", "method", F.col("pair").cast("string")).alias("id")), "id"),
+        "pair not predicted": (unpredicted.select(F.concat_ws("/", "method", F.col("pair").cast("string")).alias("id")), "id"), "unknown pair": (predictions.join(pairs, "pair", "left_anti").select(F.concat_ws("/", "method", F.col("pair").cast("string")).alias("id")), "id"),
     })
 
 

@@ -67,6 +67,14 @@ def spent(calls: DataFrame, since_us: int) -> DataFrame:
     return calls.where((F.col("cache") == "miss") & (F.col("us") >= since_us)).groupBy("model").agg(F.sum(unit).alias("units"))
 
 
+def feed_coverage(records: DataFrame) -> DataFrame:
+    """records: url, status, complete, error (nullable) -> measure, value, n: attempts, distinct queries that were ever complete, errors by status."""
+    whole = records.agg(F.count("*").alias("attempts"), F.countDistinct(F.when(F.col("complete"), F.col("url"))).alias("complete"))
+    both = whole.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit("all").alias("value"), F.col(m).alias("n")) for m in ("attempts", "complete")])).alias("x")).select("x.*")
+    errors = records.where(F.coalesce(F.col("error"), F.lit("")) != "").groupBy(F.coalesce(F.col("status").cast("string"), F.lit("none")).alias("value")).agg(F.count("*").alias("n"))
+    return both.unionByName(errors.select(F.lit("errors").alias("measure"), "value", "n"))
+
+
 def peaks(calls: DataFrame) -> DataFrame:
     """Most calls and most tokens of any calendar minute, misses only, by model."""
     minutes = calls.where("cache = 'miss'").groupBy("model", F.floor(F.col("us") / 60_000_000).alias("minute")).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))

@@ -82,6 +82,17 @@ select g.k as "group", topic, coalesce(items, 0) as items, coalesce(outlets, 0)
   case when g.case_id is null then '{W.NO_CASE}' else coalesce(s.state, 'nuevo') end as file_state from g left join m using (k) left join im using (k) left join states s on s.case_id = g.case_id left join supplier on s_suppkey = g.k"""
 
 
+def case_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups that take a case file, and those to fall back on; customers are groups, scored by balance."""
+    g = _groups(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("group"), F.col("c_acctbal").alias("score")), "group")
+    return W.case_groups(g, 40, [F.desc("score"), F.asc("group")])
+
+
+CASE_GROUPS = f"""with g as (select c_custkey as k, c_acctbal as score, c_nationkey % 4 = 0 as covered, {_pick_sql(EVIDENCE_STATES, 'c_nationkey')} as st from customer),
+s as (select k, row_number() over (order by score desc, k) as place from g where not covered and st <> '{W.TOO_LITTLE}')
+select 'slot' as role, k as "group", place from s where place <= 40 union all select 'fallback', k, row_number() over (order by score desc, k) from g where st = '{W.TOO_LITTLE}'"""
+
+
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     """What a run made: groups by range and topic, with several items, with context."""
     items = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("group")).agg(F.count("*").alias("items"))
@@ -236,15 +247,16 @@ def context_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Links of groups with the labels of the official records as they are now."""
     from pressloom.plans.sourcing import _official
 
-    links = table(spark, sf, "events").where("event_id % 3 = 0").select(F.pmod("event_id", F.lit(60)).alias("group"), F.concat(F.lit("USGS-"), F.col("event_id").cast("string")).alias("evidence"))
+    links = table(spark, sf, "events").select(F.pmod("event_id", F.lit(60)).alias("group"), F.concat(F.lit("USGS-"), F.col("event_id").cast("string")).alias("evidence"))
     more = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("group"), F.concat(F.lit("WB-"), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("-SUP.BAL-2024")).alias("evidence"))
     return X.relabelled(links.union(more), _official(spark, sf)).groupBy("group", "label").agg(F.count("*").alias("n"), F.min("evidence").alias("first"))
 
 
-LABELS = V.with_(QUAKES) + """, l as (select event_id % 60 as g, 'USGS-' || event_id as e, null as lab from events where event_id % 3 = 0 union all select n_nationkey, 'WB-' || replace(n_name, ' ', '_') || '-SUP.BAL-2024', 'Saldo de proveedores' from nation)
+LABELS = V.with_(QUAKES) + """, l as (select event_id % 60 as g, 'USGS-' || event_id as e, null as lab from events union all select n_nationkey, 'WB-' || replace(n_name, ' ', '_') || '-SUP.BAL-2024', 'Saldo de proveedores' from nation)
 select g as "group", coalesce(lab, 'Sismo M' || replace(printf('%.1f', magnitude), '.', ',')) as label, count(*) as n, min(e) as first from l left join quakes q on q.evidence = l.e group by 1, 2"""
 
 QUERIES = {
+    "case_groups": (case_groups, CASE_GROUPS),
     "package_problems": (package_problems, PACKAGES), "rescored_groups": (rescored_groups, RESCORED), "context_labels": (context_labels, LABELS),
     "case_records": (case_records, RECORDS), "inbox": (inbox, INBOX), "run_summary": (run_summary, SUMMARY), "guarded_decisions": (guarded_decisions, GUARDED), "record_problems": (record_problems, _problems_sql()), "case_gaps": (case_gaps, GAPS), "text_scopes": (text_scopes, TEXT_SCOPES), "case_articles": (case_articles, ARTICLES),
 }

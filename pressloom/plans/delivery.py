@@ -26,16 +26,16 @@ CURRENT = V.with_(V.REVIEWS) + "select state, count(*) as n, min(seq) as first f
 
 
 def draft_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    """Edited drafts over generated ones, sources once each in order. Orders are cases, their first parts the sources."""
+    """Edited drafts over generated ones, sources once each in order. Orders are cases, their parts the sources."""
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    first = l.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_partkey").distinct()
+    first = l.select(F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_partkey").distinct()
     sources = first.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("sources"))
     cases = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("draft")).join(sources, "case_id", "left")
     edits = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("case_id"), F.lit("edited").alias("edited"), F.array(F.lit(5).cast("long"), F.col("o_custkey")).alias("extra"))
     return X.overlaid(cases, edits).select("case_id", "draft", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
 
 
-OVERLAY = """with s as (select l_orderkey as k, list(l_partkey order by l_linenumber, l_partkey) as p from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_linenumber <= 2) group by 1),
+OVERLAY = """with s as (select l_orderkey as k, list(l_partkey order by l_linenumber, l_partkey) as p from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem) group by 1),
 j as (select o_orderkey as case_id, case when o_orderstatus = 'F' then 'edited' else o_orderpriority end as draft, coalesce(p, []) || case when o_orderstatus = 'F' then [5::bigint, o_custkey] else [] end as a from orders left join s on s.k = o_orderkey),
 u as (select case_id, draft, unnest(a) as x, generate_subscripts(a, 1) as i from j), d as (select case_id, x, min(i) as i from u group by 1, 2)
 select case_id, any_value(draft) as draft, coalesce((select string_agg(x::varchar, ',' order by i) from d where d.case_id = j.case_id), '') as sources from j group by case_id"""
@@ -133,7 +133,7 @@ select method, tp, fp, fn, tn, missing, round(p, 6) as precision, round(q, 6) as
 def zero_shot(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest description vector of each report, and how many links a threshold leaves. The first ten vectors describe the topics."""
     v = V.vectors(spark, sf).select("id", "v")
-    best = R.cosine(v.where("id < 10").withColumnRenamed("id", "doc"), v.where("id >= 10").withColumnRenamed("id", "query"), 1)
+    best = R.nearest(v.where("id < 10").withColumnRenamed("id", "doc"), v.where("id >= 10").withColumnRenamed("id", "query"), 1)
     levels = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.1, 0.2, 0.3)]))
     return best.select(F.col("doc").alias("topic"), "score", levels.alias("least")).where("score >= least").groupBy("topic", "least").agg(F.count("*").alias("n"))
 
@@ -142,6 +142,21 @@ ZERO_SHOT = V.with_(V.VECTORS) + """, b as (select q.id, d.id as topic, round(li
 r as (select *, row_number() over (partition by id order by score desc, topic) as k from b), t as (select unnest([0.0, 0.1, 0.2, 0.3])::double as least) select topic, least, count(*) as n from r join t on score >= least where k = 1 group by 1, 2"""
 
 
+def family_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports that a threshold links to their nearest description, and how many of these have the label that the rules give it."""
+    v = V.vectors(spark, sf)
+    families = v.where("id < 10")
+    best = R.nearest(families.select(F.col("id").alias("doc"), "v"), v.where("id >= 10").select(F.col("id").alias("query"), "v"), 1)
+    told = best.join(families.select(F.col("id").alias("doc"), F.col("label").alias("family")), "doc").join(v.select(F.col("id").alias("query"), "label"), "query")
+    levels = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.1, 0.2, 0.3)]))
+    return told.select("score", (F.col("family") == F.col("label")).alias("agrees"), levels.alias("least")).groupBy("least").agg(F.count_if(F.col("score") >= F.col("least")).alias("linked"), F.count_if((F.col("score") >= F.col("least")) & F.col("agrees")).alias("agreed"))
+
+
+AGREEMENT = V.with_(V.VECTORS) + """, b as (select q.id, q.label = d.label as agrees, d.id as topic, round(list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)), 6) as score from vectors q join vectors d on q.id >= 10 and d.id < 10),
+r as (select *, row_number() over (partition by id order by score desc, topic) as k from b), t as (select unnest([0.0, 0.1, 0.2, 0.3])::double as least)
+select least, count(*) filter (where score >= least) as linked, count(*) filter (where score >= least and agrees) as agreed from r cross join t where k = 1 group by least"""
+
+
 def topic_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of a topic: title terms that two reports of a group or more hold (all terms if there is none), by group."""
     from pressloom.functions.text import tokens
@@ -168,6 +183,7 @@ def linked_cases(spark: SparkSession, sf: str) -> DataFrame:
 LINKED = "select n_nationkey as \"group\", coalesce(case when n_nationkey % 4 = 0 then n_nationkey * 1000 end, (select min(s_suppkey) from supplier where s_nationkey = n_nationkey)) as case_id from nation"
 
 QUERIES = {
+    "family_agreement": (family_agreement, AGREEMENT),
     "current_decisions": (current_decisions, CURRENT), "draft_overlay": (draft_overlay, OVERLAY), "official_refresh": (official_refresh, REFRESH), "questions_of_cases": (questions_of_cases, QUESTIONS), "proven_packages": (proven_packages, PROVEN),
     "human_labels": (human_labels, LABELS), "answer_states": (answer_states, ANSWERS), "pair_evaluation": (pair_evaluation, PAIR_EVAL), "zero_shot": (zero_shot, ZERO_SHOT), "topic_terms": (topic_terms, _terms_sql()), "linked_cases": (linked_cases, LINKED),
 }

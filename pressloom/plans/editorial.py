@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.functions.storage import table
-from pressloom.functions.text import comparable, word_pattern
+from pressloom.functions.text import comparable, fold, word_pattern
 from pressloom.operators import context as C
 from pressloom.operators import reviews as R
 from pressloom.operators import verify as X
@@ -47,14 +47,14 @@ BOUND = V.with_(V.REVIEWS, CASES) + "select c.case_id, c.version, arg_max(state,
 
 
 def review_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three entries of each case's timeline."""
+    """The timeline of each case."""
     changes = _cases(spark, sf).select("case_id", (F.lit(V.START * 1_000_000) + F.col("version") * 86_400_000_000 * 7).alias("us"), "version")
-    return R.timeline(V.reviews(spark, sf), changes).where("place <= 3 or kind = 'change'").select("case_id", "us", "kind", "what", "supersedes", F.col("place").cast("long").alias("place"))
+    return R.timeline(V.reviews(spark, sf), changes).select("case_id", "us", "kind", "what", "supersedes", F.col("place").cast("long").alias("place"))
 
 
 TIMELINE = V.with_(V.REVIEWS, CASES) + f""", a as (select case_id, us, 'decision' as kind, state as what, false as supersedes, seq from reviews union all
 select c.case_id, {V.START * 1_000_000} + c.version * 604800000000, 'change', 'v' || c.version, coalesce((select min(version) from reviews r where r.case_id = c.case_id) < c.version, false), c.version from cases c)
-select case_id, us, kind, what, supersedes, place from (select *, row_number() over (partition by case_id order by us desc, kind, seq) as place from a) where place <= 3 or kind = 'change'"""
+select case_id, us, kind, what, supersedes, place from (select *, row_number() over (partition by case_id order by us desc, kind, seq) as place from a)"""
 
 
 def case_snapshots(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,6 +167,20 @@ def _rules_sql() -> str:
     return V.with_(V.NEWS) + "select * from (" + " union all ".join(parts) + ") where word <> ''"
 
 
+def table_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules read from a table: a region's rule fires on the names of its nations, in even regions only for suppliers in debt."""
+    nations, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    words = nations.groupBy(F.col("n_regionkey").alias("ord")).agg(F.array_sort(F.collect_list(fold(F.col("n_name")))).alias("words"))
+    topics = F.when(F.col("ord") % 2 == 0, F.array(F.lit("debt")))
+    rules = region.select(F.col("r_regionkey").alias("ord"), F.col("r_name").alias("name")).join(words, "ord").select("ord", "name", "words", topics.alias("topics"), F.lit(None).cast("array<struct<kind:string,prefix:string>>").alias("finders"), F.lit(None).cast("string").alias("none"))
+    s = table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    told = s.select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", F.lit("Envíos desde"), "n_name", F.lit("por"), "s_name").alias("text"), F.when(F.col("s_acctbal") < 0, "debt").otherwise("credit").alias("topic"))
+    return C.fired_rules(told, C.read_rules(rules))
+
+
+TABLE_RULES = "select s_suppkey as id, r_name as rule, lower(n_name) as word from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey where r_regionkey % 2 <> 0 or s_acctbal < 0"
+
+
 def question_answers(spark: SparkSession, sf: str) -> DataFrame:
     """The precomputed answer (the first) to each question, found by its comparable form. First lines are the questions."""
     n = V.news(spark, sf).select("id", comparable(F.col("title")).alias("key"))
@@ -177,6 +191,7 @@ ANSWERS = V.with_(V.NEWS) + f""", c as (select id, trim(regexp_replace(regexp_re
 select id, answer from c join (select k, min(id) as answer from c group by k) using (k) where answer <> id"""
 
 QUERIES = {
+    "table_rules": (table_rules, TABLE_RULES),
     "review_states": (review_states, STATES), "review_moves": (review_moves, MOVES), "bound_decisions": (bound_decisions, BOUND), "review_timeline": (review_timeline, TIMELINE), "case_snapshots": (case_snapshots, SNAP),
     "citation_check": (citation_check, CITATIONS), "repaired_citations": (repaired_citations, None), "figure_support": (figure_support, None), "claim_verdicts": (claim_verdicts, None), "references": (references, REFERENCES),
     "vector_check": (vector_check, VECTOR_CHECK), "closest_event": (closest_event, CLOSEST), "context_rules": (context_rules, _rules_sql()), "question_answers": (question_answers, ANSWERS),

@@ -70,7 +70,7 @@ union all select 'geojson', count(*), sum(epoch_us(ts) // 1000)::bigint, min(m),
 
 def feeds(spark: SparkSession, sf: str) -> DataFrame:
     """Captured feeds of each shape, read back."""
-    p = table(spark, sf, "pages").select("page_id", _safe(F.col("url")).alias("url"), _safe(F.substring(F.regexp_extract("html", "<title>(.*?)</title>", 1), 1, 40)).alias("title"), (F.lit(V.START) + F.col("page_id") * 3600).alias("at"))
+    p = table(spark, sf, "pages").select("page_id", _safe(F.col("url")).alias("url"), _safe(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"), (F.lit(V.START) + F.col("page_id") * 3600).alias("at"))
     link = F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("<link>"), "url", F.lit("</link>"))).otherwise("")
     date = F.when(F.col("page_id") % 2 == 0, F.concat(_stamp("at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(F.col("page_id") % 3 == 0, _stamp("at - 18000", "EEE, MM/dd/yyyy - HH:mm")).otherwise("someday")
     rss = R.read_rss(spark, _documents(p.select("page_id", F.concat(F.lit("<item>"), link, F.lit("<title>"), "title", F.lit("</title><pubDate>"), date, F.lit("</pubDate></item>")).alias("item")), "rss", spark))
@@ -102,7 +102,7 @@ def feeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SAFE_SQL = "regexp_replace({}, '[<>&\"''\\s]+', '_', 'g')"
-FEEDS = f"""with p as (select page_id as k, {_SAFE_SQL.format('url')} as url, {_SAFE_SQL.format("substr(regexp_extract(html, '<title>(.*?)</title>', 1), 1, 40)")} as title, {V.START} + page_id * 3600 as sec from pages),
+FEEDS = f"""with p as (select page_id as k, {_SAFE_SQL.format('url')} as url, {_SAFE_SQL.format("regexp_extract(html, '<title>(.*?)</title>', 1)")} as title, {V.START} + page_id * 3600 as sec from pages),
 dates as (select url, min(sec) as d from p where k % 4 = 0 group by url), links as (select url, min(k) as k from p group by url), o as (select distinct year(o_orderdate) as y, month(o_orderdate) as m from orders)
 select 'rss' as reader, count(*) as n, sum(case when k % 2 = 0 or k % 3 = 0 then sec end)::bigint as total, min(title) as least, max(title) as most from p where k % 7 <> 0 union all select 'news sitemap', count(*), sum(sec)::bigint, min(title), max(title) from p
 union all select 'monthly sitemap', count(*), sum(sec + coalesce(d, 0))::bigint, min(case when d is null then '-' else 'page' end), max(case when d is null then '-' else 'page' end) from p left join dates using (url)
@@ -150,6 +150,22 @@ _PRINT = "sum(('0x' || substr(sha256(coalesce(doc_id::varchar, '∅') || '|' ||
 PRINTS = f"select 'now' as corpus, count(*) as n, {_PRINT} as hash from documents union all select 'again', count(*), {_PRINT} from documents union all select 'indexed', count(*), {_PRINT} from documents where doc_id % 50 <> 0"
 
 
+def record_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled records as CSV or as JSON lines, told by the suffix; an id that repeats is an error."""
+    labels, schema = table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id long, quality int, toxic int"
+    out = None
+    for suffix in ("csv", "jsonl"):
+        path = f"{shared_dir(spark)}.{suffix}"
+        R.write_csv(labels, path, labels.columns) if suffix == "csv" else R.write_jsonl(labels, path)
+        read = R.unique_records(R.read_records(spark, path, schema), "doc_id")
+        part = read.groupBy(F.lit(suffix).alias("format"), "quality", "toxic").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+RECORDS = "select f as format, quality, toxic, count(*) as n, sum(doc_id)::bigint as ids from labels cross join (select unnest(['csv', 'jsonl']) as f) group by all"
+
+
 def live_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Captures in four deliveries, each merged into the state that the run before it left; items out of the window gone."""
     source, parts, checkpoint, keep_s = shared_dir(spark), shared_dir(spark), shared_dir(spark), 5 * 86400
@@ -172,8 +188,9 @@ def live_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     tokens = F.array_sort(F.array_distinct(F.regexp_extract_all(fold(F.col("title")), F.lit("[a-z0-9]+"), F.lit(0))))
     V.news(spark, sf).select("id", F.timestamp_seconds("moment").alias("ts"), tokens.alias("tokens")).where(F.size("tokens") > 0).write.parquet(source)
     arriving = spark.readStream.schema("id long, ts timestamp, tokens array<string>").parquet(source)
-    _ended(jobs.near_duplicates(arriving, out, shared_dir(spark)))
-    return spark.read.schema("id long, earlier long").parquet(out).distinct().groupBy("id").agg(F.count("*").alias("n"), F.min("earlier").alias("first"))
+    common = jobs.common_tokens(spark.read.schema(arriving.schema).parquet(source), 200)
+    _ended(jobs.near_duplicates(arriving, out, shared_dir(spark), common=common))
+    return spark.read.schema("id long, earlier long").parquet(out).groupBy("id").agg(F.count("*").alias("n"), F.min("earlier").alias("first"))
 
 
 LIVE_DUPLICATES = V.with_(V.NEWS) + f""", t as (select id, moment, list_distinct(regexp_extract_all({ACC.format('title')}, '[a-z0-9]+')) as s from news),
@@ -205,5 +222,5 @@ TOKEN_SETS = V.with_(V.NEWS) + f""", t as (select id, list_sort(list_distinct(re
 select a.k as set, a.members, a.last, (select count(*) from c b where b.k <> a.k and len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9) as links from c a"""
 
 QUERIES = {
-    "files": (files, FILES), "feeds": (feeds, FEEDS), "manifests": (manifests, _manifest_sql()), "snapshot_files": (snapshot_files, SNAPSHOT), "corpus_fingerprints": (corpus_fingerprints, PRINTS), "live_merge": (live_merge, LIVE_MERGE), "live_duplicates": (live_duplicates, LIVE_DUPLICATES), "live_rates": (live_rates, RATES), "token_sets": (token_sets, TOKEN_SETS),
+    "files": (files, FILES), "record_files": (record_files, RECORDS), "feeds": (feeds, FEEDS), "manifests": (manifests, _manifest_sql()), "snapshot_files": (snapshot_files, SNAPSHOT), "corpus_fingerprints": (corpus_fingerprints, PRINTS), "live_merge": (live_merge, LIVE_MERGE), "live_duplicates": (live_duplicates, LIVE_DUPLICATES), "live_rates": (live_rates, RATES), "token_sets": (token_sets, TOKEN_SETS),
 }

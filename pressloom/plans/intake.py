@@ -36,8 +36,8 @@ KEYWORDS = V.with_(V.NEWS) + f"""select id, term from (select id, nullif(regexp_
 
 
 def stemmed_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Number of index terms of a text and of its distinct ones, with their hash."""
-    n = V.news(spark, sf).withColumn("t", T.tokens(F.col("title")))
+    """Number of index terms of a text, and its distinct ones."""
+    n = V.news(spark, sf).withColumn("t", T.tokens(F.concat_ws("\n", "title", "body")))
     return n.select("id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("terms"))
 
 
@@ -49,7 +49,7 @@ def tokens_sql(c: str) -> str:
     return f"list_transform(list_filter(regexp_extract_all({ACC.format(c)}, '[a-z0-9]+'), lambda w: w not in ({STOP})), lambda w: {STEM_SQL})"
 
 
-STEMMED = V.with_(V.NEWS) + f"select id, len(t) as n, array_to_string(list_sort(list_distinct(t)), ' ') as terms from (select id, {tokens_sql('title')} as t from news)"
+STEMMED = V.with_(V.NEWS) + f"select id, len(t) as n, array_to_string(list_sort(list_distinct(t)), ' ') as terms from (select id, {tokens_sql('(title || chr(10) || body)')} as t from news)"
 
 
 def page_urls(spark: SparkSession, sf: str) -> DataFrame:

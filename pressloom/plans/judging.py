@@ -171,7 +171,7 @@ select count(*) as claims, count(*) filter (where id % 4 <> 0) as covered, (sele
 def pooled_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Two rankings over fully judged pools alone."""
     v = V.vectors(spark, sf).select("id", "v")
-    queries, docs = v.where("id % 20 = 0").withColumnRenamed("id", "query"), v.where("id % 20 <> 0").withColumnRenamed("id", "doc")
+    queries, docs = v.where("id % 20 = 0").withColumnRenamed("id", "query"), v.withColumnRenamed("id", "doc")
     near = R.cosine(docs, queries, 5).select(F.lit("near").alias("method"), "query", "doc", "rank")
     fixed = queries.select(F.lit("fixed").alias("method"), "query", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.col("query") + k)).alias("rank", "doc")).select("method", "query", "doc", (F.col("rank") + 1).alias("rank"))
     rankings = staged(near.unionByName(fixed))
@@ -179,7 +179,7 @@ def pooled_measures(spark: SparkSession, sf: str) -> DataFrame:
     return J.pooled_measures(rankings, grades)
 
 
-POOLED = V.with_(V.VECTORS) + """, cos as (select q.id as query, d.id as doc, round(list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)), 6) as score from vectors q join vectors d on q.id % 20 = 0 and d.id % 20 <> 0),
+POOLED = V.with_(V.VECTORS) + """, cos as (select q.id as query, d.id as doc, round(list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)), 6) as score from vectors q join vectors d on q.id % 20 = 0),
 rk as (select 'near' as method, query, doc, row_number() over (partition by query order by score desc, doc) as rank from cos qualify rank <= 5 union all select 'fixed', id, id + k, k from vectors cross join range(1, 6) t(k) where id % 20 = 0),
 g as (select distinct query, doc, case when query % 60 = 0 and doc % 3 = 0 then null else (query + doc) % 3 end as g from rk), done as (select query, count(*) filter (where g > 0) as relevant, list_sort(list(g), 'desc')[1:5] as best from g group by query having count(*) = count(g)),
 e as (select method, r.query, count(*) filter (where g > 0) as found, sum((pow(2, g) - 1) / log2(rank + 1)) as gain from rk r join done using (query) join g using (query, doc) group by 1, 2),

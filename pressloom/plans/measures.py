@@ -152,7 +152,19 @@ def token_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 TOKENS = V.with_(V.LEDGER) + "select status, cache, count(*) as calls, count(distinct model) as models, sum(case when status = 'ok' then tokens end)::bigint as tokens from ledger group by 1, 2"
 
+def feed_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts of a feed, distinct queries that came back whole, and errors by status; pages are what was fetched."""
+    p = table(spark, sf, "pages")
+    site = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    status = F.when(F.col("page_id") % 7 == 0, 503).when(F.col("page_id") % 11 == 0, 429).otherwise(200)
+    return M.feed_coverage(p.select(site.alias("url"), status.alias("status"), (F.col("page_id") % 3 != 0).alias("complete"), F.when((status != 200) | (F.col("page_id") % 13 == 0), "failed").alias("error")))
+
+
+FEED_COVERAGE = """with r as (select regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as site, case when page_id % 7 = 0 then 503 when page_id % 11 = 0 then 429 else 200 end as status, page_id % 3 <> 0 as complete, page_id % 13 = 0 as failed from pages)
+select 'attempts' as measure, 'all' as value, count(*) as n from r union all select 'complete', 'all', count(distinct site) from r where complete union all select 'errors', status::varchar, count(*) from r where status <> 200 or failed group by status"""
+
 QUERIES = {
+    "feed_coverage": (feed_coverage, FEED_COVERAGE),
     "confusion": (confusion, CONFUSION), "failures": (failures, FAILURES), "failing_rows": (failing_rows, FAILING), "keyword_report": (keyword_report, KEYWORD_REPORT), "centroid_topics": (centroid_topics, CENTROID), "fold_sizes": (fold_sizes, FOLDS),
     "topic_model": (topic_model, None), "call_usage": (call_usage, USAGE), "call_budget": (call_budget, BUDGET), "call_peaks": (call_peaks, PEAKS), "call_windows": (call_windows, WINDOWS), "latency_ranks": (latency_ranks, LATENCY), "token_totals": (token_totals, TOKENS),
 }

@@ -144,6 +144,11 @@ def rss_date(c: Column) -> Column:
     return F.coalesce(*rfc, local)
 
 
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Labelled records: CSV with a header where the path ends in .csv, else JSON lines; a byte order mark and blank lines are no records."""
+    return read_csv(spark, path, schema) if path.rstrip("/").lower().endswith(".csv") else read_jsonl(spark, path, schema)
+
+
 def unique_records(rows: DataFrame, key: str) -> DataFrame:
     """rows; raises if a key repeats."""
     again = rows.groupBy(key).count().where("count > 1").limit(1).collect()

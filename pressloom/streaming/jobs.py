@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -29,19 +29,35 @@ def sliding_rates(calls: DataFrame, out: str, checkpoint: str, late: str = "2 mi
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def near_duplicates(arriving: DataFrame, out: str, checkpoint: str, threshold: float = 0.8, hours: int = 72) -> StreamingQuery:
-    """arriving: id, ts, tokens (sorted, distinct, not empty) -> id, earlier: reports whose token set is alike to one at most hours before.
+#: Frequent tokens that a near-duplicate job knows at most.
+MOST_COMMON = 1000
+
+
+def common_tokens(seen: DataFrame, most: int = MOST_COMMON) -> list[str]:
+    """seen: tokens (distinct in a row) -> the most frequent ones, rarest first; taken anew from what has arrived whenever the job is started again."""
+    counts = seen.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    return [r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(most).collect()][::-1]
+
+
+def near_duplicates(arriving: DataFrame, out: str, checkpoint: str, threshold: float = 0.8, hours: int = 72, common: Sequence[str] = ()) -> StreamingQuery:
+    """arriving: id, ts, tokens (sorted, distinct, not empty) -> id, earlier: reports whose token set is alike to one at most hours before, each pair once.
 
     A join of the stream with itself on the sets' prefix tokens (alike sets share one of the first n - ceil(threshold * n) + 1
-    in any common order) within the interval, so that watermarks let go of what is older. A pair that shares several
-    prefix tokens comes once for each.
+    in any common order) within the interval, so that watermarks let go of what is older. Tokens are ordered with the
+    common ones last, so these are keys only of sets that have few others; the order must not change while a checkpoint
+    is in use. A pair that shares several prefix tokens is kept for the first of them.
     """
-    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.ceil(F.lit(threshold) * F.size("tokens") - F.lit(1e-9)).cast("int") + 1)
-    late = arriving.withWatermark("ts", "1 hour").select("id", "ts", "tokens", F.explode(prefix).alias("token"))
-    old = arriving.withWatermark("ts", "1 hour").select(F.col("id").alias("earlier"), F.col("ts").alias("ts0"), F.col("tokens").alias("tokens0"), F.explode(prefix).alias("token0"))
+    rank = F.array(*[F.lit(t) for t in common]).cast("array<string>")
+    ordered = F.concat(F.filter("tokens", lambda t: ~t.isin(*common)), F.array_intersect(rank, F.col("tokens"))) if common else F.col("tokens")
+    n = F.size("tokens")
+    prefix = F.slice(ordered, F.lit(1), n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int") + 1)
+    rows = arriving.withWatermark("ts", "1 hour").select("id", "ts", "tokens", prefix.alias("prefix"))
+    late = rows.select("id", "ts", "tokens", "prefix", F.explode("prefix").alias("token"))
+    old = rows.select(F.col("id").alias("earlier"), F.col("ts").alias("ts0"), F.col("tokens").alias("tokens0"), F.col("prefix").alias("prefix0"), F.explode("prefix").alias("token0"))
     before = (F.col("ts0") < F.col("ts")) | ((F.col("ts0") == F.col("ts")) & (F.col("earlier") < F.col("id")))
     inside = (F.col("ts") >= F.col("ts0")) & (F.col("ts") <= F.col("ts0") + F.expr(f"interval {hours} hours"))
-    pairs = late.join(old, (F.col("token") == F.col("token0")) & inside & before).where(near_identical(F.col("tokens"), F.col("tokens0"), threshold))
+    first = F.get(F.array_intersect("prefix", "prefix0"), F.lit(0)) == F.col("token")
+    pairs = late.join(old, (F.col("token") == F.col("token0")) & inside & before).where(first & near_identical(F.col("tokens"), F.col("tokens0"), threshold))
     return pairs.select("id", "earlier").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import collections
+import difflib
 import random
+import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pressloom.functions.storage import shared_dir
-from pressloom.operators import conflicts, context, grouping, metrics, topics
+from pressloom.operators import conflicts, context, grouping, lexical, metrics, similarity, topics, verify
+from pressloom.operators import retrieval
 from pressloom.operators.merge import merge_captures
+from pressloom.operators.nearest import Cells
 from pressloom.operators.ranks import places
 from pressloom.streaming import jobs
 
@@ -163,3 +168,181 @@ def test_split_by_time_equals_a_split_by_pairs():
                 parted.setdefault(i, set()).add(j)
                 parted.setdefault(j, set()).add(i)
         assert grouping.split_by_time(t.tolist(), 20, parted) == grouping.split_constrained(np.zeros(30, int), bad).tolist()
+
+
+def spots(rng, n, spread=0.25):
+    """Vectors around eight directions, with copies and one without length."""
+    centres = rng.normal(size=(8, 5))
+    v = centres[rng.integers(8, size=n)] + rng.normal(size=(n, 5)) * spread * (rng.random((n, 1)) < 0.9)
+    v[0] = 0
+    return v
+
+
+def unit_rows(v):
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def vector_table(spark, v, name, at=None):
+    return spark.createDataFrame([(i, [float(x) for x in r], 0 if at is None else int(at[i])) for i, r in enumerate(v)], f"{name} long, v array<double>, at long")
+
+
+@pytest.mark.parametrize("pivots", [1, 6, 40])
+def test_cells_find_every_near_pair_and_every_nearest(spark, pivots, monkeypatch):
+    rng = np.random.default_rng(pivots)
+    x, y = spots(rng, 90), spots(rng, 200)
+    monkeypatch.setattr("pressloom.operators.nearest.BLOCK", 17)
+    monkeypatch.setattr("pressloom.operators.nearest.QUERIES", 13)
+    cos = np.round(unit_rows(x) @ unit_rows(y).T, 6)
+    cells = Cells(vector_table(spark, y, "doc"), pivots, cell=2)
+    queries = vector_table(spark, x, "query")
+    got = {(r["query"], r["doc"]) for r in cells.within(queries, 0.8).collect()}
+    assert got == set(map(tuple, np.argwhere(cos >= 0.8).tolist()))
+    for k in (1, 7):
+        ranked = retrieval.top(cells.nearest(queries, k), k).collect()
+        want = {(i, j, r) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(y)), -cos[i]))[:k].tolist(), 1)}
+        assert {(r["query"], r["doc"], r["rank"]) for r in ranked} == want
+    if pivots > 6:
+        assert cells.skipped(queries, 0.9) > 0.3
+
+
+def test_earlier_similarity(spark):
+    rng = np.random.default_rng(9)
+    v, at = unit_rows(spots(rng, 150)), rng.integers(0, 30, 150)
+    cos = np.round(v @ v.T, 6)
+    before = (at[None] < at[:, None]) | ((at[None] == at[:, None]) & (np.arange(150)[None] < np.arange(150)[:, None]))
+    want = np.where(before.any(1), np.where(before, cos, -2).max(1), 0)
+    groups = vector_table(spark, v, "group", at).withColumnsRenamed({"v": "centroid", "at": "earliest"})
+    for pivots in (1, 30):
+        got = {r["group"]: r["similarity"] for r in grouping.earlier_similarity(groups, pivots, 3).collect()}
+        assert got == {i: pytest.approx(w) for i, w in enumerate(want.tolist())}
+
+
+def test_more_queries_than_go_to_every_task(spark, monkeypatch):
+    """The ranking of distributed queries is that of queries sent to every task."""
+    rng = np.random.default_rng(11)
+    docs, queries = (vector_table(spark, spots(rng, n), name) for n, name in ((120, "doc"), (60, "query")))
+    few = {tuple(r) for r in retrieval.cosine(docs, queries, 5, 0.2).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
+    assert {tuple(r) for r in retrieval.cosine(docs, queries, 5, 0.2).collect()} == few
+
+
+def texts(spark, rows):
+    return spark.createDataFrame(rows, "doc long, text string")
+
+
+def test_index_skips_blocks_and_keeps_the_ranking(spark, monkeypatch):
+    """Blocks that cannot enter are not read, whatever the query; the ranking is that of all postings."""
+    monkeypatch.setattr(lexical, "SHARD", 12)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.choice([3, 20, 200])))) for i in range(300)] + [(900, None), (901, "")]
+    queries = spark.createDataFrame([(q, " ".join(rng.sample(words, 3))) for q in range(12)] + [(50, "nothing held"), (51, None)], "query long, text string")
+    index = lexical.lexical_index(texts(spark, rows))
+    for every in (False, True):
+        got = [tuple(r) for r in retrieval.bm25(index, queries, 4, every).orderBy("query", "rank").collect()]
+        whole = [tuple(r) for r in retrieval.top(plain_bm25(index, queries, every), 4).orderBy("query", "rank").collect()]
+        assert got == whole and got
+    took = lexical.Search(index, queries).candidates(4)[1].agg(F.sum("read"), F.sum("shards")).first()
+    assert 0 < took[0] < 0.9 * took[1]
+
+
+def plain_bm25(index, queries, every):
+    asked, posts = lexical.query_terms(queries), index.postings()
+    held = posts.join(asked, "term").join(index.frequencies, "term").crossJoin(index.size)
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
+    sums = held.groupBy("query", "doc").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("hits"), F.max("n_terms").alias("n_terms"))
+    return sums.where("hits = n_terms" if every else "score > 0").select("query", "doc", "score")
+
+
+def test_an_index_kept_up_equals_one_built_anew(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("casa perro gato barco nube lluvia".split()) for _ in range(rng.randint(1, 9)))
+    now = {i: text() for i in range(40)}
+    index = lexical.lexical_index(texts(spark, list(now.items())))
+    for _ in range(3):
+        changes = [(i, text(), i in now) for i in rng.sample(range(60), 12)] + [(i, None, True) for i in rng.sample(sorted(now), 3)]
+        changes = list({c[0]: c for c in changes}.values())
+        index = lexical.updated(index, spark.createDataFrame(changes, "doc long, text string, known boolean"))
+        for i, t, _ in changes:
+            now.pop(i, None)
+            if t is not None:
+                now[i] = t
+    anew = lexical.lexical_index(texts(spark, list(now.items())))
+    state = lambda x: (sorted(tuple(r) for r in x.postings().drop("segment").collect()), sorted(tuple(r) for r in x.frequencies.collect()), x.size.first())
+    assert state(index) == state(anew) == state(lexical.compacted(index))
+    queries = spark.createDataFrame([(1, "casa barco"), (2, "nube")], "query long, text string")
+    assert [tuple(r) for r in retrieval.bm25(index, queries, 5).orderBy("query", "rank").collect()] == [tuple(r) for r in retrieval.bm25(anew, queries, 5).orderBy("query", "rank").collect()]
+
+
+def test_a_kept_index_is_built_once_for_the_same_texts(spark):
+    rows = texts(spark, [(1, "una casa"), (2, "un barco azul")])
+    lexical.kept_index(rows)
+    first = lexical.kept_index(rows.orderBy("doc")).blocks.inputFiles()
+    assert sorted(first) == sorted(lexical.kept_index(rows).blocks.inputFiles())
+    assert not set(first) & set(lexical.kept_index(texts(spark, [(1, "otra casa")])).blocks.inputFiles())
+
+
+def test_near_duplicate_arrivals_come_once_and_common_words_are_no_keys(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(10**5), sorted({"el", "la", *(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))})) for i in range(80)]
+    source, out = shared_dir(spark), shared_dir(spark)
+    frame = spark.createDataFrame(rows, "id long, at long, tokens array<string>").select("id", F.timestamp_seconds("at").alias("ts"), "tokens")
+    frame.write.parquet(source)
+    common = jobs.common_tokens(frame, 2)
+    assert sorted(common) == ["el", "la"]
+    query = jobs.near_duplicates(spark.readStream.schema("id long, ts timestamp, tokens array<string>").parquet(source), out, shared_dir(spark), 0.7, 10, common)
+    query.awaitTermination(120)
+    want = {(i, j) for i, t, a in rows for j, u, b in rows if i != j and (u, j) < (t, i) and t - u <= 36000 and len(set(a) & set(b)) >= 0.7 * len(set(a) | set(b)) - 1e-9}
+    got = [tuple(r) for r in spark.read.schema("id long, earlier long").parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def plain_closest_window(p, t, least):
+    best = (least, None)
+    starts = [i for i in range(len(t)) if i == 0 or t[i - 1] == " "]
+    ends = [i for i in range(1, len(t) + 1) if i == len(t) or t[i] == " "]
+    for i in starts:
+        for j in ends:
+            if i + int(0.8 * len(p)) <= j <= i + 1.2 * len(p) + 1:
+                r = difflib.SequenceMatcher(None, t[i:j], p, autojunk=False).ratio()
+                if r >= best[0] and (best[1] is None or r > best[0]):
+                    best = (r, t[i:j])
+    return best[1]
+
+
+def test_repairs_equal_a_search_of_all_windows():
+    rng = random.Random(2)
+    words = ["casa", "perro", "gato", "barco", "nube", "lluvia", "sol", "a", "de", "mar"]
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(60))
+        start = rng.randrange(40)
+        passage = list(" ".join(text.split()[start : start + rng.randint(2, 9)]))
+        for _ in range(rng.randint(0, 3)):
+            passage[rng.randrange(len(passage))] = rng.choice("xyz ")
+        passage = "".join(passage)
+        if passage.strip():
+            assert verify._closest(passage, text, 0.9) == plain_closest_window(passage, text, 0.9), (passage, text)
+
+
+def test_repairs_in_a_text_of_a_million_characters():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(180_000))
+    at = text.index(" ", len(text) // 2) + 1
+    passage = text[at : text.index(" ", at + 150)]
+    start = time.process_time()
+    assert verify._closest(passage[:70] + "X" + passage[71:], text, 0.9) == passage
+    assert time.process_time() - start < 3
+
+
+def test_any_number_of_short_texts_is_looked_up(spark):
+    """Texts of under three tokens, signs and accents among them, in texts that hold them anywhere, across lines too."""
+    rng = random.Random(7)
+    signs = "ab é!\n¿日"
+    short = [(i, "".join(rng.choice(signs) for _ in range(rng.randint(0, 7)))) for i in range(300)]
+    short = [(i, t) for i, t in short if len(re.findall("[a-z0-9]+", t)) < 3]
+    long = [(i, "".join(rng.choice(signs) for _ in range(rng.randint(0, 120)))) for i in range(60)]
+    got = [tuple(r) for r in similarity.containment(spark.createDataFrame(short, "id int, text string"), spark.createDataFrame(long, "doc int, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, d) for i, t in short for d, u in long if t and t in u}
+    assert similarity.containment(spark.createDataFrame([], "id int, text string"), spark.createDataFrame(long, "doc int, text string")).count() == 0
