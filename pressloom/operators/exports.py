@@ -112,3 +112,14 @@ def resolved_answers(answers: DataFrame, claims: DataFrame, versions: DataFrame)
     n_versions = distinct_versions(versions).groupBy("answer").agg(F.count("*").alias("versions"))
     both = answers.join(n_claims, "answer", "left").join(n_versions, "answer", "left").na.fill(0, ["claims", "versions"])
     return both.select("answer", F.when(F.col("abstained"), "abstencion").when(F.col("versions") >= 2, "contradiccion").when(F.col("claims") >= 1, "respondida").otherwise("abstencion").alias("state"), "claims", "versions")
+
+
+#: Kinds of claims and what stands before their text; a statement names who made it.
+CLAIM_PREFIXES = {"declaracion": "Declaración atribuida a ", "inferencia": "Inferencia por verificar: ", "hipotesis": "Hipótesis por verificar: "}
+
+
+def rendered_claim(kind: Column, author: Column, text: Column) -> Column:
+    """A claim as it is shown: statements with their author, inferences and hypotheses marked, facts as they are."""
+    prefix = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CLAIM_PREFIXES.items() for x in pair]), kind), F.lit(""))
+    who = F.when(kind == "declaracion", F.concat(F.coalesce(author, F.lit("")), F.lit(": "))).otherwise("")
+    return F.concat(prefix, who, F.coalesce(text, F.lit("")))

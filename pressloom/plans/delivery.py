@@ -76,6 +76,16 @@ def proven_packages(spark: SparkSession, sf: str) -> DataFrame:
 PROVEN = "select o % 3 <> 0 as proven, count(*) as n, min(o) as first from (select distinct l_orderkey as o from lineitem join part on p_partkey = l_partkey) group by 1"
 
 
+def rendered_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims as they are shown, by kind and author. Parts are claims, their makers the authors."""
+    kinds = F.array(*[F.lit(k) for k in ("hecho", *X.CLAIM_PREFIXES)])
+    kind = F.element_at(kinds, (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", X.rendered_claim(kind, F.col("p_brand"), F.col("p_name")).alias("shown"))
+
+
+RENDERED = "select p_partkey, case p_partkey % 4 when 0 then p_name when 1 then 'Declaración atribuida a ' || p_brand || ': ' || p_name when 2 then 'Inferencia por verificar: ' || p_name else 'Hipótesis por verificar: ' || p_name end as shown from part"
+
+
 def human_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels replaced by reviews of the record as it is."""
     l = table(spark, sf, "labels")
@@ -183,6 +193,7 @@ def linked_cases(spark: SparkSession, sf: str) -> DataFrame:
 LINKED = "select n_nationkey as \"group\", coalesce(case when n_nationkey % 4 = 0 then n_nationkey * 1000 end, (select min(s_suppkey) from supplier where s_nationkey = n_nationkey)) as case_id from nation"
 
 QUERIES = {
+    "rendered_claims": (rendered_claims, RENDERED),
     "family_agreement": (family_agreement, AGREEMENT),
     "current_decisions": (current_decisions, CURRENT), "draft_overlay": (draft_overlay, OVERLAY), "official_refresh": (official_refresh, REFRESH), "questions_of_cases": (questions_of_cases, QUESTIONS), "proven_packages": (proven_packages, PROVEN),
     "human_labels": (human_labels, LABELS), "answer_states": (answer_states, ANSWERS), "pair_evaluation": (pair_evaluation, PAIR_EVAL), "zero_shot": (zero_shot, ZERO_SHOT), "topic_terms": (topic_terms, _terms_sql()), "linked_cases": (linked_cases, LINKED),

@@ -35,6 +35,14 @@ def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
 KEYWORDS = V.with_(V.NEWS) + f"""select id, term from (select id, nullif(regexp_extract({ACC.format("(title || chr(10) || body)")}, '{T.word_pattern(TERMS)}', 1), '') as term from news) where term is not null"""
 
 
+def folded_any(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts folded beyond Western letters, by length and hash."""
+    return table(spark, sf, "documents").select("doc_id", T.fold_any(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("hash"))
+
+
+FOLDED_ANY = "select doc_id, length(t) as n, md5(t) as hash from (select doc_id, strip_accents(lower(replace(text, 'ß', 'ss'))) as t from documents)"
+
+
 def stemmed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Number of index terms of a text, and its distinct ones."""
     n = V.news(spark, sf).withColumn("t", T.tokens(F.concat_ws("\n", "title", "body")))
@@ -205,6 +213,7 @@ def parsed_numbers(spark: SparkSession, sf: str) -> DataFrame:
 NUMBERS = "select p_partkey, round(p_retailprice * 10, 2) as en, round(p_retailprice * 10, 2) as es, null::double as none from part"
 
 QUERIES = {
+    "folded_any": (folded_any, FOLDED_ANY),
     "fold_titles": (fold_titles, FOLD_TITLES), "keyword_match": (keyword_match, KEYWORDS), "stemmed_tokens": (stemmed_tokens, STEMMED), "page_urls": (page_urls, PAGE_URLS),
     "page_text": (page_text, PAGE_TEXT), "page_image": (page_image, PAGE_IMAGE), "merged_items": (merged_items, MERGED), "news_quality": (news_quality, QUALITY), "outlet_days": (outlet_days, OUTLET_DAYS),
     "year_on_year": (year_on_year, YEAR_ON_YEAR), "latest_points": (latest_points, LATEST), "indicator_grid": (indicator_grid, GRID), "official_quality": (official_quality, QUALITY_OFFICIAL), "first_occurrence": (first_occurrence, FIRST_OCC), "parsed_numbers": (parsed_numbers, NUMBERS),
