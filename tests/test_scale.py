@@ -18,6 +18,7 @@ from pressloom.operators import retrieval
 from pressloom.operators.merge import merge_captures
 from pressloom.operators.nearest import Cells
 from pressloom.operators.ranks import places
+from pressloom.plans import views
 from pressloom.streaming import jobs
 
 
@@ -346,3 +347,25 @@ def test_any_number_of_short_texts_is_looked_up(spark):
     got = [tuple(r) for r in similarity.containment(spark.createDataFrame(short, "id int, text string"), spark.createDataFrame(long, "doc int, text string")).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, d) for i, t in short for d, u in long if t and t in u}
     assert similarity.containment(spark.createDataFrame([], "id int, text string"), spark.createDataFrame(long, "doc int, text string")).count() == 0
+
+
+@pytest.mark.parametrize("most", [5000, 20])
+def test_groups_of_the_given_vectors_equal_a_plain_clustering(spark, most):
+    """All vectors of the smallest tables at once, without components, against the grouping; some pairs are judged by hand."""
+    items = views.vectors(spark, "/root/testdata/sf0.001").select("id", "v", "moment", F.col("id").alias("ord")).cache()
+    rows = items.orderBy("ord").collect()
+    ids, t = [r["id"] for r in rows], np.array([r["moment"] for r in rows])
+    v = unit_rows(np.array([r["v"] for r in rows]))
+    far = np.abs(t[:, None] - t[None]) > grouping.WINDOW_S
+    d, bad = np.round(1 - v @ v.T, 9), far.copy()
+    rng = np.random.default_rng(1)
+    near = np.argwhere(~far & (d < 0.65) & (np.arange(len(ids))[:, None] < np.arange(len(ids))[None]))
+    said = [(ids[i], ids[j], bool(k % 2)) for k, (i, j) in enumerate(near[rng.choice(len(near), min(10, len(near)), replace=False)].tolist())]
+    for a, b, same in said:
+        i, j = ids.index(a), ids.index(b)
+        d[i, j] = d[j, i] = 0.0 if same else 1.0
+        bad[i, j] = bad[j, i] = not same
+    d[far] = 2.0
+    want = grouping.split_constrained(grouping.linkage(d, 0.65), bad)
+    got = {r["id"]: r["group"] for r in grouping.average_link(items, 0.65, verdicts=spark.createDataFrame(said, "a long, b long, same boolean"), max_component=most).collect()}
+    assert got == {i: ids[g] for i, g in zip(ids, want.tolist(), strict=True)}
