@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -33,6 +34,14 @@ def nearest_centroid(train: DataFrame, rows: DataFrame) -> DataFrame:
     return best.select("id", (-F.col("b.late")).alias("label"), F.col("b.score").alias("score"))
 
 
+def classified(found: dict[str, DataFrame]) -> DataFrame:
+    """method -> rows (id, topic, confidence), preferred methods first -> id, topic, confidence, method: of each id, what the first method that has it says."""
+    order = F.create_map(*[x for k, name in enumerate(found) for x in (F.lit(k), F.lit(name))])
+    rows = reduce(DataFrame.unionByName, [rows.select("id", F.lit(k).alias("k"), "topic", F.col("confidence").cast("double")) for k, rows in enumerate(found.values())])
+    best = rows.groupBy("id").agg(F.min(F.struct("k", "topic", "confidence")).alias("b"))
+    return best.select("id", "b.topic", "b.confidence", F.element_at(order, F.col("b.k")).alias("method"))
+
+
 def folds(rows: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
     """rows: id, label -> fold: stratified, by hash order within a class, however large the class."""
     placed = places(rows, ["label"], [F.asc(F.xxhash64("id", F.lit(seed))), F.asc("id")])

@@ -88,6 +88,18 @@ m as (select label, k, avg(x) as x from (select label, unnest(u) as x, generate_
 select id, label, score from (select id, c.label, round(list_dot_product(u.u, c.m) / sqrt(list_dot_product(c.m, c.m)), 6) as score, row_number() over (partition by id order by round(list_dot_product(u.u, c.m) / sqrt(list_dot_product(c.m, c.m)), 6) desc, c.label) as r from u cross join c where id % 2 = 1) where r = 1"""
 
 
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    """A topic, a confidence and the method that gave them for every document: centroids where there is a vector to judge, else keywords."""
+    near = centroid_topics(spark, sf).select("id", F.col("label").cast("string").alias("topic"), F.col("score").alias("confidence"))
+    words = T.keyword_topics(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), KEYWORDS, "none")
+    return T.classified({"centroid": near, "keywords": words})
+
+
+CLASSIFIED = f"""with near as ({CENTROID}), h as (select doc_id as id, {", ".join(f"{_hits(w)} as h{k}" for k, w in KEYWORDS.items())} from documents),
+p as (select id, case greatest(ha, hb, hc, hd) when 0 then 'none' when ha then 'a' when hb then 'b' when hc then 'c' else 'd' end as topic, round(least(greatest(ha, hb, hc, hd) / 3, 1.0::double), 6) as confidence from h)
+select id, label::varchar as topic, score as confidence, 'centroid' as method from near union all select id, topic, confidence, 'keywords' from p where id not in (select id from near)"""
+
+
 def fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of the stratified folds of each class."""
     return T.folds(V.vectors(spark, sf).select("id", "label")).groupBy("label", "fold").agg(F.count("*").alias("n"))
@@ -164,6 +176,7 @@ FEED_COVERAGE = """with r as (select regexp_extract(url, '^[a-z]+://([^/?#]+)',
 select 'attempts' as measure, 'all' as value, count(*) as n from r union all select 'complete', 'all', count(distinct site) from r where complete union all select 'errors', status::varchar, count(*) from r where status <> 200 or failed group by status"""
 
 QUERIES = {
+    "classified": (classified, CLASSIFIED),
     "feed_coverage": (feed_coverage, FEED_COVERAGE),
     "confusion": (confusion, CONFUSION), "failures": (failures, FAILURES), "failing_rows": (failing_rows, FAILING), "keyword_report": (keyword_report, KEYWORD_REPORT), "centroid_topics": (centroid_topics, CENTROID), "fold_sizes": (fold_sizes, FOLDS),
     "topic_model": (topic_model, None), "call_usage": (call_usage, USAGE), "call_budget": (call_budget, BUDGET), "call_peaks": (call_peaks, PEAKS), "call_windows": (call_windows, WINDOWS), "latency_ranks": (latency_ranks, LATENCY), "token_totals": (token_totals, TOKENS),
