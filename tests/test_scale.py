@@ -206,6 +206,13 @@ def test_cells_find_every_near_pair_and_every_nearest(spark, pivots, monkeypatch
         assert cells.skipped(queries, 0.9) > 0.3
 
 
+def test_cells_of_no_vectors(spark):
+    none = vector_table(spark, np.ones((1, 5)), "doc").limit(0)
+    queries = vector_table(spark, np.ones((3, 5)), "query")
+    assert Cells(none).nearest(queries, 2).count() == 0 and Cells(none).within(queries, 0.1).count() == 0
+    assert Cells(vector_table(spark, np.ones((3, 5)), "doc")).nearest(queries.limit(0), 2).count() == 0
+
+
 def test_earlier_similarity(spark):
     rng = np.random.default_rng(9)
     v, at = unit_rows(spots(rng, 150)), rng.integers(0, 30, 150)
