@@ -113,11 +113,15 @@ def closest_event(reports: DataFrame, events: DataFrame, span_s: int = SPAN_S, t
     at = F.struct("moment", "event")
     questions = keyed.select("size", "moment").distinct().select("size", "moment", F.lit(None).cast(told.select(at.alias("x")).schema["x"].dataType).alias("here"))
     stream = questions.unionByName(told.select("size", "moment", at.alias("here"))).withColumn("cell", F.floor(F.col("moment") / cell_s))
-    in_cell = Window.partitionBy("size", "cell").orderBy("moment", F.col("here").isNull())  # an event comes before the questions of its moment
-    swept = stream.select("size", "cell", "moment", "here", F.last("here", True).over(in_cell.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first("here", True).over(in_cell.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    # both directions run from the far end: a frame that reaches to the end is computed anew for every row
+    asks_last = F.col("here").isNull()  # an event comes before the questions of its moment
+    onward = Window.partitionBy("size", "cell").orderBy("moment", asks_last).rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("size", "cell").orderBy(F.desc("moment"), asks_last.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    swept = stream.select("size", "cell", "moment", "here", F.last("here", True).over(onward).alias("before"), F.last("here", True).over(backward).alias("after"))
     borders = stream.groupBy("size", "cell").agg(F.min("here").alias("first"), F.max("here").alias("last"))  # of equal moments: one event each
-    over = Window.partitionBy("size").orderBy("cell")  # rows: cells of time, however many reports they hold
-    borders = borders.select("size", "cell", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("past"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("coming"))
+    past = Window.partitionBy("size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # rows: cells of time, however many reports they hold
+    coming = Window.partitionBy("size").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    borders = borders.select("size", "cell", F.last("last", True).over(past).alias("past"), F.last("first", True).over(coming).alias("coming"))
     known = borders.withColumnsRenamed({"size": "_size", "cell": "_cell"})
     met = swept.where("here is null").join(known, F.col("size").eqNullSafe(F.col("_size")) & (F.col("cell") == F.col("_cell")))
     near = [F.struct(F.abs(F.col("moment") - e["moment"]).alias("gap"), e["event"].alias("event")) for e in (F.coalesce("before", "past"), F.coalesce("after", "coming"))]
