@@ -34,9 +34,9 @@ def transition_errors(decisions: DataFrame, moves: dict[str, tuple[str, ...]] =
 
 
 def version_bound(decisions: DataFrame, cases: DataFrame) -> DataFrame:
-    """cases: case_id, version -> the latest decision made on that version, NULL if none."""
+    """cases: case_id, version (a case may have several) -> the latest decision made on that version, NULL if none."""
     bound = decisions.join(cases, ["case_id", "version"])
-    return cases.join(bound.groupBy("case_id").agg(F.max(F.struct("us", "seq", "state"))["state"].alias("state")), "case_id", "left").select("case_id", "version", "state")
+    return cases.join(bound.groupBy("case_id", "version").agg(F.max(F.struct("us", "seq", "state"))["state"].alias("state")), ["case_id", "version"], "left").select("case_id", "version", "state")
 
 
 def timeline(decisions: DataFrame, changes: DataFrame) -> DataFrame:
