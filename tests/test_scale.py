@@ -389,3 +389,25 @@ def test_groups_of_the_given_vectors_equal_a_plain_clustering(spark, most):
     want = grouping.split_constrained(grouping.linkage(d, 0.65), bad)
     got = {r["id"]: r["group"] for r in grouping.average_link(items, 0.65, verdicts=spark.createDataFrame(said, "a long, b long, same boolean"), max_component=most).collect()}
     assert got == {i: ids[g] for i, g in zip(ids, want.tolist(), strict=True)}
+
+
+def test_rounds_of_average_linkage_write_no_pairs(spark, monkeypatch):
+    """What a tile sends of its clusters is their nearest ones; a cluster that has none is met no more."""
+    rng = np.random.default_rng(9)
+    items = spark.createDataFrame(clouds(rng, 200), "id long, v array<double>, moment long, ord long")
+    rows = items.select(F.lit(0).cast("long").alias("component"), F.col("id").alias("k"), "v", "moment", F.col("id").alias("cluster"), F.lit(None).cast("array<struct<k:bigint,s:bigint>>").alias("told"))
+    near = grouping._nearest(rows, 0.3, 100, 50).collect()
+    assert len(near) == len({r["x"] for r in near}) <= 200
+    monkeypatch.setattr(grouping, "STRIP", 7)  # clusters of several strips
+    halves = rows.withColumn("cluster", F.expr("k - k % 40"))
+    got = {(r["a"], r["b"]): (r["s"], r["c"], r["na"], r["nb"]) for r in grouping._pair_sums(halves, 100, 50).collect()}
+    data = {r["k"]: r for r in halves.collect()}
+    v = unit_rows(np.array([data[k]["v"] for k in range(200)]))
+    d = np.rint((1 - v @ v.T) * grouping.UNIT).astype(int)
+    t = np.array([data[k]["moment"] for k in range(200)])
+    ok, of = np.abs(t[:, None] - t[None]) <= 100, np.arange(200) // 40 * 40
+    for a in range(0, 200, 40):
+        for b in range(a + 40, 200, 40):
+            both = np.ix_(of == a, of == b)
+            s, c, na, nb = got[a, b]
+            assert (c, na, nb) == (ok[both].sum(), 40, 40) and abs(s - (d[both] * ok[both]).sum()) < 2000
