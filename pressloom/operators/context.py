@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.functions.storage import staged
 from pressloom.functions.text import fold, matched_word, word_pattern
 
 #: Span of a catalog event, tolerance of a stated magnitude, and the box and name of the country.
@@ -45,9 +46,14 @@ def read_rules(rules: DataFrame) -> list[Rule]:
 
 def fired_rules(reports: DataFrame, rules: Sequence[Rule | tuple]) -> DataFrame:
     """reports: id, text, topic -> id, rule, word. Rules are few, so each is a column of the one scan."""
+    return reports.select("id", F.inline(_fired(rules)))
+
+
+def _fired(rules: Sequence[Rule | tuple]) -> Column:
+    """The rules that fire on text and topic, each with its word."""
     all_rules = [r if isinstance(r, Rule) else Rule(*r) for r in rules]
     found = [F.struct(F.lit(r.name).alias("rule"), F.when(F.col("topic").isin(*r.topics) if r.topics else F.lit(True), matched_word(F.col("text"), r.words)).alias("word")) for r in all_rules]
-    return reports.select("id", F.inline(F.filter(F.array(*found), lambda r: r["word"].isNotNull())))
+    return F.filter(F.array(*found), lambda r: r["word"].isNotNull())
 
 
 def magnitudes_in(text: Column) -> Column:
@@ -140,14 +146,16 @@ def link_context(groups: DataFrame, rules: Sequence[Rule], official: DataFrame,
     first rule; id, reason: why a group has no link). A text about another country links to nothing.
     """
     foreign = names_another_country(F.col("text"), others, regions)
-    own = groups.where(~foreign)
+    # texts are read once: what the joins below take of them is short, and read several times
+    marks = staged(groups.select("id", "moment", foreign.alias("foreign"), _fired(rules).alias("fired"), magnitudes_in(F.col("text")).alias("magnitude")))
+    own = marks.where(~F.col("foreign"))
     place = {r.name: (i, r) for i, r in enumerate(rules)}
-    fired = fired_rules(own, rules)
+    fired = own.select("id", F.inline("fired"))
     tried = F.element_at(F.create_map(*[x for name, (i, r) in place.items() for x in (F.lit(name), F.struct(F.lit(i).alias("ord"), F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("prefix")) for k, p in r.finders]).cast("array<struct<kind:string,prefix:string>>").alias("finders")))]), F.col("rule"))
     steps = fired.select("id", "rule", "word", tried.alias("t")).select("id", "rule", "word", "t.ord", F.posexplode("t.finders").alias("k", "f"))
     steps = steps.select("id", "rule", "word", "ord", "k", "f.kind", "f.prefix")
     latest = latest_points(official, sorted({p for r in rules for k, p in r.finders if k == "latest"}))
-    nearest = closest_event(own.select("id", "moment", magnitudes_in(F.col("text")).alias("magnitude")), catalog.where("home").select("event", "moment", "magnitude"))
+    nearest = closest_event(own.select("id", "moment", "magnitude"), catalog.where("home").select("event", "moment", "magnitude"))
     found = steps.where("kind = 'latest'").join(F.broadcast(latest), "prefix").select("id", "rule", "word", "ord", "k", "evidence")  # a row a prefix of a rule
     found = found.unionByName(steps.where("kind = 'nearest'").join(nearest.select("id", F.col("event").alias("evidence")), "id").select("id", "rule", "word", "ord", "k", "evidence"))
     first = found.groupBy("id", "rule", "word", "ord").agg(F.min(F.struct("k", "evidence"))["evidence"].alias("evidence"))
@@ -155,5 +163,5 @@ def link_context(groups: DataFrame, rules: Sequence[Rule], official: DataFrame,
     empty = fired.join(first.select("id", "rule"), ["id", "rule"], "left_anti")
     whys = F.create_map(*[x for name, (i, r) in place.items() for x in (F.lit(name), F.struct(F.lit(i).alias("ord"), F.lit(r.none).alias("none")))])
     unfound = empty.groupBy("id").agg(F.min(F.element_at(whys, F.col("rule")))["none"].alias("none"))
-    lone = groups.select("id", foreign.alias("foreign")).join(links.select("id").distinct(), "id", "left_anti").join(unfound, "id", "left")
+    lone = marks.select("id", "foreign").join(links.select("id").distinct(), "id", "left_anti").join(unfound, "id", "left")
     return links, lone.select("id", F.when(F.col("foreign"), FOREIGN).otherwise(F.coalesce("none", F.lit(NONE))).alias("reason"))

@@ -65,6 +65,8 @@ def test_a_rule_falls_back_to_its_second_finder_and_gives_its_reason(spark):
     links, reasons = C.link_context(groups, rules, official, catalog)
     assert {(r["id"], r["evidence"], r["word"]) for r in links.collect()} == {(1, "S-b-2024", "ipc"), (2, "Q1", "sismo")}
     assert {(r["id"], r["reason"]) for r in reasons.collect()} == {(3, C.FOREIGN), (4, C.NONE)}
+    for part in (links, reasons):  # texts are read once, beforehand
+        assert "text#" not in part._jdf.queryExecution().optimizedPlan().toString()
     table = spark.createDataFrame([(1, "b", ["x"], None, None, None), (0, "a", ["y", "z"], ["t"], [("latest", "P-")], "why")], "ord int, name string, words array<string>, topics array<string>, finders array<struct<kind:string,prefix:string>>, none string")
     assert C.read_rules(table) == [C.Rule("a", ("y", "z"), ("t",), (("latest", "P-"),), "why"), C.Rule("b", ("x",))]
 
