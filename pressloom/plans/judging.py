@@ -34,8 +34,7 @@ LINES = "lines as (select l_orderkey * 10 + l_linenumber as id, l_orderkey, l_li
 
 def figures(spark: SparkSession, sf: str) -> DataFrame:
     """Figures of sentences, in order, by line of the order."""
-    found = N.figure_table(_lines(spark, sf).select("id", "text"), ["text"])
-    per = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"].cast("double")).alias("v"))
+    per = N.figure_lists(_lines(spark, sf).select("id", "text"), "text").select("id", F.transform("figures", lambda x: x.cast("double")).alias("v"))
     return per.select("id", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(1)).alias("second"), F.get("v", F.lit(2)).alias("third"))
 
 
