@@ -171,7 +171,7 @@ def supported_versions(versions: DataFrame, evidence: DataFrame, require_scope:
     with most of the figures first (ties: the shorter text, then the name), whose figures cover those of value and scope. A value without a
     figure must stand in a field as written; require_scope: so must value and scope both."""
     named = F.transform(F.map_entries("fields"), lambda f: F.struct(F.length(f["value"]).alias("size"), f["key"].alias("name"), fold(f["value"]).alias("text"), F.array_distinct(figures_in(f["value"])).alias("figures")))
-    joined = versions.join(evidence.select("evidence", "fields"), "evidence", "left").select("version", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("scope", F.lit("")).alias("scope"), F.array_sort(named).alias("f"))
+    joined = versions.join(evidence.select("evidence", "fields"), "evidence", "left").select("version", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("scope", F.lit("")).alias("scope"), F.sort_array(named).alias("f"))
     asked = joined.withColumns({"asked": F.array_distinct(figures_in(F.col("value"))), "limits": figures_in(F.col("scope"))})
 
     def holder(words: str, wanted: Column) -> Column:
@@ -185,7 +185,7 @@ def supported_versions(versions: DataFrame, evidence: DataFrame, require_scope:
     chosen = F.filter(F.array("by_value", "by_scope"), lambda x: x.isNotNull())
     first = held.select("version", "f", lost.alias("lost"), F.transform(chosen, lambda x: x["name"]).alias("names"), F.array_except(F.array_union("asked", "limits"), F.flatten(F.transform(chosen, lambda x: x["figures"]))).alias("needed"))
     # the field that says most of what is needed comes first, and each next one is taken if it says something that is still open
-    by_use = F.array_sort(F.transform("f", lambda x: F.struct((-F.size(F.array_intersect(x["figures"], "needed"))).alias("use"), x["size"].alias("size"), x["name"].alias("name"), x["figures"].alias("figures"))))
+    by_use = F.sort_array(F.transform("f", lambda x: F.struct((-F.size(F.array_intersect(x["figures"], "needed"))).alias("use"), x["size"].alias("size"), x["name"].alias("name"), x["figures"].alias("figures"))))
     start = F.struct("names", F.col("needed").alias("open"))
     cover = F.aggregate(by_use, start, lambda s, x: F.when(F.arrays_overlap(x["figures"], s["open"]), F.struct(F.array_append(s["names"], x["name"]).alias("names"), F.array_except(s["open"], x["figures"]).alias("open"))).otherwise(s))
     done = first.select("version", "lost", F.when(~F.col("lost"), cover).alias("c"))
