@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,24 @@ def test_queries_are_listed_without_a_session():
 
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
+
+
+@pytest.mark.parametrize("threshold, long", [(0.3, 128), (0.5, 6), (0.8, 6), (0.8, 128)])
+def test_alike_sets_by_pairs_of_tokens_equal_brute_force(spark, monkeypatch, threshold, long):
+    monkeypatch.setattr(S, "LONG", long)
+    rng = random.Random(long)
+    base = [rng.sample("abcdefghijklmnop", rng.randint(1, 14)) for _ in range(40)]
+    rows = list(enumerate(base + [[w for w in b if rng.random() > 0.1] for b in base]))
+    got = {(r["a"], r["b"]) for r in S.set_pairs(spark.createDataFrame(rows, "id long, tokens array<string>"), threshold).collect()}
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and set(x) and set(y) and len(set(x) & set(y)) >= threshold * len(set(x) | set(y)) - 1e-9}
+    assert got == want and want
+
+
+def test_sets_of_frequent_tokens_seldom_share_a_key(spark):
+    rng = random.Random(5)
+    words = [f"w{k:03d}" for k in range(300)]
+    rows = [(i, sorted(rng.sample(words, 20))) for i in range(200)]
+    keys = [set(r["k"]) for r in spark.createDataFrame(rows, "id long, tokens array<string>").select(S.head_keys(F.col("tokens"), 0.8).alias("k")).collect()]
+    met = sum(bool(a & b) for i, a in enumerate(keys) for b in keys[:i])
+    heads = [set(t[:5]) for _, t in rows]
+    assert 2 * met < sum(bool(a & b) for i, a in enumerate(heads) for b in heads[:i])
