@@ -32,9 +32,23 @@ def official_first(news: DataFrame, official: DataFrame, key: str = "evidence")
 
 
 def case_questions(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """answers: answer, probe, evidence (array); sources: case_id, evidence -> case_id, answer: answers that cite a source of the case, probes left out."""
+    """answers: answer, probe, evidence (array); sources: case_id, evidence -> case_id, answer: answers that cite a source of the case, probes left out.
+
+    The cases of a source travel as one array to the answers that cite it, and each answer drops its repeats by itself:
+    pairs are neither shuffled nor sorted. Cases are dealt into so many buckets that an answer meets about GATHERED ids at
+    most in one, however many cases a source has and however many sources an answer.
+    """
     cited = answers.where(~F.col("probe")).select("answer", F.explode(F.array_distinct("evidence")).alias("evidence"))
-    return cited.join(sources, "evidence").select("case_id", "answer").distinct()
+    most = sources.groupBy("evidence").count().agg(F.max("count")).first()[0] or 0
+    widest = answers.agg(F.max(F.size("evidence"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("case_id"), F.lit(1 + most * max(widest, 0) // GATHERED))
+    held = sources.groupBy("evidence", bucket.alias("bucket")).agg(F.collect_set("case_id").alias("cases"))
+    met = cited.join(held, "evidence").groupBy("answer", "bucket").agg(F.array_distinct(F.flatten(F.collect_list("cases"))).alias("cases"))
+    return met.select(F.explode("cases").alias("case_id"), "answer")
+
+
+#: Ids of cases that an answer gathers in one bucket.
+GATHERED = 1 << 20
 
 
 def linked_cases(groups: DataFrame, cases: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pressloom.operators import conflicts
+from pressloom.operators import conflicts, exports
 from pressloom.functions import text as T
 from pressloom.functions import urls as U
 from pressloom.operators import grouping as G
@@ -164,3 +164,14 @@ def test_texts_are_read_once_for_both_voices(spark, capsys):
     figures.explain()
     dates.explain()
     assert "regexp_extract_all" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("gathered", [1 << 20, 3])
+def test_questions_of_cases_shuffle_no_pairs(spark, monkeypatch, capsys, gathered):
+    monkeypatch.setattr(exports, "GATHERED", gathered)
+    answers = spark.createDataFrame([(1, False, [1, 2, 2]), (2, True, [1]), (3, False, [3]), (4, False, []), (5, False, [9])], "answer long, probe boolean, evidence array<long>")
+    sources = spark.createDataFrame([(7, 1), (7, 2), (8, 2), (8, 2), (9, 3)], "case_id long, evidence long")
+    pairs = exports.case_questions(answers, sources)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(7, 1), (8, 1), (9, 3)]
+    pairs.explain()
+    assert "hashpartitioning(case_id" not in capsys.readouterr().out
