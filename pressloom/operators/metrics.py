@@ -84,12 +84,17 @@ def peaks(calls: DataFrame) -> DataFrame:
 def rate_window(calls: DataFrame, span_us: int = 60_000_000) -> DataFrame:
     """Per call: calls and tokens of its model within the last span (exclusive of exactly the span), itself included.
 
-    Calls of one microsecond are one row. Time is cut into cells of the span; a cell holds its own rows and those of the
-    cell before, so what a task sweeps is two spans of a model, however long the ledger.
+    Calls of one microsecond are one row. Time is cut into cells of the span, so a call's span ends in its cell and begins
+    in the one before: of its own cell it takes the sum from the begin, of the one before the sum from the end. Both only
+    grow, so a cell is swept once, however many calls it holds.
     """
     good = calls.where("cache = 'miss'")
     moments = good.groupBy("model", "us").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).withColumn("own", F.floor(F.col("us") / span_us))
-    dealt = moments.select("model", "us", "n", "t", "own", F.explode(F.array("own", F.col("own") + 1)).alias("cell"))
-    w = Window.partitionBy("model", "cell").orderBy("us").rangeBetween(-(span_us - 1), 0)
-    sums = dealt.select("model", "us", "own", "cell", F.sum("n").over(w).alias("calls"), F.sum("t").over(w).alias("tokens")).where("own = cell").select("model", "us", "calls", "tokens")
+    us, own, start = F.col("us"), F.col("own"), F.col("us") - (span_us - 1)
+    # said: what a cell holds, in order of time or against it; asked: where spans begin in the cell before
+    place = lambda cell, back, pos, said: F.struct(cell.alias("cell"), F.lit(back).alias("back"), pos.alias("pos"), F.lit(said).alias("said"))
+    dealt = moments.select("model", "us", "n", "t", F.explode(F.array(place(own, False, us, True), place(own, True, -us, True), place(own - 1, True, -start, False))).alias("p")).select("model", "us", "n", "t", "p.*")
+    w = Window.partitionBy("model", "cell", "back").orderBy("pos", F.desc("said")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = dealt.select("model", "us", "back", "said", *(F.sum(F.when(F.col("said"), F.col(c))).over(w).alias(name) for c, name in (("n", "calls"), ("t", "tokens"))))
+    sums = swept.where(F.col("said") != F.col("back")).groupBy("model", "us").agg(F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"))
     return good.select("id", "model", "us").join(sums, ["model", "us"]).select("id", "model", "calls", "tokens")

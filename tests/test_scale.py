@@ -86,6 +86,17 @@ def test_rate_window(spark):
     assert {r["id"]: (r["calls"], r["tokens"]) for r in got} == want
 
 
+def test_rate_window_sweeps_a_hot_cell_once(spark, capsys):
+    n = 20000  # a call each microsecond: a frame that lets go of rows would be summed anew for each
+    rows = spark.range(n).select("id", F.lit("m").alias("model"), F.col("id").alias("us"), F.lit("miss").alias("cache"), F.lit(1).alias("tokens"))
+    out = metrics.rate_window(rows, n)
+    out.explain()
+    assert "RangeFrame" not in capsys.readouterr().out
+    assert out.where((F.col("calls") != F.col("id") + 1) | (F.col("tokens") != F.col("id") + 1)).count() == 0 and out.count() == n
+    edges = spark.createDataFrame([(1, "m", 0, "miss", None), (2, "m", 99, "miss", 5), (3, "m", 100, "miss", None), (4, "m", -1, "miss", 2), (5, "m", 5000, "miss", None)], "id int, model string, us long, cache string, tokens int")
+    assert {r["id"]: (r["calls"], r["tokens"]) for r in metrics.rate_window(edges, 100).collect()} == {4: (1, 2), 1: (2, 2), 2: (2, 5), 3: (2, 5), 5: (1, None)}
+
+
 def test_folds_and_outliers(spark):
     rows = spark.range(1000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"))
     sizes = {(r["label"], r["fold"]): r["count"] for r in topics.folds(rows).groupBy("label", "fold").count().collect()}
