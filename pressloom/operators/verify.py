@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions.text import fold
-from pressloom.operators.figures import figure_table, figures_in, shown
+from pressloom.operators.figures import figures_in, read_figures, shown
 from pressloom.sources.readers import content_hash
 
 NUMBER = r"[+-]?[0-9]+(?:[.,][0-9]+)*"
@@ -120,20 +120,19 @@ def _closest(passage: str, text: str, least: float) -> str | None:
     return best[1]
 
 
-def _figures(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, figure: distinct figures of a text, digits and words alike."""
-    found = figure_table(rows.select(F.struct(*keys).alias("id"), text), [text])
-    return found.select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("value").alias("figure")).distinct()
+def _figures(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, figure: distinct figures of each text, digits and words alike; nothing is shuffled."""
+    return rows.select(key, read_figures(F.col(text)).alias("figures")).select(key, F.explode(F.array_distinct("figures")).alias("figure"))
 
 
 def unsupported_figures(claims: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
     """claim, figure (decimal): figures of a claim, in digits or words, that stand neither in its cited passages nor in any field of its cited records."""
-    said = _figures(claims, ["claim"], "text")
-    passages = _figures(citations, ["claim"], "passage")
-    cited = citations.select("claim", "evidence").distinct()
-    texts = evidence.join(cited.select("evidence").distinct(), "evidence", "left_semi").select("evidence", F.explode("fields").alias("field", "text"))
-    fields = cited.join(_figures(texts, ["evidence"], "text"), "evidence").select("claim", "figure")
-    return said.join(passages.union(fields).distinct(), ["claim", "figure"], "left_anti")
+    said = _figures(claims, "claim", "text").distinct()
+    passages = _figures(citations, "claim", "passage")
+    cited = citations.select("claim", "evidence")
+    texts = evidence.join(cited, "evidence", "left_semi").select("evidence", F.explode(F.map_values("fields")).alias("text"))
+    fields = cited.distinct().join(_figures(texts, "evidence", "text"), "evidence").select("claim", "figure")
+    return said.join(passages.union(fields), ["claim", "figure"], "left_anti")
 
 
 def official_period_errors(claims: DataFrame, citations: DataFrame, evidence: DataFrame, official: tuple[str, ...] = ("indicador", "serie_inec"), period: str = "periodo") -> DataFrame:
