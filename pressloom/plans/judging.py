@@ -103,11 +103,11 @@ VERSIONS = V.with_(LINES, f"w as (select *, {_WHAT} as f from lines)") + "select
 
 def date_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Dates at odds between two voices; lines of an order say when it opens."""
-    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"), F.max("l_shipdate").alias("d"))
+    l = table(spark, sf, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"), F.max("l_shipdate").alias("d"))  # dealt once, by group
     month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month("d"))
     text = F.concat(F.lit("El puente nuevo se abrirá el "), F.dayofmonth("d").cast("string"), F.lit(" de "), month, F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" de "), F.year("d").cast("string"))).otherwise(""), F.lit(". Antes, en la plaza, el 1 de enero de 1999 cerraron las tiendas."))
     rows = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("group"), F.col("s").cast("string").alias("provenance"), F.to_date("d").alias("day"), text.alias("text"))
-    return K.date_conflicts(K.voices(rows), K.dates(rows)).groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("first"))
+    return K.told_date_conflicts(rows).groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("first"))
 
 
 DATE_CONFLICTS = """with l as (select l_orderkey * 10 + l_linenumber as id, l_orderkey as g, l_linenumber as k, max(l_suppkey) as s, max(l_shipdate)::date as d from lineitem group by l_orderkey, l_linenumber)

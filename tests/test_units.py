@@ -166,6 +166,21 @@ def test_texts_are_read_once_for_both_voices(spark, capsys):
     assert "regexp_extract_all" not in capsys.readouterr().out
 
 
+def test_conflicts_are_judged_where_pairs_are_made(spark, capsys):
+    """Groups that are dealt once are not shuffled again, whether by pair or by voice, and give what pairs and readings apart give."""
+    said = ["Vendieron 3 cajas con 5 % de descuento.", "Vendieron 4 cajas, 3 cajas con 6 % de descuento.", "Abrirá el 2 de mayo. Cerrará el 1 de junio.", "Abrirá el 2 de mayo de 2020; cerrará el 3 de junio.", "Abrirá el 4 de mayo, abrirá el 2 de mayo de 2021. Nada más.", "Vendieron 9 cajas. Abrirá el 5 de mayo.", "", None]
+    rows = spark.createDataFrame([(n, n % 5, f"p{n % 3}", said[n * 7 % len(said)]) for n in range(120)], "id long, group long, provenance string, text string").withColumn("day", F.expr("date_add(date'2024-01-01', int(id % 2))")).repartition(4, "group")
+    pairs = conflicts.voices(rows)
+    listed = lambda d: sorted(tuple(r) for r in d.collect())
+    figures, dates = conflicts.told_figure_conflicts(rows), conflicts.told_date_conflicts(rows)
+    for found in (figures, dates):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_NUM") == 2
+    assert listed(figures) == listed(conflicts.figure_conflicts(pairs, conflicts.metrics(rows))) != []
+    assert listed(dates) == listed(conflicts.date_conflicts(pairs, conflicts.dates(rows))) != []
+
+
 @pytest.mark.parametrize("gathered", [1 << 20, 3])
 def test_questions_of_cases_shuffle_no_pairs(spark, monkeypatch, capsys, gathered):
     monkeypatch.setattr(exports, "GATHERED", gathered)
