@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressloom.functions.storage import shared_dir
-from pressloom.operators import conflicts, context, grouping, lexical, metrics, similarity, topics, verify
+from pressloom.operators import conflicts, context, coverage, grouping, lexical, metrics, similarity, topics, verify
 from pressloom.operators import retrieval
 from pressloom.operators.merge import merge_captures
 from pressloom.operators.nearest import Cells
@@ -411,6 +411,20 @@ def test_repairs_in_a_text_of_a_million_characters():
     assert time.process_time() - start < 3
 
 
+def test_texts_are_moved_once_and_shorter_ones_are_no_candidates(spark, monkeypatch):
+    """Reports of one text are written once a text, and a text is not fetched for a longer needle that has its rarest words."""
+    written, plain = [], coverage.staged
+    monkeypatch.setattr(coverage, "staged", lambda d, *a, **k: written.append(plain(d, *a, **k)) or written[-1])
+    long, other = "alfa betar gammas deltass " * 40, "zeta etas thetas iotass kappa"
+    rows = spark.createDataFrame([(i, i % 2 == 0, "", long if i < 20 else other) for i in range(40)], "id long, own boolean, title string, body string")
+    links, held = coverage.classes(rows, with_vectors=False)
+    assert sorted(tuple(r) for r in links.join(held, "class").groupBy("id").agg(F.count("*"), F.max("how")).collect()) == [(i, 10, "text") for i in range(1, 40, 2)]
+    assert [d.count() for d in written if "text" in d.columns] == [2, 2]
+    needles, texts_ = spark.createDataFrame([(1, "de la casa grande y azul")], "id long, text string"), spark.createDataFrame([(7, "la casa grande y"), (8, "x de la casa grande y azul x")], "doc long, text string")
+    monkeypatch.setattr(F, "contains", lambda a, b: F.lit(True))
+    assert [tuple(r) for r in similarity.containment(needles, texts_).collect()] == [(1, 8)]
+
+
 def test_any_number_of_short_texts_is_looked_up(spark):
     """Texts of under three tokens, signs and accents among them, in texts that hold them anywhere, across lines too."""
     rng = random.Random(7)
